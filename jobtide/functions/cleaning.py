@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import patterns as P
-from jobtide.functions.text import decode_entities, strip, sub
+from jobtide.functions.text import decode_entities, settle, strip, sub
 
 Step = Callable[[Column], Column]
 
@@ -98,4 +98,4 @@ def clean_text(df: DataFrame, column: str, into: str | None = None) -> DataFrame
     """Entity decoding and all steps on one column; NULL stays NULL."""
     into = into or column
     df = df.withColumn(into, decode_entities(F.col(f"`{column}`")))
-    return chain(df, into, STEPS)
+    return settle(chain(df, into, STEPS), into)

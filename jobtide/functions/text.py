@@ -7,11 +7,10 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobtide.functions import patterns as P
 from jobtide.lookups import INVALID_TEXTS
 
 # Everything that counts as white space; the plain trim functions take spaces only.
@@ -85,3 +84,16 @@ def fold_accents(c: Column) -> Column:
 def fold_accents_all(parts: Column, source: Column) -> Column:
     """``fold_accents`` of each element; ``source`` is the text the parts were cut from."""
     return F.coalesce(_fold_texts(F.when(_not_ascii(source), parts)), parts)
+
+
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Compute costly columns once.
+
+    A filter on a projected column is pushed below the projection, and every use
+    of the column there repeats its expression. A generator is a boundary that
+    filters on its output do not cross.
+    """
+    fields = F.struct(*[F.col(f"`{c}`") for c in columns])
+    others = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    settled = df.select(*others, F.inline(F.array(fields)))
+    return settled.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import patterns as P
-from jobtide.functions.text import fold_accents, fold_accents_all, strip, sub
+from jobtide.functions.text import fold_accents, fold_accents_all, settle, strip, sub
 from jobtide.lookups import CANONICAL_TERMS, EXCLUDED_SKILLS, PRODUCT_ALIASES
 from jobtide.operators.records import catalogue_texts, col, is_noise_token
 from jobtide.sources.tables import new_rows, number_rows
@@ -31,7 +31,7 @@ def basic_clean(c: Column) -> Column:
 
 def main_part(c: Column) -> Column:
     """Text without a trailing parenthetical; the whole text when there is none."""
-    return F.when(c.rlike(P.TRAILING_PARENTHETICAL), strip(F.regexp_extract(c, P.TRAILING_PARENTHETICAL, 1))).otherwise(c)
+    return strip(sub(c, P.TRAILING_PARENTHETICAL, "$1"))
 
 
 def acronym(c: Column) -> Column:
@@ -98,8 +98,8 @@ def explode_skills(df: DataFrame, id_column: str = "id", skill_column: str = "sk
     tokens = pairs.where(~is_noise_token(F.col("t.raw"))).select(
         "job_posting_id", "pos", F.col("t.raw").alias("raw_skill"), tidy(F.col("t.folded")).alias("_tidy"),
     )
-    tokens = tokens.withColumn("_plain", plain_words(main_part(F.col("_tidy"))))
-    tokens = tokens.withColumn("normalized_skill", canonical(F.col("_plain")))
+    tokens = settle(tokens.withColumn("_plain", plain_words(main_part(F.col("_tidy")))), "_plain")
+    tokens = settle(tokens.withColumn("normalized_skill", canonical(F.col("_plain"))), "normalized_skill")
     return tokens.where(included(F.col("normalized_skill"))).drop("_tidy", "_plain")
 
 

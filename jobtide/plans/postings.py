@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from jobtide.functions.text import blank_to_null
-from jobtide.lookups import NULLABLE_FIELDS
+from jobtide.functions.text import blank_to_null, settle
+from jobtide.lookups import CRITICAL_FIELDS, NULLABLE_FIELDS
 from jobtide.operators import derive, markup, records
 from jobtide.operators.records import col
 
@@ -30,5 +29,6 @@ def clean_postings(raw: DataFrame, overrides: DataFrame | None = None) -> DataFr
     df = derive.add_country(df, overrides)
     df = derive.add_work_modality(df)
     df = derive.add_company(df)
+    df = settle(df, *records.existing(df, CRITICAL_FIELDS))
     kept, _ = records.split_by_critical(df)
     return kept
