@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobtide.sources.files import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -35,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table of long texts, spread over all cores when it comes in a few files."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def lit(text: str) -> str:
     """SQL string literal for DuckDB."""
     return "'" + text.replace("'", "''") + "'"
@@ -67,7 +74,7 @@ NOISY_SQL = noisy().replace("\\\\", "\\")
 
 
 def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{NOISY_SPARK} AS text")
+    return texts(spark, sf_dir).selectExpr("doc_id", f"{NOISY_SPARK} AS text")
 
 
 NOISY_CTE = f"t AS (SELECT doc_id, {NOISY_SQL} AS text FROM documents)"
@@ -108,7 +115,7 @@ POSTING_EXPRS = {
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     exprs = [f"{e} AS `{n}`" for n, e in POSTING_EXPRS.items()]
-    return table(spark, sf_dir, "documents").selectExpr(*exprs)
+    return texts(spark, sf_dir).selectExpr(*exprs)
 
 
 POSTINGS_CTE = "p AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in POSTING_EXPRS.items()) + " FROM documents)"

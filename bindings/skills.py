@@ -7,7 +7,7 @@ texts are split and normalised once per part, before the parts meet the lines.
 from pyspark.sql import functions as F
 
 from bindings import sqltext as S
-from bindings.base import PART_SKILLS_CTE, lit, part_skills, query, table
+from bindings.base import PART_SKILLS_CTE, lit, part_skills, query, table, texts
 from jobtide.functions.text import fold_accents
 from jobtide.lookups import CANONICAL_TERMS, PRODUCT_ALIASES
 from jobtide.operators import records, reports, skills
@@ -81,7 +81,7 @@ def _(spark, d):
 
 @query("h02_fold_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", fold_accents(F.col("text")).alias("text"))
+    return texts(spark, d).select("doc_id", fold_accents(F.col("text")).alias("text"))
 
 
 @query("h03_basic_clean", f"WITH {PART_SKILLS_CTE} SELECT id, {tidy_sql('skill')} AS text FROM s")

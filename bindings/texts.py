@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindings import sqltext as S
 from bindings.base import (
-    NOISY_CTE, POSTINGS_CTE, add, lit, noisy_texts, query, raw_postings, table,
+    NOISY_CTE, POSTINGS_CTE, add, lit, noisy_texts, query, raw_postings, texts,
 )
 from jobtide.functions import cleaning as C
 from jobtide.functions.text import decode_entities, is_invalid, strip
@@ -103,7 +103,7 @@ def _(spark, d):
 def _(spark, d):
     from jobtide.functions.text import blank_to_null
 
-    return table(spark, d, "pages").select(
+    return texts(spark, d, "pages", "page_id").select(
         "page_id", blank_to_null(F.expr("replace(url, 'http', ' ')")).alias("url"),
         blank_to_null(F.expr("translate(left(html, 1), '<', ' ')")).alias("mark"),
     )
@@ -114,7 +114,7 @@ def _(spark, d):
     "SELECT doc_id, source FROM documents WHERE source ILIKE '%C1_%'",
 )
 def _(spark, d):
-    return table(spark, d, "documents").where(records.contains_text(F.col("source"), "C1_")).select("doc_id", "source")
+    return texts(spark, d).where(records.contains_text(F.col("source"), "C1_")).select("doc_id", "source")
 
 
 @query(
@@ -142,7 +142,7 @@ def _(spark, d):
     f"SELECT page_id, {S.unescape('html')} AS text FROM pages",
 )
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", decode_entities(F.col("html")).alias("text"))
+    return texts(spark, d, "pages", "page_id").select("page_id", decode_entities(F.col("html")).alias("text"))
 
 
 STEP_FUNCTIONS = dict(zip(S.STEPS, C.STEPS))
@@ -153,7 +153,7 @@ PAGE_STEPS = ("c03_urls", "c04_html_tags", "c10_partial_urls")
 def _step(name, step):
     def run(spark, d):
         if name in PAGE_STEPS:
-            return table(spark, d, "pages").select(
+            return texts(spark, d, "pages", "page_id").select(
                 "page_id", step(F.concat("html", F.lit(" "), "url")).alias("text")
             )
         return noisy_texts(spark, d).select("doc_id", step(F.col("text")).alias("text"))
@@ -181,7 +181,7 @@ def _(spark, d):
     f"WITH {S.clean('pages', 'html', 'page_id')} SELECT page_id, x AS text FROM c{S.LAST}",
 )
 def _(spark, d):
-    return C.clean_text(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "text")
+    return C.clean_text(texts(spark, d, "pages", "page_id").select("page_id", F.col("html").alias("text")), "text")
 
 
 # --- D: markup reports ------------------------------------------------------
@@ -203,7 +203,7 @@ def _(spark, d):
 
 @query("d02_records_with_markup", f"WITH {DOC_FLAGS_CTE} SELECT doc_id, text FROM f WHERE {S.ANY_FLAG}")
 def _(spark, d):
-    return markup.records_with_markup(table(spark, d, "documents"), "text").select("doc_id", "text")
+    return markup.records_with_markup(texts(spark, d), "text").select("doc_id", "text")
 
 
 @query(
@@ -211,7 +211,7 @@ def _(spark, d):
     f"WITH {DOC_FLAGS_CTE} SELECT doc_id, array_to_string({TYPES_SQL}, ', ') AS types FROM f WHERE {S.ANY_FLAG}",
 )
 def _(spark, d):
-    df = markup.flagged_records(table(spark, d, "documents"), "text")
+    df = markup.flagged_records(texts(spark, d), "text")
     return df.select("doc_id", F.array_join("markup_types", ", ").alias("types"))
 
 
@@ -231,7 +231,7 @@ def _(spark, d):
     f" count(*) FILTER {S.ANY_FLAG} * 100.0::DOUBLE / count(*) AS markup_pct FROM f",
 )
 def _(spark, d):
-    return markup.markup_share(table(spark, d, "documents"), "text")
+    return markup.markup_share(texts(spark, d), "text")
 
 
 @query(
@@ -240,7 +240,7 @@ def _(spark, d):
     f" AS preview, array_to_string({TYPES_SQL}, ', ') AS types FROM f WHERE {S.ANY_FLAG} ORDER BY doc_id LIMIT 3",
 )
 def _(spark, d):
-    df = markup.markup_previews(table(spark, d, "documents"), "text", "doc_id")
+    df = markup.markup_previews(texts(spark, d), "text", "doc_id")
     return df.select("doc_id", "preview", F.array_join("markup_types", ", ").alias("types"))
 
 

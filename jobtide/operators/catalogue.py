@@ -72,11 +72,11 @@ def dropped_role_field_count(
 ) -> DataFrame:
     """Number of role fields that dropping removes; an absent field reads as NULL."""
     present = _element_fields(df, column)
-    per_role = [
-        F.size(F.filter(col(column), lambda r, n=n: r.getField(n).isNotNull()))
-        for n in fields if n in present
-    ]
-    total = reduce(lambda a, b: a + b, per_role, F.lit(0))
+
+    def filled(name: str) -> Column:
+        return F.size(F.filter(col(column), lambda r: r.getField(name).isNotNull()))
+
+    total = reduce(lambda a, b: a + b, [filled(f) for f in fields if f in present], F.lit(0))
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("removed_fields"))
 
 

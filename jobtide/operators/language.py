@@ -32,12 +32,12 @@ def words(c: Column) -> Column:
 def language_scores(c: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
     """(hits, code) structs: how many words of a text each language's list holds."""
     tokens = words(c)
+
+    def hits(vocabulary: Sequence[str]) -> Column:
+        return F.size(F.filter(tokens, lambda w: w.isin(list(vocabulary))))
+
     return F.array(*[
-        F.struct(
-            F.size(F.filter(tokens, lambda w, v=list(v): w.isin(v))).alias("hits"),
-            F.lit(code).alias("code"),
-        )
-        for code, v in profiles.items()
+        F.struct(hits(v).alias("hits"), F.lit(code).alias("code")) for code, v in profiles.items()
     ])
 
 

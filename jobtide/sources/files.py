@@ -29,9 +29,11 @@ def read_records(
     return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON objects, one row per document."""
-    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+def read_documents(
+    spark: SparkSession, path: str, schema: T.StructType, lines: bool = False
+) -> DataFrame:
+    """JSON objects, one row per document: one file each, or one line each."""
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def read_cleaned(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -74,3 +76,16 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a small input over all cores before costly work on its rows.
+
+    A few files mean a few tasks, however many cores there are. With at least as
+    many files as cores the input is left where it is, so large tables are never
+    moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores, *[F.col(f"`{k}`") for k in key])
