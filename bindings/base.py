@@ -128,7 +128,7 @@ SKILL_EXPR = (
 
 
 def part_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{SKILL_EXPR} AS skill")
+    return texts(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey AS id", f"{SKILL_EXPR} AS skill")
 
 
 PART_SKILLS_CTE = f"s AS (SELECT p_partkey AS id, {SKILL_EXPR} AS skill FROM part)"

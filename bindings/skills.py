@@ -48,12 +48,12 @@ def lookup_sql(c: str, table_: dict) -> str:
 
 
 TOKENS_CTE = (
-    f"{PART_SKILLS_CTE}, x AS (SELECT id, unnest({split_sql('skill')}) AS raw_skill,"
+    f"{PART_SKILLS_CTE}, x AS MATERIALIZED (SELECT id, unnest({split_sql('skill')}) AS raw_skill,"
     f" generate_subscripts({split_sql('skill')}, 1) - 1 AS pos FROM s),"
-    f" y AS (SELECT *, {tidy_sql('raw_skill')} AS tidy FROM x WHERE NOT regexp_matches(raw_skill, {lit(NOISE_TOKEN)})),"
-    f" z AS (SELECT *, {plain_sql(main_sql('tidy'))} AS plain FROM y),"
-    f" a AS (SELECT *, {lookup_sql('plain', PRODUCT_ALIASES)} AS aliased FROM z),"
-    f" tok AS (SELECT id AS job_posting_id, pos::INTEGER AS pos, raw_skill, {lookup_sql('aliased', CANONICAL_TERMS)}"
+    f" y AS MATERIALIZED (SELECT *, {tidy_sql('raw_skill')} AS tidy FROM x WHERE NOT regexp_matches(raw_skill, {lit(NOISE_TOKEN)})),"
+    f" z AS MATERIALIZED (SELECT *, {plain_sql(main_sql('tidy'))} AS plain FROM y),"
+    f" a AS MATERIALIZED (SELECT *, {lookup_sql('plain', PRODUCT_ALIASES)} AS aliased FROM z),"
+    f" tok AS MATERIALIZED (SELECT id AS job_posting_id, pos::INTEGER AS pos, raw_skill, {lookup_sql('aliased', CANONICAL_TERMS)}"
     " AS normalized_skill FROM a WHERE normalized_skill NOT IN ('', 'english', 'cybersecurity')),"
     " dim AS (SELECT row_number() OVER (ORDER BY normalized_skill) AS id, normalized_skill FROM"
     " (SELECT DISTINCT normalized_skill FROM tok))"

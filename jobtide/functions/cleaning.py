@@ -47,10 +47,10 @@ drop_gender_markers = _step(P.GENDER_MARKER, " ")
 drop_quotes = _step(P.QUOTE, "", '"', "'")
 empty_separator_lines = _step(P.SEPARATOR_LINE, "")
 drop_emoji = _step(P.EMOJI, " ")
-collapse_blanks = _step(P.BLANKS, " ")
-tighten_newlines = _step(P.NEWLINE_SPACING, "\n")
-collapse_newlines = _step(P.NEWLINES, "\n")
-newline_to_period = _step(P.OPEN_NEWLINE, ". ")
+collapse_blanks = _step(P.BLANKS, " ", "  ", "\t")
+tighten_newlines = _step(P.NEWLINE_SPACING, "\n", " \n", "\n ")
+collapse_newlines = _step(P.NEWLINES, "\n", "\n\n")
+newline_to_period = _step(P.OPEN_NEWLINE, ". ", "\n")
 
 
 def drop_call_to_action(c: Column) -> Column:

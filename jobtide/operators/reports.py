@@ -80,10 +80,11 @@ def skill_frequency(bridge: DataFrame, postings: DataFrame, top_n: int = 30) ->
     """The n most frequent skills, with their share of all postings."""
     total = postings.agg(F.count("*")).scalar()
     top = skill_counts(bridge).orderBy(F.desc("occurrences"), "normalized_skill").limit(clamp(top_n, 5, 200))
-    share = F.when(total > 0, F.col("occurrences") / total).otherwise(F.lit(0.0))
-    top = top.withColumn("frequency", share)
-    pct = F.col("frequency") * 100
-    return top.withColumns({"frequency_pct": pct, "label_suffix": F.round(pct, 2)})
+    share = F.coalesce(F.try_divide(F.col("occurrences"), total), F.lit(0.0))
+    return top.select(
+        "normalized_skill", "occurrences", share.alias("frequency"),
+        (share * 100).alias("frequency_pct"), F.round(share * 100, 2).alias("label_suffix"),
+    )
 
 
 def postings_per_country(
@@ -102,13 +103,14 @@ def demand_by_country(
 ) -> DataFrame:
     """(country, total_postings, rank, skill, count, frequency, frequency_pct), n skills per country.
 
-    Bridge and postings meet on the posting, and that placement also serves the
-    distinct count, so the large tables move once. The rank limit cuts each
-    country to n skills before the last, small exchange.
+    Bridge and postings meet on the posting, and that placement also serves both
+    distinct counts, so each large table is read and moved once. The rank limit
+    cuts each country to n skills before the last, small exchange.
     """
     placed = in_countries(postings, "country", countries).select(
         col("id").alias("job_posting_id"), "country"
-    )
+    ).where("job_posting_id IS NOT NULL").repartition("job_posting_id")
+    totals = placed.groupBy("country").agg(F.countDistinct("job_posting_id").alias("total_postings"))
     counts = (
         bridge.select("job_posting_id", "normalized_skill")
         .join(placed, "job_posting_id")
@@ -117,14 +119,10 @@ def demand_by_country(
     )
     order = Window.partitionBy("country").orderBy(F.desc("count"), "normalized_skill")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= clamp(top_n, 3, 10))
-    share = F.when(F.col("total_postings") > 0, F.col("count") / F.col("total_postings")).otherwise(F.lit(0.0))
-    return (
-        top.join(postings_per_country(postings, countries), "country")
-        .withColumn("_share", share)
-        .select(
-            "country", "total_postings", "rank", col("normalized_skill").alias("skill"), "count",
-            F.round("_share", 4).alias("frequency"), F.round(F.col("_share") * 100, 2).alias("frequency_pct"),
-        )
+    share = F.coalesce(F.try_divide(F.col("count"), F.col("total_postings")), F.lit(0.0))
+    return top.join(totals, "country").select(
+        "country", "total_postings", "rank", col("normalized_skill").alias("skill"), "count",
+        F.round(share, 4).alias("frequency"), F.round(share * 100, 2).alias("frequency_pct"),
     )
 
 
@@ -203,7 +201,7 @@ def coverage(
     ])
     rows = to_long(counts, {t: f"t{i}" for i, t in enumerate(thresholds)}, "threshold", "covered")
     rows = rows.withColumn("total_skills", total).where("total_skills > 0")
-    return rows.withColumn("coverage", F.col("covered") / F.col("total_skills"))
+    return rows.withColumn("coverage", F.try_divide("covered", "total_skills"))
 
 
 def match_counts(similarity: DataFrame, skills: DataFrame, model: str) -> DataFrame:
