@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,8 +72,8 @@ def language_distribution(
     texts = head_sample(keep_valid(df, column), key, mode, sample_size)
     found = with_language(texts, column, "language", **detection)
     counts = found.groupBy("language").agg(F.count("*").alias("records"))
-    total = texts.agg(F.count("*")).scalar()
-    return counts.withColumn("sampled_records", total)
+    # One row per language, so the total is a window over a handful of rows.
+    return counts.withColumn("sampled_records", F.sum("records").over(Window.partitionBy()))
 
 
 def english_share(found: DataFrame, column: str = "language", floor: float = 90.0) -> DataFrame:

@@ -103,19 +103,21 @@ def demand_by_country(
 ) -> DataFrame:
     """(country, total_postings, rank, skill, count, frequency, frequency_pct), n skills per country.
 
-    Bridge and postings meet on the posting, and that placement also serves both
-    distinct counts, so each large table is read and moved once. The rank limit
-    cuts each country to n skills before the last, small exchange.
+    ``id`` is the key of the postings. Making (posting, skill) unique first
+    combines repeated tokens before they move, and leaves plain counts behind the
+    join, so that Spark is free to split a posting that holds many rows. The rank
+    limit cuts each country to n skills before the last, small exchange.
     """
     placed = in_countries(postings, "country", countries).select(
         col("id").alias("job_posting_id"), "country"
-    ).where("job_posting_id IS NOT NULL").repartition("job_posting_id")
-    totals = placed.groupBy("country").agg(F.countDistinct("job_posting_id").alias("total_postings"))
+    )
+    totals = placed.groupBy("country").agg(F.count("*").alias("total_postings"))
     counts = (
         bridge.select("job_posting_id", "normalized_skill")
+        .distinct()
         .join(placed, "job_posting_id")
         .groupBy("country", "normalized_skill")
-        .agg(F.countDistinct("job_posting_id").alias("count"))
+        .agg(F.count("*").alias("count"))
     )
     order = Window.partitionBy("country").orderBy(F.desc("count"), "normalized_skill")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= clamp(top_n, 3, 10))

@@ -85,19 +85,24 @@ def insert_if_absent(
     return target.unionByName(new_rows(source, target, key, order))
 
 
-def number_rows(df: DataFrame, order: Sequence[str], into: str = "id", start: int = 1) -> DataFrame:
-    """Consecutive numbers in the given order, which must be total.
+def number_rows(
+    df: DataFrame, order: Sequence[str] | None = None, into: str = "id", start: int = 1
+) -> DataFrame:
+    """Consecutive numbers in the given order, or in the order the rows are stored.
 
-    Rows are sorted into ranges over all tasks and checkpointed, so that the
-    placement the numbers come from is fixed. Only the row count of each range
-    is brought together.
+    Ordered rows are sorted into ranges over all tasks; without an order no row
+    moves, which suits wide tables. The rows are then checkpointed, so that the
+    placement the numbers come from is fixed. Only the row count of each task is
+    brought together.
     """
-    keys = [col(c) for c in order]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = df
+    if order:
+        keys = [col(c) for c in order]
+        placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = placed.withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
     placed = cut_lineage(placed)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    # One row per range, so this window holds no more rows than there are tasks.
+    # One row per task, so this window holds no more rows than there were tasks.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     offsets = sizes.select("_part", "_first", before.alias("_before"))
@@ -113,13 +118,9 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose non-null key has no parent."""
-    keys = parent.select(col(parent_key).alias(child_key))
-    return child.where(col(child_key).isNotNull()).join(keys, child_key, "left_anti")
-
-
-def null_counts(df: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(col(c).isNull(), 1).otherwise(0) for c in columns])
+    """(key, rows) of the non-null child keys without a parent; counted before they move."""
+    counts = child.where(col(child_key).isNotNull()).groupBy(col(child_key)).agg(F.count("*").alias("rows"))
+    return counts.join(parent.select(col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
 def check_table(
@@ -144,7 +145,7 @@ def check_table(
     for child_key, (parent, parent_key) in (foreign or {}).items():
         missing = orphans(df, parent, child_key, parent_key)
         checks.append(
-            missing.agg(F.count("*").alias("violations"))
+            missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violations"))
             .select(F.lit(f"foreign key {child_key}").alias("check"), "violations")
         )
     return reduce(DataFrame.unionByName, checks)

@@ -31,3 +31,37 @@ def test_cleaning_does_not_shuffle(spark):
 def test_rank_limit_is_applied_before_the_shuffle(spark, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_posting_is_split(spark):
+    """A posting with a third of the rows is split by the join of the country report."""
+    from pyspark.sql import functions as F
+
+    from jobtide.operators import reports
+
+    n = 120_000
+    bridge = spark.range(n).select(
+        F.when(F.col("id") < n / 3, 7).otherwise(F.col("id")).alias("job_posting_id"),
+        F.concat(F.lit("skill number "), F.col("id").cast("string")).alias("normalized_skill"),
+    )
+    postings = spark.range(n).select("id", F.concat(F.lit("land "), (F.col("id") / 1000).cast("int").cast("string")).alias("country"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        report = reports.demand_by_country(bridge, postings, 3, None)
+        rows = report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert {r["total_postings"] for r in rows if r["country"] in ("land 0", "land 50")} == {1000}

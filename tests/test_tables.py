@@ -43,6 +43,12 @@ def test_numbers_with_a_common_prefix(spark):
     assert [r["id"] for r in out] == list(range(1, 901)) and [r["t"] for r in out] == sorted(r["t"] for r in out)
 
 
+def test_numbers_in_stored_order(spark):
+    df = spark.range(0, 1000, 1, 13)
+    out = tables.number_rows(df.withColumnRenamed("id", "x"))
+    assert out.where(F.col("id") != F.col("x") + 1).count() == 0 and out.count() == 1000
+
+
 def test_number_no_rows(spark):
     assert tables.number_rows(keyed(spark, []), ["k"]).count() == 0
 
