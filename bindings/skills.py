@@ -11,6 +11,7 @@ from bindings.base import PART_SKILLS_CTE, lit, part_skills, query, table, texts
 from jobtide.functions.text import fold_accents
 from jobtide.lookups import CANONICAL_TERMS, PRODUCT_ALIASES
 from jobtide.operators import records, reports, skills
+from jobtide.sources.files import spread
 from jobtide.sources.tables import number_rows
 
 NOISE_TOKEN = r"(?i)\b\d+\s+of\s+\d+\s+skill\s+matches\s+your\s+profile\b|\byou\s+may\s+be\s+a\s+good\s+fit\b"
@@ -218,11 +219,12 @@ NAMES_CTE = (
 
 def order_tokens(spark, d):
     """(job_posting_id, normalized_skill) per line and skill; not yet unique."""
-    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("skill"))
+    parts = texts(spark, d, "part", "p_partkey").select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("skill"))
     named = skills.explode_skills(parts, "p_partkey", "skill").select(
         F.col("job_posting_id").alias("l_partkey"), "normalized_skill"
     )
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_posting_id"), "l_partkey")
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    lines = lines.select(F.col("l_orderkey").alias("job_posting_id"), "l_partkey")
     return lines.join(named, "l_partkey").select("job_posting_id", "normalized_skill")
 
 

@@ -29,10 +29,8 @@ def words(c: Column) -> Column:
     return F.split(F.lower(c), r"[^\p{L}]+", -1)
 
 
-def language_scores(c: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
+def language_scores(tokens: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
     """(hits, code) structs: how many words of a text each language's list holds."""
-    tokens = words(c)
-
     def hits(vocabulary: Sequence[str]) -> Column:
         return F.size(F.filter(tokens, lambda w: w.isin(list(vocabulary))))
 
@@ -41,27 +39,38 @@ def language_scores(c: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
     ])
 
 
-def detect_language(c: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
-    """Language whose list holds most words of the text; the first listed wins a tie.
+def best_language(tokens: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
+    """Language whose list holds most of the words; the first listed wins a tie.
 
     Scored within the row, so nothing is shuffled. "unknown" when no list has a hit.
     """
-    scores = language_scores(c, profiles)
     best = F.reduce(
-        scores,
+        language_scores(tokens, profiles),
         F.struct(F.lit(0).alias("hits"), F.lit("unknown").alias("code")),
         lambda acc, s: F.when(s["hits"] > acc["hits"], s).otherwise(acc),
     )
     return F.coalesce(best["code"], F.lit("unknown"))
 
 
+def detect_language(c: Column, profiles: Profiles = FUNCTION_WORDS) -> Column:
+    """Language of a text, as one column function."""
+    return best_language(words(c), profiles)
+
+
 def with_language(
     df: DataFrame, column: str, into: str = "language", profiles: Profiles = FUNCTION_WORDS,
-    detector: Callable[[Column], Column] | None = None,
+    detector: Callable[[Column], Column] | None = None, snippet_chars: int | None = None,
 ) -> DataFrame:
-    """Language code per text. ``detector`` may be any column function, e.g. a Pandas UDF."""
-    code = detector(col(column)) if detector else detect_language(col(column), profiles)
-    return df.withColumn(into, code)
+    """Language code per text. ``detector`` may be any column function, e.g. a Pandas UDF.
+
+    The whole text is read unless a snippet length is given. The built-in detector
+    gets its words from a projection of their own, as every language reads them.
+    """
+    text = col(column) if snippet_chars is None else F.substring(col(column), 1, snippet_chars)
+    if detector is not None:
+        return df.withColumn(into, detector(text))
+    worded = df.withColumn("_words", words(text))
+    return worded.withColumn(into, best_language(F.col("_words"), profiles)).drop("_words")
 
 
 def language_distribution(
@@ -91,11 +100,13 @@ def route(c: Column, language: Column | None) -> Column:
 
 def with_route(
     df: DataFrame, column: str, into: str = "route", snippet_chars: int | None = None,
-    detector: Callable[[Column], Column] | None = detect_language,
+    detector: Callable[[Column], Column] | None = None, detect: bool = True,
 ) -> DataFrame:
-    """Route of each text. Detection reads the whole text unless a snippet length is given."""
-    text = col(column) if snippet_chars is None else F.substring(col(column), 1, snippet_chars)
-    return df.withColumn(into, route(col(column), detector(text) if detector else None))
+    """Route of each text; without detection no text is translated."""
+    if not detect:
+        return df.withColumn(into, route(col(column), None))
+    found = with_language(df, column, "_language", detector=detector, snippet_chars=snippet_chars)
+    return found.withColumn(into, route(col(column), F.col("_language"))).drop("_language")
 
 
 def chunks(c: Column, size: int = 4000) -> Column:
@@ -130,7 +141,7 @@ def rewrite_chunks(pieces: Column, load_rewriter: Callable[[], Rewriter]) -> Col
 def translate_fields(
     df: DataFrame, fields: Sequence[str], load_rewriter: Callable[[], Rewriter],
     chunk_size: int = 4000, snippet_chars: int | None = None,
-    detector: Callable[[Column], Column] | None = detect_language,
+    detector: Callable[[Column], Column] | None = None, detect: bool = True,
 ) -> DataFrame:
     """Rewrite the texts routed to translation, and add ``<field>_outcome``.
 
@@ -139,7 +150,7 @@ def translate_fields(
     for field in fields:
         if field not in df.columns:
             continue
-        df = with_route(df, field, "_route", snippet_chars, detector)
+        df = with_route(df, field, "_route", snippet_chars, detector, detect)
         routed = F.when(F.col("_route") == "translate", chunks(col(field), chunk_size))
         df = df.withColumn("_new", rewrite_chunks(routed, load_rewriter))
         outcome = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobtide.functions import patterns as P
 from jobtide.functions.blocks import kept_text, labelled_blocks
 from jobtide.functions.cleaning import clean_text, collapse_blanks, drop_gender_markers
-from jobtide.functions.text import percent, present, strip
+from jobtide.functions.text import percent, present, settle, strip
 from jobtide.operators.blocks import block_stat_columns
 from jobtide.operators.records import col, existing, to_long
 
@@ -58,7 +58,7 @@ def records_with_markup(df: DataFrame, column: str) -> DataFrame:
 
 def flagged_records(df: DataFrame, column: str) -> DataFrame:
     """Records with markup, with the labels that fired."""
-    flagged = with_markup(df, column)
+    flagged = settle(with_markup(df, column), "markup")
     types = markup_types(F.col("markup"))
     return flagged.where(any_markup(F.col("markup"))).withColumn("markup_types", types).drop("markup")
 

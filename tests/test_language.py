@@ -17,7 +17,7 @@ def test_routes(spark):
     rows = [("the cat is here",), ("le chat et la souris",), ("qqq",), (" \t",), (None,)]
     df = spark.createDataFrame(rows, "t string")
     assert [r["route"] for r in lang.with_route(df, "t").collect()] == ["skip", "translate", "skip", "missing", "missing"]
-    assert [r["route"] for r in lang.with_route(df, "t", detector=None).collect()] == ["skip", "skip", "skip", "missing", "missing"]
+    assert [r["route"] for r in lang.with_route(df, "t", detect=False).collect()] == ["skip", "skip", "skip", "missing", "missing"]
 
 
 def test_snippet_is_optional(spark):
