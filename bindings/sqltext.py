@@ -59,13 +59,13 @@ ACTION = (
 ENTITY = r"&(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);"
 FORMATTING = r"\*\*[^*]+\*\*|__[^_]+__|`[^`]+`"
 
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "\u00a9", "&middot;": "\u00b7", "&amp;": "&"}
+ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&copy;?": "\u00a9", "&middot;?": "\u00b7", "&amp;?": "&"}
 
 
 def unescape(x: str) -> str:
-    """The entities that occur in the tables."""
+    """The entities that occur in the tables; cut-off ones lack the semicolon."""
     for entity, char in ENTITIES.items():
-        x = f"replace({x}, {lit(entity)}, {lit(char)})"
+        x = sub(x, entity, char)
     return x
 
 
