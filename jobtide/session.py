@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,28 @@ def get_session(app_name: str = "jobtide", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_packages(spark)
+    return spark
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_packages(spark: SparkSession, *names: str) -> None:
+    """Let Python workers import this package (and others), once per application.
+
+    Needed wherever the package is not installed on the executors.
+    """
+    sc = spark.sparkContext
+    for name in names or ("jobtide",):
+        if (sc.applicationId, name) in _shipped:
+            continue
+        root = Path(importlib.import_module(name).__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="jobtide-")) / name
+        # The driver hands the archive to the executors itself.
+        sc.addPyFile(shutil.make_archive(str(target), "zip", root.parent, root.name))
+        _shipped.add((sc.applicationId, name))
 
 
 def shared_dir(spark: SparkSession) -> str:
