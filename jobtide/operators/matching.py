@@ -24,6 +24,8 @@ from jobtide.operators.records import col
 # Scores are compared to this many digits, so that ties between equal vectors do
 # not depend on the shape of the block they were computed in.
 SCORE_DIGITS = 10
+# Candidates are taken this much below a limit, and decided after rounding.
+SLACK = 1e-9
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -36,13 +38,18 @@ def _block_scores(top_k: int | None, minimum: float, slice_rows: int):
 
     def best(left: np.ndarray, right: np.ndarray):
         for start in range(0, len(left), slice_rows):
-            scores = np.round(left[start:start + slice_rows] @ right.T, SCORE_DIGITS)
-            keep = scores >= minimum
-            if top_k is not None and top_k < scores.shape[1]:
+            scores = left[start:start + slice_rows] @ right.T
+            keep = scores >= minimum - SLACK
+            # A selective minimum leaves few pairs; else cut each row near its k-th score.
+            crowded = top_k is not None and top_k < scores.shape[1] and np.count_nonzero(keep) > 16 * top_k * len(scores)
+            if crowded:
                 kth = np.partition(scores, scores.shape[1] - top_k, axis=1)[:, -top_k]
-                keep &= scores >= kth[:, None]
-            rows, cols = np.nonzero(keep)
-            values = scores[rows, cols]
+                keep &= scores >= kth[:, None] - SLACK
+            found = np.flatnonzero(keep)
+            rows, cols = np.divmod(found, scores.shape[1])
+            values = np.round(scores.ravel()[found], SCORE_DIGITS)
+            enough = values >= minimum
+            rows, cols, values = rows[enough], cols[enough], values[enough]
             if top_k is not None:
                 # Columns are in item order, so the stable sort breaks ties by item.
                 order = np.lexsort((cols, -values, rows))
