@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.llm import lexicon, tokens
+from jobtide.llm import lexicon, partenum, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +37,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document by the word-level vocabulary."""
     return lexicon.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+@query("op10_jaccard_components")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a similarity of 0.85 or more."""
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
