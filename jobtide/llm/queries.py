@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobtide.llm import lexicon, partenum, tokens
+from jobtide.llm import langid, lexicon, partenum, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +34,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def held_out() -> F.Column:
+    """Whether a document is kept from learning. Rows without an id are not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fit_toxicity(spark: SparkSession, sf_dir: str):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.fit(toxicity.sample_labels(documents, labels))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two thirds of the ids."""
+    weights = fit_toxicity(spark, sf_dir)
+    documents = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
+    return toxicity.score(documents, weights, keep=["doc_id", "held_out"])
+
+
+def learn_languages(spark: SparkSession, sf_dir: str):
+    return langid.learn(table(spark, sf_dir, "documents").where(~held_out()))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids."""
+    known = learn_languages(spark, sf_dir)
+    documents = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
+    return langid.identify(documents, known, keep=["doc_id", "held_out"])
+
+
 @query("op5_word_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document by the word-level vocabulary."""
