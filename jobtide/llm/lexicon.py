@@ -26,6 +26,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from jobtide.llm import latin
 from jobtide.llm.bytetext import column, hash_spans, map_texts, slices
+from jobtide.llm.components import written
 
 #: Entries of a task's memory of words, before it is emptied; words of one partial count.
 MEMORY, COUNTED = 300_000, 200_000
@@ -265,12 +266,21 @@ def count_words(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, path: str, text: str = "text", size: int = 65_536) -> bytes:
-    """Compiled lexicon of the ``size`` most frequent words of the whole corpus (ties: smaller word).
+    """Compiled lexicon of the most frequent words of the whole corpus, ``size`` at most.
 
-    Only these words reach the driver, so that what is compiled and sent to the tasks is
-    bounded by the parameter.
+    Words that are as frequent as each other are in or out together, so that no task has to
+    rank them. Only the chosen ones reach the driver: what is compiled and sent to the
+    tasks is bounded by the parameter.
     """
-    top = count_words(df, path, text).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
+    counts = written(count_words(df, path, text), "words")
+    steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(size).collect()
+    least, room = None, size
+    for step in steps:
+        room -= step["words"]
+        if room < 0:
+            break
+        least = step["n"]
+    top = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word").toArrow()
     bpe = WordBpe(path)
     return compile_lexicon({w: bpe.merge(w) for w in top.column(0).to_pylist()})
 
