@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import langid, lexicon, partenum, tokens, toxicity
+from jobtide.llm import langid, lexicon, mixing, partenum, sketch, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +70,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every document and of its edited text, and their likeness."""
+    return sketch.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+#: Weights of the sources, in turn.
+WEIGHTS = [5.0, 2.0, 1.0]
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by a mix of all sources."""
+    return mixing.report(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 @query("op10_jaccard_components")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a similarity of 0.85 or more."""
