@@ -27,8 +27,10 @@ WEAK = 1
 BAND = 1.6
 #: Bits of the filter that picks the sets to be compared; a fuller one only lets more through.
 FILTER_BITS = 1 << 24
-#: Names of nodes without a key begin here.
-NO_KEY = 9_000_000_000_000_000_000
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 2_048
+#: Nodes without a key get one from here on, by their name.
+NO_KEY, KEY_MASK = 9_000_000_000_000_000_000, (1 << 44) - 1
 
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -173,39 +175,71 @@ def _marks(nodes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of names whose sets are similar enough, by their exact intersection."""
+def _parity(s: np.ndarray) -> bytes:
+    """Per bit the parity of the set's elements there: two sets differ in as many elements as bits at least."""
+    count = np.bincount((mix(s + _SALT[1]) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def _gathered(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, content) -> DataFrame:
+    """The pairs (a, b) with the contents (x, y) and sizes (xn, yn) of their sets, each set read from one document."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(wanted.join(nodes, "node"), "wanted")
     marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, FILTER_BITS))
 
-    def pick(_: list, given: pa.Array) -> list:
+    def pick(kept: list, given: pa.Array) -> list:
         sets, names = _read(given, n)
         at = names & np.uint64(FILTER_BITS - 1)
         hit = (marks.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-        use = [i for i in np.unique(names, return_index=True)[1].tolist() if hit[i] and len(sets[i])]
+        use = [i for i in np.flatnonzero(hit).tolist() if len(sets[i])]
+        keys = kept[0].take(pa.array(use, pa.int64())).to_pylist()
+        reps = [NO_KEY + (int(names[i]) & KEY_MASK) if k is None else k for i, k in zip(use, keys)]
         return [
-            ("node", pa.array(names[use].view(np.int64))), ("elements", pa.array([sets[i].tobytes() for i in use], pa.binary())),
+            ("node", pa.array(names[use].view(np.int64))), ("rep", pa.array(reps, pa.int64())),
+            ("size", pa.array([len(sets[i]) for i in use], pa.int32())), ("content", pa.array([content(sets[i]) for i in use], pa.binary())),
         ]
 
-    found = _pass(texts, [], "node long, elements binary", pick)
-    sets = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"))
-    sets = written(sets, "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    found = _pass(texts, ["__key"], "node long, rep long, size int, content binary", pick).join(wanted, ["node", "rep"], "left_semi")
+    left = found.select(F.col("node").alias("a"), F.col("size").alias("xn"), F.col("content").alias("x"))
+    right = found.select(F.col("node").alias("b"), F.col("size").alias("yn"), F.col("content").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "xn", "yn")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _kept(df: DataFrame, test) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(den * shared >= num * (len(x) + len(y) - shared))
-            good = np.array(good, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["a", "b"])
+            good = pa.array(test(batch), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return df.mapInArrow(run, "a long, b long")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of names whose sets are similar enough.
+
+    Short parity sketches rule out most pairs, as they bound the number of differing
+    elements from below; the sets of the others are intersected.
+    """
+    def close(batch: pa.RecordBatch) -> np.ndarray:
+        if not batch.num_rows:
+            return np.empty(0, bool)
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        both = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+        return differ * (den + num) <= both * (den - num)
+
+    def alike(batch: pa.RecordBatch) -> list[bool]:
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            good.append(den * shared >= num * (len(x) + len(y) - shared))
+        return good
+
+    near = written(_kept(_gathered(pairs, nodes, texts, n, _parity), close).distinct(), "near")
+    return _kept(_gathered(near, nodes, texts, n, np.ndarray.tobytes), alike).distinct()
 
 
 def jaccard_components(
@@ -234,7 +268,7 @@ def jaccard_components(
     rows = written(_pass(texts, ["__key"], "__key long, n long, node long", measure), "sizes")
     nodes = written(
         rows.where("n > 0").groupBy("node").agg(F.min("__key").alias("rep"))
-        .select("node", F.coalesce("rep", F.expr(f"{NO_KEY} + (node & 17592186044415)")).alias("rep")),
+        .select("node", F.coalesce("rep", F.expr(f"{NO_KEY} + (node & {KEY_MASK})")).alias("rep")),
         "nodes",
     )
 
@@ -258,7 +292,7 @@ def jaccard_components(
     stars = written(_stars(_pass(texts, [], "sig long, node long, n int", sign)), "stars")
     alike = f"{den} * least(leader_n, n) >= {num} * greatest(leader_n, n)"
     pairs = written(stars.where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = written(_named(_linked(pairs, texts, n, num, den), nodes), "links")
+    links = written(_named(_linked(pairs, nodes, texts, n, num, den), nodes), "links")
     labels = written(_labels(nodes, components(links)), "node_labels")
 
     # Members of one bucket that are still apart. A bucket of two has been compared.
@@ -272,7 +306,7 @@ def jaccard_components(
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
-        more = written(_named(_linked(apart, texts, n, num, den), nodes), "links")
+        more = written(_named(_linked(apart, nodes, texts, n, num, den), nodes), "links")
         if not more.isEmpty():
             labels = written(_labels(nodes, components(links.unionByName(more))), "node_labels")
     found = labels.select("node", F.when(F.col("component") < NO_KEY, F.col("component")).alias("component_id"))
