@@ -8,7 +8,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import langid, lexicon, mixing, partenum, sketch, tokens, toxicity
+from jobtide.llm import langid, lexicon, mixing, partenum, sketch, tokens, topk, toxicity, urls, warc
+from jobtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Host, beginning of the path, verdict.
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def _op1_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{h}{p}', '{v}')" for h, p, v in RULES)
+    return f"""
+    WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    r(h, s, rule, v) AS (VALUES {rules}),
+    u AS (SELECT host, path, count(*) AS n FROM p GROUP BY ALL),
+    b AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM u
+        JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL)
+    SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN n > 1 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM p JOIN u ON p.host = u.host AND p.path = u.path LEFT JOIN b ON p.host = b.host AND p.path = b.path"""
+
+
+@query("op1_url_filter", _op1_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL. Listed are the canonical URLs that several pages have."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = urls.canonical(pages).groupBy("host", "path").count().where("count > 1")
+    return urls.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the byte-level vocabulary."""
@@ -80,12 +109,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = [5.0, 2.0, 1.0]
 
 
+_OP7_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 20"""
+
+
+@query("op7_top_k", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by integer inner product."""
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, "id % 20 = 0").withColumnRenamed("id", "vec_id")
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by a mix of all sources."""
     return mixing.report(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
+_OP9_SQL = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS k, sha1(body) AS h, min(page_id) OVER (PARTITION BY sha256(body)) AS first FROM p),
+    b AS (SELECT *, list_aggregate(list_transform(range(4), lambda g: list_aggregate(list_transform(range(8), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(('0x' || substr(h, 1 + 10 * g, 10)) AS BIGINT) >> CAST(35 - 5 * i AS BIGINT)) & 31 AS BIGINT), 1)),
+        'string_agg', '')), 'string_agg', '') AS digest FROM d)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
+
+
+@query("op9_warc", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.parsed(warc.read_archive(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_jaccard_components")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a similarity of 0.85 or more."""
