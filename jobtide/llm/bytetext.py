@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of text handled at once, and of one hashed piece.
 SLICE, PIECE = 2 << 20, 1 << 20
@@ -151,15 +151,18 @@ def map_texts(
     """
     names = {f.name for f in outputs}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    given = df.select(*[column(c) for c in keep], column(text).cast("string").alias("__text"))
-    schema = StructType([f for f in given.schema.fields[:-1]] + outputs)
+    # A text column that is kept moves once.
+    same = text in keep and df.schema[text].dataType == StringType()
+    given = df.select(*[column(c) for c in keep], *([] if same else [column(text).cast("string").alias("__text")]))
+    schema = StructType(given.schema.fields[: len(keep)] + outputs)
+    name, at = (text, keep.index(text)) if same else ("__text", len(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, name):
                 work = work or make()
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(part.column(len(keep)))]
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(part.column(at))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))] + made, [*keep, *[f.name for f in outputs]]
                 )
