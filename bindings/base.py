@@ -11,8 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtide.sources.files import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -37,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    """A table of long texts, spread over all cores when it comes in a few files."""
-    return spread(table(spark, sf_dir, name), key)
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, read as its files are cut."""
+    return table(spark, sf_dir, name)
 
 
 def lit(text: str) -> str:
@@ -128,7 +126,7 @@ SKILL_EXPR = (
 
 
 def part_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey AS id", f"{SKILL_EXPR} AS skill")
+    return texts(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{SKILL_EXPR} AS skill")
 
 
 PART_SKILLS_CTE = f"s AS (SELECT p_partkey AS id, {SKILL_EXPR} AS skill FROM part)"

@@ -176,3 +176,12 @@ def _(spark, d):
 )
 def _(spark, d):
     return terms.top_terms(terms.field_texts(raw_postings(spark, d)))
+
+
+@query(
+    "n04_top_terms_wide",
+    f"WITH {TERMS_CTE}, rk AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY occurrences DESC, term) AS rank FROM mg)"
+    " SELECT field, rank::INTEGER AS rank, term, occurrences FROM rk WHERE rank <= 5000",
+)
+def _(spark, d):
+    return terms.top_terms(terms.field_texts(raw_postings(spark, d)), 5_000).drop("weight")

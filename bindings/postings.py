@@ -16,17 +16,20 @@ AREA_EXPR = (
     " WHEN 'MACHINERY' THEN n_name || ' Region' WHEN 'HOUSEHOLD' THEN c_name || ', ' || n_name"
     " WHEN 'FURNITURE' THEN n_name || ',' ELSE 'Benelux ' || n_name END"
 )
-FORMS = [(p, s) for p in derive.AREA_PREFIXES for s in derive.AREA_SUFFIXES if p or s]
+# (location, country) pairs in both dialects; a name may stand for one country only.
+OVERRIDE_ROWS = " UNION ALL ".join(
+    f"SELECT {form} AS location, r_name AS country FROM nation JOIN region ON r_regionkey = n_regionkey"
+    for form in ("'Greater ' || n_name || ' Metropolitan Area'", "n_name || ' Region'", "'Greater ' || n_name || ' Area'")
+)
 OVERRIDE_CTE = (
     f"c AS (SELECT c_custkey, {AREA_EXPR} AS location FROM customer JOIN nation ON n_nationkey = c_nationkey),"
-    " o AS (SELECT location, min(country) AS country FROM ("
-    + " UNION ALL ".join(
-        f"SELECT {lit(p)} || n_name || {lit(s)} AS location, r_name AS country FROM nation"
-        " JOIN region ON r_regionkey = n_regionkey" for p, s in FORMS
-    )
-    + ") GROUP BY location), l AS (SELECT c_custkey, coalesce(o.country, c.location) AS location FROM c"
+    f" o AS ({OVERRIDE_ROWS}), l AS (SELECT c_custkey, coalesce(o.country, c.location) AS location FROM c"
     " LEFT JOIN o ON o.location = c.location)"
 )
+# The override table of the whole clean-up.
+AREAS = [
+    ("Greater Paris Metropolitan Region", "France"), ("Stuttgart Region", "Germany"), ("Rotterdam and The Hague", "Netherlands"),
+]
 
 
 def _customers(spark, d):
@@ -37,7 +40,11 @@ def _customers(spark, d):
 
 def _overrides(spark, d):
     named = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return derive.area_overrides(named.select(F.col("n_name").alias("place"), F.col("r_name").alias("country")))
+    forms = [
+        F.concat(F.lit("Greater "), "n_name", F.lit(" Metropolitan Area")), F.concat("n_name", F.lit(" Region")),
+        F.concat(F.lit("Greater "), "n_name", F.lit(" Area")),
+    ]
+    return named.select(F.explode(F.array(*forms)).alias("location"), F.col("r_name").alias("country"))
 
 
 @query("f01_location_override", f"WITH {OVERRIDE_CTE} SELECT c_custkey, location FROM l")
@@ -152,7 +159,7 @@ CLEAN_SQL = (
 
 @query("f06_clean_postings", CLEAN_SQL)
 def _(spark, d):
-    overrides = derive.area_overrides(derive.places_table(spark))
+    overrides = spark.createDataFrame(AREAS, "location string, country string")
     cleaned = clean_postings(raw_postings(spark, d), overrides)
     return cleaned.select(
         "id", F.col("Title").alias("title"), F.col("Description").alias("description"),

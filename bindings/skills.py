@@ -11,7 +11,6 @@ from bindings.base import PART_SKILLS_CTE, lit, part_skills, query, table, texts
 from jobtide.functions.text import fold_accents
 from jobtide.lookups import CANONICAL_TERMS, PRODUCT_ALIASES
 from jobtide.operators import records, reports, skills
-from jobtide.sources.files import spread
 from jobtide.sources.tables import number_rows
 
 NOISE_TOKEN = r"(?i)\b\d+\s+of\s+\d+\s+skill\s+matches\s+your\s+profile\b|\byou\s+may\s+be\s+a\s+good\s+fit\b"
@@ -219,11 +218,11 @@ NAMES_CTE = (
 
 def order_tokens(spark, d):
     """(job_posting_id, normalized_skill) per line and skill; not yet unique."""
-    parts = texts(spark, d, "part", "p_partkey").select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("skill"))
+    parts = texts(spark, d, "part").select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("skill"))
     named = skills.explode_skills(parts, "p_partkey", "skill").select(
         F.col("job_posting_id").alias("l_partkey"), "normalized_skill"
     )
-    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     lines = lines.select(F.col("l_orderkey").alias("job_posting_id"), "l_partkey")
     return lines.join(named, "l_partkey").select("job_posting_id", "normalized_skill")
 
@@ -261,6 +260,17 @@ def _(spark, d):
     return reports.skill_frequency(order_tokens(spark, d), table(spark, d, "orders"))
 
 
+@query(
+    "k05_frequency_wide",
+    f"WITH {NAMES_CTE}, t AS (SELECT normalized_skill, count(*) AS occurrences FROM br GROUP BY 1"
+    " ORDER BY occurrences DESC, normalized_skill LIMIT 500)"
+    " SELECT normalized_skill, occurrences, round(occurrences / (SELECT count(*) FROM orders) * 100, 2) AS label_suffix FROM t",
+)
+def _(spark, d):
+    wide = reports.skill_frequency(order_tokens(spark, d), table(spark, d, "orders"), 500)
+    return wide.select("normalized_skill", "occurrences", "label_suffix")
+
+
 DEMAND_CTE = (
     f"{NAMES_CTE}, tot AS (SELECT country, count(*) AS total_postings FROM po GROUP BY 1),"
     " cs AS (SELECT country, normalized_skill AS skill, count(*) AS n FROM br JOIN po ON po.id = br.job_posting_id GROUP BY 1, 2),"
@@ -270,6 +280,11 @@ DEMAND_CTE = (
 )
 
 
+@query("k06_demand_wide", f"WITH {DEMAND_CTE.replace('rank <= 5', 'rank <= 50')} SELECT * FROM dem")
+def _(spark, d):
+    return reports.demand_by_country(order_tokens(spark, d), order_postings(spark, d), 50, None)
+
+
 def demand(spark, d, countries=None):
     return reports.demand_by_country(order_tokens(spark, d), order_postings(spark, d), 5, countries)
 

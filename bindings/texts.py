@@ -103,7 +103,7 @@ def _(spark, d):
 def _(spark, d):
     from jobtide.functions.text import blank_to_null
 
-    return texts(spark, d, "pages", "page_id").select(
+    return texts(spark, d, "pages").select(
         "page_id", blank_to_null(F.expr("replace(url, 'http', ' ')")).alias("url"),
         blank_to_null(F.expr("translate(left(html, 1), '<', ' ')")).alias("mark"),
     )
@@ -117,6 +117,14 @@ def _(spark, d):
     return texts(spark, d).where(records.contains_text(F.col("source"), "C1_")).select("doc_id", "source")
 
 
+@query(
+    "b12_contains_backslash",
+    "SELECT doc_id, source FROM documents WHERE source ILIKE '%Src1_%'",
+)
+def _(spark, d):
+    return texts(spark, d).where(records.contains_text(F.col("source"), "S\\rc1_")).select("doc_id", "source")
+
+
 @query(
     "b15_pick_field",
     f"WITH {POSTINGS_CTE} SELECT id, coalesce(nullif(\"Skill\", 'NULL'), nullif(\"Job State\", '')) AS picked FROM"
@@ -142,7 +150,7 @@ def _(spark, d):
     f"SELECT page_id, {S.unescape('html')} AS text FROM pages",
 )
 def _(spark, d):
-    return texts(spark, d, "pages", "page_id").select("page_id", decode_entities(F.col("html")).alias("text"))
+    return texts(spark, d, "pages").select("page_id", decode_entities(F.col("html")).alias("text"))
 
 
 STEP_FUNCTIONS = dict(zip(S.STEPS, C.STEPS))
@@ -153,7 +161,7 @@ PAGE_STEPS = ("c03_urls", "c04_html_tags", "c10_partial_urls")
 def _step(name, step):
     def run(spark, d):
         if name in PAGE_STEPS:
-            return texts(spark, d, "pages", "page_id").select(
+            return texts(spark, d, "pages").select(
                 "page_id", step(F.concat("html", F.lit(" "), "url")).alias("text")
             )
         return noisy_texts(spark, d).select("doc_id", step(F.col("text")).alias("text"))
@@ -181,7 +189,7 @@ def _(spark, d):
     f"WITH {S.clean('pages', 'html', 'page_id')} SELECT page_id, x AS text FROM c{S.LAST}",
 )
 def _(spark, d):
-    return C.clean_text(texts(spark, d, "pages", "page_id").select("page_id", F.col("html").alias("text")), "text")
+    return C.clean_text(texts(spark, d, "pages").select("page_id", F.col("html").alias("text")), "text")
 
 
 # --- D: markup reports ------------------------------------------------------

@@ -220,6 +220,16 @@ def _(spark, d):
     return rounded(reports.mapping_page(rows, 2, 50))
 
 
+@query(
+    "k04_far_page",
+    f"WITH {VIEW_CTE} SELECT {COLS} FROM vw WHERE {BAND} AND rank <= 3"
+    " ORDER BY vw.similarity, normalized_skill, skill_id, tks_id LIMIT 3 OFFSET 120",
+)
+def _(spark, d):
+    rows = reports.mapping_rows(view(spark, d), MODEL, 0.25, 3, "", STEPS)
+    return rounded(reports.mapping_page(rows, 41, 3))
+
+
 @query(
     "k04_page_summary",
     f"WITH {VIEW_CTE} SELECT count(*) AS total, greatest(ceil(count(*) / 50), 1)::BIGINT AS total_pages,"

@@ -101,11 +101,10 @@ def keep_linked(edges: DataFrame, items: DataFrame, edge_key: str = "tks_id", it
 def drop_tasks_nested(df: DataFrame, dropped: str = "Task") -> DataFrame:
     """The same within each document: tasks go, then the links to them."""
     df = df.withColumn("tks", F.filter("tks", lambda t: ~t["type"].eqNullSafe(dropped)))
-    kept = F.transform(F.col("tks"), lambda t: t["id"])
-    links = F.filter(
-        "relationship",
-        lambda r: r["tks_id"].isNotNull() & F.coalesce(F.array_contains(kept, r["tks_id"]), F.lit(False)),
-    )
+    # Set operations hash their sides; the list searched per link holds only ids that don't survive.
+    ids = F.array_compact(F.array_distinct(F.transform(F.col("tks"), lambda t: t["id"])))
+    linked = F.array_except(F.array_compact(F.array_distinct(F.transform("relationship", lambda r: r["tks_id"]))), ids)
+    links = F.filter("relationship", lambda r: r["tks_id"].isNotNull() & ~F.array_contains(linked, r["tks_id"]))
     return df.withColumn("relationship", links)
 
 

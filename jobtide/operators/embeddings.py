@@ -20,12 +20,10 @@ Encoder = Callable[[list[str]], Sequence[Sequence[float]]]
 def pending(
     dim: DataFrame, stored: DataFrame, model: str, dim_key: str, stored_key: str, limit: int | None = None
 ) -> DataFrame:
-    """Rows the model has no vector for yet, ordered by key."""
+    """Rows the model has no vector for yet; with a limit, the first ones by key."""
     done = stored.where(F.col("model_name") == model).select(col(stored_key).alias(dim_key))
     rows = dim.join(done, dim_key, "left_anti").select(*[col(c) for c in dim.columns])
-    if limit is None:
-        return rows.orderBy(dim_key)
-    return rows.orderBy(dim_key).limit(limit)
+    return rows if limit is None else rows.orderBy(dim_key).limit(limit)
 
 
 def ngram_encoder(dim: int = 64, n: int = 3) -> Encoder:

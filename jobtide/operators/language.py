@@ -74,7 +74,7 @@ def with_language(
 
 
 def language_distribution(
-    df: DataFrame, column: str, key: Sequence[str], mode: str = "sample", sample_size: int = 500,
+    df: DataFrame, column: str, key: Sequence[str], mode: str = "full", sample_size: int = 500,
     **detection,
 ) -> DataFrame:
     """(language, records, sampled_records) over the valid texts, or over the first of them."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -115,8 +116,11 @@ def in_band(similarity: Column, at: float, steps: Sequence[float] = SIMILARITY_S
 
 
 def contains_text(c: Column, query: str) -> Column:
-    """Case-insensitive substring search; ``%`` and ``_`` in the query act as wildcards."""
-    return c.ilike(f"%{query}%")
+    """Case-insensitive substring search; ``%`` and ``_`` in the query act as wildcards.
+
+    A backslash makes the character behind it literal, whatever it is.
+    """
+    return c.ilike(re.sub(r"\\([^%_\\])", r"\1", f"%{query}%", flags=re.DOTALL))
 
 
 def at_least(df: DataFrame, column: str, minimum: float) -> DataFrame:

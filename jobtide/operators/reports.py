@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from jobtide.functions.text import present
 from jobtide.lookups import COUNTRY_ALIASES, EU_COUNTRIES, SIMILARITY_STEPS
 from jobtide.operators.records import col, contains_text, in_band, in_countries, to_long
+from jobtide.session import cut_lineage
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(value, high))
+def at_least_one(name: str, value: int) -> int:
+    if value < 1:
+        raise ValueError(f"{name} has to be 1 or more")
+    return value
 
 
 def mapping_view(similarity: DataFrame, skills: DataFrame, items: DataFrame) -> DataFrame:
@@ -56,18 +59,33 @@ def row_total(rows: DataFrame) -> DataFrame:
 
 
 def mapping_page(rows: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
-    """One page of the mapping; a page past the end has no rows."""
-    size = clamp(page_size, 10, 200)
-    return ordered_mapping(rows).offset((max(page, 1) - 1) * size).limit(size)
+    """One page of the mapping; a page past the end has no rows.
+
+    The rows are sorted into ranges, which are checkpointed; from the number of rows of
+    each range (one small row per task, on the driver) follows where the page lies, so a
+    far page reads only its own ranges and never brings the rows before it together.
+    """
+    size, first = at_least_one("page_size", page_size), (at_least_one("page", page) - 1) * page_size
+    columns = [col(c) for c in rows.columns]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(ordered_mapping(rows).select(*columns, F.spark_partition_id().alias("_part"), place.alias("_place")))
+    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+    wanted, before = F.lit(False), 0
+    for part in sorted(counts):
+        low, high = max(first - before, 0), min(first + size - before, counts[part])
+        if low < high:
+            wanted = wanted | ((F.col("_part") == part) & F.col("_place").between(low, high - 1))
+        before += counts[part]
+    return ordered_mapping(placed.where(wanted).select(*columns))
 
 
 def page_summary(rows: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
     """One row: total rows, total pages (at least one) and the page shown."""
-    size = clamp(page_size, 10, 200)
+    size, page = at_least_one("page_size", page_size), at_least_one("page", page)
     pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long")
     return row_total(rows).select(
         "total", pages.alias("total_pages"),
-        F.least(F.lit(max(page, 1)), pages).cast("long").alias("page"),
+        F.least(F.lit(page), pages).cast("long").alias("page"),
     )
 
 
@@ -79,7 +97,7 @@ def skill_counts(bridge: DataFrame) -> DataFrame:
 def skill_frequency(bridge: DataFrame, postings: DataFrame, top_n: int = 30) -> DataFrame:
     """The n most frequent skills, with their share of all postings."""
     total = postings.agg(F.count("*")).scalar()
-    top = skill_counts(bridge).orderBy(F.desc("occurrences"), "normalized_skill").limit(clamp(top_n, 5, 200))
+    top = skill_counts(bridge).orderBy(F.desc("occurrences"), "normalized_skill").limit(at_least_one("top_n", top_n))
     share = F.coalesce(F.try_divide(F.col("occurrences"), total), F.lit(0.0))
     return top.select(
         "normalized_skill", "occurrences", share.alias("frequency"),
@@ -120,7 +138,7 @@ def demand_by_country(
         .agg(F.count("*").alias("count"))
     )
     order = Window.partitionBy("country").orderBy(F.desc("count"), "normalized_skill")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= clamp(top_n, 3, 10))
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at_least_one("top_n", top_n))
     share = F.coalesce(F.try_divide(F.col("count"), F.col("total_postings")), F.lit(0.0))
     return top.join(totals, "country").select(
         "country", "total_postings", "rank", col("normalized_skill").alias("skill"), "count",

@@ -12,6 +12,9 @@ from jobtide.functions.text import strip, sub
 from jobtide.lookups import FIELD_SPELLINGS, FUNCTION_WORDS
 from jobtide.operators.records import col, existing, pick_field
 
+# Groups in which the terms of a field are ranked before they meet.
+TERM_GROUPS = 64
+
 
 def spark_stop_words(language: str = "english") -> list[str]:
     """Spark ML's stop-word list; needs a running session."""
@@ -85,11 +88,15 @@ def top_terms(
 ) -> DataFrame:
     """(field, rank, term, occurrences, weight): the most frequent terms of each field.
 
-    The weight is relative to the field's most frequent term. Each task keeps at
-    most ``max_words`` terms per field before they are brought together.
+    The weight is relative to the field's most frequent term. The terms of a field are
+    ranked in groups by hash first, so that only the ``max_words`` best of each group are
+    brought together, however many words are asked for.
     """
-    order = Window.partitionBy("field").orderBy(F.desc("occurrences"), "term")
-    ranked = term_counts(texts, stop_words, merge_plurals).withColumn("rank", F.row_number().over(order))
+    best = [F.desc("occurrences"), "term"]
+    counts = term_counts(texts, stop_words, merge_plurals).withColumn("_group", F.pmod(F.hash("term"), F.lit(TERM_GROUPS)))
+    inner = F.row_number().over(Window.partitionBy("field", "_group").orderBy(*best))
+    counts = counts.withColumn("_rank", inner).where(F.col("_rank") <= max_words).drop("_rank", "_group")
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*best)))
     top = ranked.where(F.col("rank") <= max_words)
     largest = F.max("occurrences").over(Window.partitionBy("field"))
     return top.select("field", "rank", "term", "occurrences", (F.col("occurrences") / largest).alias("weight"))

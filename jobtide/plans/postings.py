@@ -10,9 +10,13 @@ from jobtide.operators import derive, markup, records
 from jobtide.operators.records import col
 
 
-def clean_postings(raw: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def clean_postings(raw: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Raw postings to cleaned postings; every field is optional.
 
+    ``overrides`` is the table of area names and their countries (see
+    ``files.read_overrides``). It has no default, so that no run goes without it
+    by mistake; None leaves locations as they are.
+
     Nothing is shuffled: all steps work within a row, and the location table is
     joined by broadcast where its size allows.
     """

@@ -9,7 +9,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app_name: str = "jobtide", master: str | None = None, **conf: str) -> SparkSession:
@@ -78,13 +77,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, and pins the row placement."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """The table with a broadcast hint if it is proven to hold few rows, else as it is.
-
-    Counting stops just above the bound, so the check stays cheap for any size.
-    Meant for lookup tables of short texts.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

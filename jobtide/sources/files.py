@@ -78,14 +78,7 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     writer.parquet(path)
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a small input over all cores before costly work on its rows.
-
-    A few files mean a few tasks, however many cores there are. With at least as
-    many files as cores the input is left where it is, so large tables are never
-    moved for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores, *[F.col(f"`{k}`") for k in key])
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """(location, country) from a JSON file with one object per line; of a repeated location the smaller country counts."""
+    rows = spark.read.schema("location string, country string").json(path).where("location IS NOT NULL AND country IS NOT NULL")
+    return rows.groupBy("location").agg(F.min("country").alias("country"))

@@ -16,15 +16,53 @@ def test_plan(spark, name):
 
 def test_cleaning_does_not_shuffle(spark):
     from bindings.base import raw_postings
-    from jobtide.operators import derive
     from jobtide.plans.postings import clean_postings
 
     raw = raw_postings(spark, "/root/testdata/sf0.001")
     before = raw._jdf.queryExecution().executedPlan().toString().count("Exchange")
-    done = clean_postings(raw, derive.area_overrides(derive.places_table(spark)))
+    areas = spark.createDataFrame([("Greater Paris Metropolitan Region", "France")], "location string, country string")
+    done = clean_postings(raw, areas)
     plan = done._jdf.queryExecution().executedPlan().toString()
-    # The lookup table is aggregated and broadcast; the postings stay in place.
-    assert plan.count("Exchange hashpartitioning") - before <= 1 and "SortMergeJoin" not in plan
+    # The lookup table is broadcast; the postings stay in place.
+    assert plan.count("Exchange hashpartitioning") == before == 0 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["c24_clean_text", "e03_filter_blocks", "f06_clean_postings"])
+def test_texts_are_not_moved_before_the_work(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and "Exchange hashpartitioning(doc_id" not in plan
+
+
+@pytest.mark.parametrize("max_words", [1_000, 5_000])
+def test_terms_are_ranked_in_groups_first(spark, max_words):
+    from bindings.base import raw_postings
+    from jobtide.operators import terms
+
+    df = terms.top_terms(terms.field_texts(raw_postings(spark, "/root/testdata/sf0.001")), max_words)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(hash(term" in plan and plan.count("row_number()") >= 2
+
+
+def test_report_arguments_are_honoured_or_refused(spark):
+    from jobtide.operators import reports
+
+    bridge = spark.range(300).selectExpr("id AS job_posting_id", "concat('s', id) AS normalized_skill")
+    postings = spark.range(300).selectExpr("id", "'Italy' AS country")
+    assert reports.skill_frequency(bridge, postings, 1_000).count() == 300
+    assert reports.demand_by_country(bridge, postings, 50).count() == 50
+    for call in (lambda: reports.skill_frequency(bridge, postings, 0), lambda: reports.demand_by_country(bridge, postings, -1)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_backslash_in_a_search(spark):
+    from pyspark.sql import functions as F
+
+    from jobtide.operators.records import contains_text
+
+    df = spark.createDataFrame([("a%b",), ("aXb",), ("a\\b",)], "t string")
+    found = lambda q: [r[0] for r in df.where(contains_text(F.col("t"), q)).collect()]
+    assert found("a\\X") == ["aXb"] and found("a\\%b") == ["a%b"] and found("a\\\\b") == ["a\\b"]
 
 
 @pytest.mark.parametrize("name", ["k06_demand_by_country", "n04_top_terms", "j03_top_items"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtide.operators import catalogue
-from jobtide.session import broadcast_if_small, scratch_path
+from jobtide.session import scratch_path
 from jobtide.sources import files, tables
 
 
@@ -109,10 +109,11 @@ def test_scan_is_pushed_down(spark):
     assert "IsNotNull(o_orderpriority)" in plan and "o_totalprice" not in plan
 
 
-def test_broadcast_needs_a_proven_bound(spark):
-    df = spark.range(100)
-    hinted = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(broadcast_if_small(df, 100)) and not hinted(broadcast_if_small(df, 99))
+def test_override_table_from_a_file(spark, tmp_path):
+    rows = ['{"location": "Cork Metropolitan Area", "country": "Ireland"}', '{"location": null, "country": "x"}']
+    (tmp_path / "areas.json").write_text("\n".join([*rows, rows[0]]))
+    got = files.read_overrides(spark, str(tmp_path / "areas.json")).collect()
+    assert [tuple(r) for r in got] == [("Cork Metropolitan Area", "Ireland")]
 
 
 DOC = {
