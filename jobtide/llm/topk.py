@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -138,9 +139,12 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, shard: int = SHARD, bl
     rows = given.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("asks", F.expr(is_query))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        for s in np.unique(table.column("shard").to_numpy()).tolist() if table.num_rows else []:
-            part = table.filter(pa.compute.equal(table.column("shard"), s))
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        for s in np.unique(table.column("shard").to_numpy()).tolist():
+            part = table.filter(pc.equal(table.column("shard"), s))
             ids, matrix = part.column("id").to_numpy(), _matrix(part.column("v"), width)
             asks = np.flatnonzero(part.column("asks").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool))
             asks = asks[np.unique(ids[asks], return_index=True)[1]]
