@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from jobtide.llm.bytetext import column, flat, hash_spans, mix, shingles, slices, words
 from jobtide.llm.components import components, written
 
-#: Signatures of so few features say little; a set leaves them out where others are sure to agree.
-WEAK = 1
 #: Ratio of the sizes at the two ends of a band.
 BAND = 1.6
 #: Bits of the filter that picks the sets to be compared; a fuller one only lets more through.
@@ -81,7 +79,12 @@ def _sums(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets, and the index of the set of each."""
+    """Signatures of non-empty sets, and the index of the set of each.
+
+    If two sets are sure to agree in m signatures, each may leave out its m - 1 smallest by
+    (features covered, value): the largest that they agree in is among the kept ones of
+    both. Small signatures say little, and many unrelated sets would share them.
+    """
     out, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     plans = [scheme.plan(len(s)) for s in sets]
     for turn in range(max(map(len, plans), default=0)):
@@ -97,19 +100,19 @@ def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.n
         count = np.bincount(place, minlength=first[-1]).reshape(-1, scheme.parts)
         group_of = np.repeat(np.arange(len(mine)), groups)
         index = (np.arange(len(group_of)) - np.concatenate([[0], np.cumsum(groups)])[group_of]).astype(np.uint64)
-        weak = np.zeros(len(mine), np.int64)
         made = []
         for j, subset in enumerate(scheme.subsets):
             size = count[:, subset].sum(1)
             key = total[:, subset].sum(1, dtype=np.uint64) + size.astype(np.uint64) * _SALT[2]
             key += (index * np.uint64(len(scheme.subsets)) + np.uint64(j)) * _SALT[3] + band[group_of].astype(np.uint64) * _SALT[0]
-            weak += np.bincount(group_of[size <= WEAK], minlength=len(mine))
             made.append((mix(key), size))
-        spared = weak < sure
-        for key, size in made:
-            use = (size > WEAK) | ~spared[group_of]
-            out.append(key[use])
-            of.append(np.array(mine, np.int64)[group_of[use]])
+        keys, sizes = (np.concatenate(x) for x in zip(*made))
+        whose = np.tile(group_of, len(scheme.subsets))
+        order = np.lexsort((keys, sizes, whose))
+        begin = np.concatenate([[0], np.cumsum(groups * len(scheme.subsets))])
+        use = order[np.arange(len(order)) - begin[whose[order]] >= sure[whose[order]] - 1]
+        out.append(keys[use])
+        of.append(np.array(mine, np.int64)[whose[use]])
     return np.concatenate(out), np.concatenate(of)
 
 
