@@ -2,8 +2,9 @@
 
 A text is as toxic as its worst sentence. Labelled texts teach the weights of words and
 word beginnings by logistic loss on the worst sentence. In every labelled sentence with an
-identity term the term is swapped for another of its kind, and the change of the score is
-penalised, so that neutral mentions of a group don't count as toxic.
+identity term the term is swapped for another of its kind, and for nothing, and the change
+of the score is penalised, so that neutral mentions of a group don't count as toxic. (Swaps
+among the terms alone would allow all of them to count.)
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def swapper(terms: dict[str, str]) -> tuple[re.Pattern | None, dict[str, str]]:
 
 
 def _training_sets(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
-    """(label, features, sizes of sentences, differences between sentences and their swapped forms) of each text."""
+    """(label, features, sizes of sentences, differences between sentences and their changed forms) of each text."""
     schema = "label int, features array<int>, sizes array<int>, changed array<int>, signs array<int>, pairs array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +102,11 @@ def _training_sets(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
                     changed, signs, pairs = [], [], []
                     for s in own if pattern else []:
                         sentence = data[spans[s, 0] : spans[s, 1]].tobytes().decode("utf-8", "replace")
-                        swapped = pattern.sub(lambda m: other[m[0].lower()], sentence)
-                        if swapped.lower() != sentence.lower():
-                            before = sentence_features(pa.array([sentence]))[0]
-                            after = sentence_features(pa.array([swapped]))[0]
+                        if not pattern.search(sentence):
+                            continue
+                        before = sentence_features(pa.array([sentence]))[0]
+                        for form in (lambda m: other[m[0].lower()], ""):
+                            after = sentence_features(pa.array([pattern.sub(form, sentence)]))[0]
                             gone, come = np.setdiff1d(before, after), np.setdiff1d(after, before)
                             changed += [*gone, *come]
                             signs += [1] * len(gone) + [-1] * len(come)
