@@ -3,6 +3,8 @@
 DuckDB's regular expressions have no lookaround, and their ``\\b`` and ``\\B``
 know ASCII only. So accented letters are fenced with ASCII letters while a
 pattern with boundaries runs, and boundaries stand in for lookarounds.
+
+Fixed values: the patterns below are those that the results depend on, in DuckDB's dialect.
 """
 
 from __future__ import annotations
@@ -157,18 +159,28 @@ CATEGORY_PATTERNS = {
         r"regulation\s*\(?\s*(?:eu\s*)?2016\s*/\s*679\s*\)?|cookie(?:s)?)\b"
     ),
     "Application process boilerplate": (
-        r"(?i)\b(?:apply\s+now|how\s+to\s+apply|application\s+process|recruitment\s+process|selection\s+process|"
-        r"submit\s+your\s+application|click\s+(?:on\s+)?(?:the\s+)?apply|interview\s+process|interview\s+rounds?|"
-        r"to\s+apply|please\s+submit\s+your\s+cv|send\s+your\s+cv|send\s+us\s+your\s+application|"
-        r"visit\s+our\s+website|thank\s+you\s*!?)\b"
+        r"(?i)\b(?:apply\s+now|how\s+to\s+apply|application\s+process|recruitment\s+process|"
+        r"selection\s+process|our\s+selection\s+process|submit\s+your\s+application|"
+        r"click\s+(?:on\s+)?(?:the\s+)?apply|interview\s+process|interview\s+rounds?|"
+        r"to\s+apply|please\s+submit\s+your\s+cv|please\s+send\s+(?:through\s+)?(?:an\s+updated\s+)?cv|"
+        r"send\s+your\s+cv|send\s+us\s+your\s+application|if\s+you\s+are\s+(?:suitable\s+and\s+)?interested|"
+        r"please\s+visit\s+our\s+website|visit\s+our\s+website|for\s+more\s+information\s+please\s+contact|"
+        r"please\s+contact\s+your\s+recruiting\s+partner|"
+        r"please\s+get\s+in\s+touch\s+with\s+the\s+person\s+responsible|"
+        r"if\s+this\s+is\s+an\s+interest\s+please\s+reach\s+out\s+to\s+me\s+on\s+the\s+below\s+details|"
+        r"please\s+contact\s+us\s+as\s+soon\s+as\s+possible|"
+        r"please\s+see\s+below\s+for\s+what\s+we're\s+looking\s+for|"
+        r"what\s+are\s+you\s+waiting\s+for\??\s*join\s+us|thank\s+you\s*!?)\b"
     ),
     "Recruiter contact block": (
-        r"(?i)\b(?:contact\s+person|your\s+contact|please\s+contact|reach\s+out\s+to|recruit(?:ing|er)?\s+partner)\b.*"
+        r"(?i)\b(?:contact\s+person|your\s+contact|for\s+more\s+information(?:,)?\s+please\s+contact|"
+        r"please\s+contact|reach\s+out\s+to|recruit(?:ing|er)?\s+partner)\b.*"
         r"(?:@|linkedin|tel(?:ephone)?|phone|\+?\d[\d\s().\-]{6,}|cv|resume)"
     ),
     "Company marketing paragraph": (
         r"(?i)\b(?:about\s+us|who\s+are\s+we|our\s+mission|our\s+values|founded\s+in\s+\d{4}|"
-        r"we\s+are\s+(?:a|an|the)\s+(?:leading|global|world\s+leader)|great\s+place\s+to\s+work|"
+        r"we\s+are\s+(?:a|an|the)\s+(?:leading|global|world\s+leader)|"
+        r"with\s+over\s+\d[\d,.\s]*(?:employees|people|professionals)|great\s+place\s+to\s+work|"
         r"join\s+our\s+team|join\s+us|make\s+an\s+impact)\b"
     ),
 }

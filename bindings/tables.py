@@ -13,13 +13,14 @@ from jobtide.sources import files, tables
 RAW_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("Title", T.StringType()),
     T.StructField("Location", T.StringType()), T.StructField("Skill", T.StringType()),
+    T.StructField("Description", T.StringType()),
 ])
-RAW_SQL = f"WITH {POSTINGS_CTE} SELECT id, \"Title\", \"Location\", \"Skill\" FROM p"
+RAW_SQL = f"WITH {POSTINGS_CTE} SELECT id, \"Title\", \"Location\", \"Skill\", \"Description\" FROM p"
 
 
 def _written(spark, d, name):
     path = scratch_path(spark, name)
-    files.write_records(raw_postings(spark, d).select("id", "Title", "Location", "Skill"), path)
+    files.write_records(raw_postings(spark, d).select(RAW_SCHEMA.names), path)
     return path
 
 
@@ -30,22 +31,22 @@ def _(spark, d):
 
 @query(
     "a02_json_documents",
-    "SELECT page_id, url, left(html, 1) AS first_mark FROM pages",
+    "SELECT page_id, url, html FROM pages",
 )
 def _(spark, d):
     docs = table(spark, d, "pages").select(
-        "page_id", F.struct("url", F.array(F.expr("left(html, 1)"), F.lit("x")).alias("mark")).alias("meta")
+        "page_id", F.struct("url", F.array("html", F.lit("x")).alias("parts")).alias("meta")
     )
     path = scratch_path(spark, "a02")
     files.write_records(docs, path)
     back = files.read_documents(spark, path, docs.schema, lines=True)
-    return back.select("page_id", "meta.url", F.get("meta.mark", F.lit(0)).alias("first_mark"))
+    return back.select("page_id", "meta.url", F.get("meta.parts", F.lit(0)).alias("html"))
 
 
 @query("a03_cleaned_records", RAW_SQL)
 def _(spark, d):
     path = scratch_path(spark, "a03")
-    files.write_records(raw_postings(spark, d).select("id", "Title", "Location", "Skill"), path, "parquet")
+    files.write_records(raw_postings(spark, d).select(RAW_SCHEMA.names), path, "parquet")
     return files.read_cleaned(spark, path)
 
 

@@ -98,14 +98,14 @@ def _(spark, d):
 @query(
     "b08_blank_to_null",
     "SELECT page_id, CASE WHEN trim(replace(url, 'http', ' ')) <> '' THEN replace(url, 'http', ' ') END AS url,"
-    f" CASE WHEN {S.strip('left(html, 1)')} = '<' THEN NULL ELSE left(html, 1) END AS mark FROM pages",
+    " CASE WHEN contains(html, 'lang=\"en\"') THEN html END AS html FROM pages",
 )
 def _(spark, d):
     from jobtide.functions.text import blank_to_null
 
     return texts(spark, d, "pages").select(
         "page_id", blank_to_null(F.expr("replace(url, 'http', ' ')")).alias("url"),
-        blank_to_null(F.expr("translate(left(html, 1), '<', ' ')")).alias("mark"),
+        blank_to_null(F.expr("if(contains(html, 'lang=\"en\"'), html, ' \t ')")).alias("html"),
     )
 
 

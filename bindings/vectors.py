@@ -117,16 +117,20 @@ def _(spark, d):
 
 @query(
     "i04_store_vectors",
-    "SELECT vec_id AS skill_id, 'a' AS model_name, 64 AS width FROM embeddings WHERE label < 5 UNION ALL"
-    " SELECT vec_id, 'b', 64 FROM embeddings UNION ALL SELECT vec_id, 'a', 64 FROM embeddings WHERE label >= 5",
+    "WITH s AS (SELECT vec_id AS skill_id, 'a' AS model_name, list_transform(embedding, lambda x: 2 * x::DOUBLE) AS v FROM embeddings"
+    " WHERE label < 5 UNION ALL SELECT vec_id, 'b', embedding::DOUBLE[] FROM embeddings UNION ALL"
+    " SELECT vec_id, 'a', embedding::DOUBLE[] FROM embeddings WHERE label >= 5)"
+    " SELECT skill_id, model_name, (generate_subscripts(v, 1) - 1)::INTEGER AS pos, unnest(v) AS x FROM s",
 )
 def _(spark, d):
     rows = skill_vectors(spark, d)
     old = table(spark, d, "embeddings").where("label < 5").select(
-        F.col("vec_id").alias("skill_id"), F.lit("a").alias("model_name"), "embedding"
+        F.col("vec_id").alias("skill_id"), F.lit("a").alias("model_name"),
+        F.transform("embedding", lambda x: 2 * x.cast("double")).alias("embedding"),
     )
+    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     stored = emb.store_vectors(rows, emb.store_vectors(rows, old, "b", "skill_id"), "a", "skill_id")
-    return stored.select("skill_id", "model_name", F.size("embedding").alias("width"))
+    return stored.select("skill_id", "model_name", F.posexplode("embedding").alias("pos", "x"))
 
 
 @query(
@@ -138,10 +142,11 @@ def _(spark, d):
 
 
 # --- J: matching ------------------------------------------------------------
-@query("j01_model_vectors", "SELECT vec_id AS skill_id, len(embedding)::INTEGER AS width FROM embeddings WHERE label = 3")
+@query("j01_model_vectors", "SELECT vec_id AS skill_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 3")
 def _(spark, d):
     rows = table(spark, d, "embeddings").withColumn("model_name", F.concat(F.lit("m"), F.col("label").cast("string")))
-    return emb.of_model(rows, "m3", "vec_id").select(F.col("vec_id").alias("skill_id"), F.size("embedding").alias("width"))
+    found = emb.of_model(rows, "m3", "vec_id")
+    return found.select(F.col("vec_id").alias("skill_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
 
 
 def _all_items(spark, d):

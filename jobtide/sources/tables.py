@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.operators.records import col
@@ -60,13 +60,17 @@ def load_if_empty(source: DataFrame, *targets: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first in the order.
 
-    ``min_by`` combines before the shuffle, so a key that holds a large share of
-    the rows costs no more than any other.
+    The rows are combined before the shuffle, so a key that holds a large share of
+    the rows costs no more than any other. The buffer holds the columns beside the
+    key once: the order first, then the others, which also break its ties.
     """
-    whole = F.struct(*[col(c) for c in df.columns])
-    rank = F.struct(*[col(c) for c in order])
-    best = df.groupBy(*[col(k) for k in key]).agg(F.min_by(whole, rank).alias("_row"))
-    return best.select("_row.*")
+    named = [c for c in order if c not in key]
+    fields = [*named, *[c for c in df.columns if c not in key and c not in named]]
+    if not fields:
+        return df.select(*[col(c) for c in df.columns]).distinct()
+    best = df.groupBy(*[col(k) for k in key]).agg(F.min(F.struct(*[col(c) for c in fields])).alias("_row"))
+    picked = {c: col(c) if c in key else F.col("_row").getField(c) for c in df.columns}
+    return best.select(*[picked[c].alias(c) for c in df.columns])
 
 
 def new_rows(
@@ -90,25 +94,30 @@ def number_rows(
 ) -> DataFrame:
     """Consecutive numbers in the given order, or in the order the rows are stored.
 
-    Ordered rows are sorted into ranges over all tasks; without an order no row
-    moves, which suits wide tables. The rows are then checkpointed, so that the
-    placement the numbers come from is fixed. Only the row count of each task is
-    brought together.
+    Ordered rows are sorted into ranges over all tasks; rows with equal keys follow
+    a hash of the whole row, which also lets a range end between them. Without an
+    order no row moves, and the numbers follow the input's partitions. The rows
+    are then checkpointed, so that the placement the numbers come from is fixed;
+    only the row count of each task (one small row) comes to the driver.
     """
+    if into in df.columns:
+        raise ValueError(f"the rows already have a column {into}")
+    columns = [col(c) for c in df.columns]
     placed = df
     if order:
-        keys = [col(c) for c in order]
+        keys = [*[col(c) for c in order], F.xxhash64(*columns)]
         placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = placed.withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
-    placed = cut_lineage(placed)
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    # One row per task, so this window holds no more rows than there were tasks.
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    offsets = sizes.select("_part", "_first", before.alias("_before"))
-    numbered = placed.join(F.broadcast(offsets), "_part")
-    number = F.col("_seq") - F.col("_first") + F.col("_before") + F.lit(start)
-    return numbered.select(number.cast("long").alias(into), *[col(c) for c in df.columns])
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(placed.select(*columns, F.spark_partition_id().alias("_part"), place.alias("_place")))
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    earlier, offsets = start, []
+    for part, count in counts:
+        offsets.append((part, earlier))
+        earlier += count
+    table = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    # One row per task of the checkpointed table.
+    numbered = placed.join(F.broadcast(table), "_part")
+    return numbered.select((F.col("_place") + F.col("_before")).cast("long").alias(into), *columns)
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
