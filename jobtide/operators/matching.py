@@ -13,6 +13,7 @@ that fits one block means that no skill is copied at all.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,37 +72,35 @@ def score_pairs(
     skills: DataFrame,
     items: DataFrame,
     top_k: int | None = 3,
-    minimum: float = 0.55,
+    minimum: float | None = None,
     skill_key: str = "skill_id",
     item_key: str = "tks_id",
     skill_block: int = 4096,
     item_block: int = 32768,
     slice_rows: int = 256,
+    item_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """(skill, item, similarity) at or above the minimum, at most k per skill and item block.
+    """(skill, item, similarity) at or above the minimum (0.55), at most k per skill and item block.
+
+    With ``top_k=None`` all pairs at or above the minimum are kept, which the caller
+    then has to name: a low one gives very many pairs. Both sides hold unit vectors
+    in ``embedding`` and are unique in their key.
 
-    With ``top_k=None`` all pairs at or above the minimum are kept. Both sides
-    hold unit vectors in ``embedding`` and are unique in their key.
+    A catalogue of at most ``item_block`` items and ``item_bytes`` bytes goes to the
+    tasks, and no skill moves. A larger one meets the skills block by block. The
+    results are the same.
     """
-    n_skill, n_item = blocks_for(skills, skill_block), blocks_for(items, item_block)
-    vector = F.col("embedding").cast("array<double>").alias("embedding")
-    left = skills.select(
-        col(skill_key), vector,
-        F.pmod(F.xxhash64(col(skill_key)), F.lit(n_skill)).cast("int").alias("_sb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_item - 1))).alias("_ib"),
-    )
-    right = items.select(
-        col(item_key), vector,
-        F.pmod(F.xxhash64(col(item_key)), F.lit(n_item)).cast("int").alias("_ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_skill - 1))).alias("_sb"),
-    )
+    if top_k is None and minimum is None:
+        raise ValueError("all pairs need a minimum similarity")
+    minimum = 0.55 if minimum is None else minimum
     best = _block_scores(top_k, minimum, slice_rows)
     fields = {f.name: f.dataType.simpleString() for f in skills.schema.fields + items.schema.fields}
     schema = f"`{skill_key}` {fields[skill_key]}, `{item_key}` {fields[item_key]}, similarity double"
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
 
-    def join_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        """``b`` is sorted by its key."""
         if a.num_rows and b.num_rows:
-            b = b.sort_by(item_key)
             parts = list(best(_matrix(a["embedding"]), _matrix(b["embedding"])))
             rows, cols, values = (np.concatenate(x) for x in zip(*parts))
         else:
@@ -112,6 +111,35 @@ def score_pairs(
             "similarity": pa.array(values, pa.float64()),
         })
 
+    # One row more than the bound tells a larger catalogue; no more of it comes to the driver.
+    known = items.select(col(item_key), vector)
+    width = items.agg(F.max(F.size("embedding"))).first()[0] or 0
+    if item_block * max(width, 1) * 8 <= item_bytes or items.limit(item_block + 1).count() * width * 8 <= item_bytes:
+        whole = known.limit(item_block + 1).toArrow()
+        if whole.num_rows <= item_block:
+            sent = skills.sparkSession.sparkContext.broadcast(whole.sort_by(item_key))
+
+            def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for start in range(0, batch.num_rows, skill_block):
+                        yield from block(pa.Table.from_batches([batch.slice(start, skill_block)]), sent.value).to_batches()
+
+            return skills.select(col(skill_key), vector).mapInArrow(meet, schema)
+
+    n_skill, n_item = blocks_for(skills, skill_block), blocks_for(items, item_block)
+    left = skills.select(
+        col(skill_key), vector,
+        F.pmod(F.xxhash64(col(skill_key)), F.lit(n_skill)).cast("int").alias("_sb"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_item - 1))).alias("_ib"),
+    )
+    right = items.select(
+        col(item_key), vector,
+        F.pmod(F.xxhash64(col(item_key)), F.lit(n_item)).cast("int").alias("_ib"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_skill - 1))).alias("_sb"),
+    )
+    def join_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+        return block(a, b.sort_by(item_key) if b.num_rows else b)
+
     grid = left.groupBy("_sb", "_ib").cogroup(right.groupBy("_sb", "_ib"))
     return grid.applyInArrow(join_blocks, schema)
 

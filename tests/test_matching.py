@@ -45,6 +45,21 @@ def test_small_case(spark):
     assert matching.top_matches(s.limit(0), t).count() == 0 and matching.top_matches(s, t.limit(0)).count() == 0
 
 
+def test_small_catalogue_moves_no_skill(spark):
+    a, b = frame(spark, unit(90, 8, 1), "skill_id"), frame(spark, unit(20, 8, 2), "tks_id", "t")
+    one = matching.score_pairs(a, b, 3, 0.1)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    many = matching.score_pairs(a, b, 3, 0.1, item_bytes=0)
+    key = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    assert key(one) == key(many)
+
+
+def test_all_pairs_need_a_minimum(spark):
+    a, b = frame(spark, unit(3, 4, 1), "skill_id"), frame(spark, unit(3, 4, 2), "tks_id", "t")
+    with pytest.raises(ValueError):
+        matching.score_pairs(a, b, None)
+
+
 def test_no_pair_leaves_a_block_below_the_limits(spark):
     a = frame(spark, unit(200, 6, 3), "skill_id")
     b = frame(spark, unit(100, 6, 4), "tks_id", "t")
