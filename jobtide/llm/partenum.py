@@ -25,6 +25,8 @@ from jobtide.llm.components import components, written
 BAND = 1.6
 #: Bits of the filter that picks the sets to be compared; a fuller one only lets more through.
 FILTER_BITS = 1 << 24
+#: Members of a bucket that are compared as one block.
+BUCKET = 4_096
 #: Bits of a set's parity sketch.
 SKETCH_BITS = 2_048
 #: Nodes without a key get one from here on, by their name.
@@ -184,10 +186,11 @@ def _parity(s: np.ndarray) -> bytes:
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
-def _gathered(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, content) -> DataFrame:
-    """The pairs (a, b) with the contents (x, y) and sizes (xn, yn) of their sets, each set read from one document."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(wanted.join(nodes, "node"), "wanted")
+def _contents(wanted: DataFrame, texts: DataFrame, n: int, content) -> DataFrame:
+    """(node, size, content) of the wanted (node, rep), each set read from one document.
+
+    A bit filter of fixed size lets only the wanted sets (and some others) leave the pass over the texts.
+    """
     marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, FILTER_BITS))
 
     def pick(kept: list, given: pa.Array) -> list:
@@ -202,9 +205,14 @@ def _gathered(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, cont
             ("size", pa.array([len(sets[i]) for i in use], pa.int32())), ("content", pa.array([content(sets[i]) for i in use], pa.binary())),
         ]
 
-    found = _pass(texts, ["__key"], "node long, rep long, size int, content binary", pick).join(wanted, ["node", "rep"], "left_semi")
-    left = found.select(F.col("node").alias("a"), F.col("size").alias("xn"), F.col("content").alias("x"))
-    right = found.select(F.col("node").alias("b"), F.col("size").alias("yn"), F.col("content").alias("y"))
+    found = _pass(texts, ["__key"], "node long, rep long, size int, content binary", pick)
+    return found.join(wanted, ["node", "rep"], "left_semi").select("node", "size", "content")
+
+
+def _both(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the contents (x, y) and sizes (xn, yn) of their sets."""
+    left = contents.select(F.col("node").alias("a"), F.col("size").alias("xn"), F.col("content").alias("x"))
+    right = contents.select(F.col("node").alias("b"), F.col("size").alias("yn"), F.col("content").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "xn", "yn")
 
 
@@ -217,20 +225,17 @@ def _kept(df: DataFrame, test) -> DataFrame:
     return df.mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of names whose sets are similar enough.
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-    Short parity sketches rule out most pairs, as they bound the number of differing
-    elements from below; the sets of the others are intersected.
-    """
-    def close(batch: pa.RecordBatch) -> np.ndarray:
-        if not batch.num_rows:
-            return np.empty(0, bool)
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        both = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
-        return differ * (den + num) <= both * (den - num)
 
+def _close(x: np.ndarray, y: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sketches may belong to similar sets; ``both``: the sum of the two sizes."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (den + num) <= both * (den - num)
+
+
+def _links(near: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): smallest keys of the near pairs whose sets are similar enough by their exact intersection."""
     def alike(batch: pa.RecordBatch) -> list[bool]:
         good = []
         for x, y in zip(batch.column(2), batch.column(3)):
@@ -241,8 +246,65 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: i
             good.append(den * shared >= num * (len(x) + len(y) - shared))
         return good
 
-    near = written(_kept(_gathered(pairs, nodes, texts, n, _parity), close).distinct(), "near")
-    return _kept(_gathered(near, nodes, texts, n, np.ndarray.tobytes), alike).distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(wanted.join(nodes, "node"), "wanted")
+    good = _kept(_both(near, _contents(wanted, texts, n, np.ndarray.tobytes)), alike)
+    return written(_named(good, nodes).distinct(), "links")
+
+
+def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Near pairs (a, b) within a bucket of (sig, node, n, component, content) whose components differ.
+
+    Sketches are compared inside the tasks, so that only near pairs come out. A bucket of
+    more than BUCKET members is cut into blocks, and each pair of blocks is a group.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            first = tuple(k[0] for k in keys)
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if held and (i or first != last):
+                    yield from compare(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+            last = tuple(k[-1] for k in keys)
+        if held:
+            yield from compare(held)
+
+    def compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        p, q = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+        block, node, size, component = (group.column(i).to_numpy() for i in range(3, 7))
+        bits, size = _bits(group.column(7)), size.astype(np.int64)
+        rows, columns = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        step = max(1, (1 << 20) // max(1, len(columns)))
+        for start in range(0, len(rows), step):
+            some = rows[start : start + step]
+            low, high = np.minimum.outer(size[some], size[columns]), np.maximum.outer(size[some], size[columns])
+            use = (component[some][:, None] != component[columns][None, :]) & (den * low >= num * high)
+            if p == q:
+                use &= node[some][:, None] < node[columns][None, :]
+            i, j = np.nonzero(use)
+            for at in range(0, len(i), 1 << 15):
+                x, y = some[i[at : at + (1 << 15)]], columns[j[at : at + (1 << 15)]]
+                good = _close(bits[x], bits[y], size[x] + size[y], num, den)
+                a, b = node[x[good]], node[y[good]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    last = F.col("blocks") - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("pair", F.explode(pairs))
+    placed = placed.select("sig", F.col("pair.p").cast("int").alias("p"), F.col("pair.q").cast("int").alias("q"), "block", "node", "n", "component", "content")
+    return placed.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -257,9 +319,10 @@ def jaccard_components(
     rows and keys stay as they are; other columns are not read; no rows give no rows.
 
     Equal sets are one node. Nodes that share a signature form a bucket; each is compared
-    with the bucket's first, exactly, and what is linked forms components. Then members of
-    one bucket that are still in different components are compared with one another, so
-    that no link between different components is missed, and no pairs are made within one.
+    with the bucket's first, by sketch and then exactly, and what is linked forms
+    components. Then the sketches of a bucket's members that are still in different
+    components are compared within the tasks, and near ones exactly, so that no link between
+    different components is missed; only near pairs ever become rows.
     """
     texts = df.select(column(key).cast("long").alias("__key"), column(text).cast("string").alias("__text"))
     options = scheme or {}
@@ -295,21 +358,29 @@ def jaccard_components(
     stars = written(_stars(_pass(texts, [], "sig long, node long, n int", sign)), "stars")
     alike = f"{den} * least(leader_n, n) >= {num} * greatest(leader_n, n)"
     pairs = written(stars.where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = written(_named(_linked(pairs, nodes, texts, n, num, den), nodes), "links")
+    leaders = stars.select("sig", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
+    members = stars.select("sig", "node", "n").unionByName(leaders)
+    wanted = written(members.select("node").distinct().join(nodes, "node"), "wanted")
+    sketches = written(_contents(wanted, texts, n, _parity), "sketches")
+
+    def close(batch: pa.RecordBatch) -> np.ndarray:
+        if not batch.num_rows:
+            return np.empty(0, bool)
+        both = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+        return _close(_bits(batch.column(2)), _bits(batch.column(3)), both, num, den)
+
+    near = written(_kept(_both(pairs, sketches), close), "near")
+    links = _links(near, nodes, texts, n, num, den)
     labels = written(_labels(nodes, components(links)), "node_labels")
 
-    # Members of one bucket that are still apart. A bucket of two has been compared.
-    place = labels.select("node", "component")
-    members = stars.join(place, "node").select("sig", "node", "n", "component")
-    mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    members = written(members.join(written(mixed, "mixed"), "sig", "left_semi"), "members")
-    x = members.select("sig", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    y = members.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    apart = x.join(y, "sig").where("ac < bc").where(f"{den} * least(an, bn) >= {num} * greatest(an, bn)")
-    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
+    # Members of one bucket that are still apart. In a bucket of two they have been compared.
+    members = members.join(labels, "node")
+    mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many"))
+    mixed = written(mixed.where("lo < hi AND many > 2").select("sig", F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")), "mixed")
+    members = members.join(mixed, "sig").join(sketches.select("node", "content"), "node")
+    apart = written(_apart(members, num, den).join(pairs, ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
-        more = written(_named(_linked(apart, nodes, texts, n, num, den), nodes), "links")
+        more = _links(apart, nodes, texts, n, num, den)
         if not more.isEmpty():
             labels = written(_labels(nodes, components(links.unionByName(more))), "node_labels")
     found = labels.select("node", F.when(F.col("component") < NO_KEY, F.col("component")).alias("component_id"))

@@ -85,3 +85,19 @@ def test_component_labels(spark):
     got = {r["id"]: r["component"] for r in spark_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {5: 2, 4: 2, 9: 2, 2: 2, 11: 11, 12: 11, **{100 + i: 100 for i in range(21)}}
     assert spark_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    from jobtide.llm import partenum
+
+    monkeypatch.setattr(partenum, "BUCKET", 2)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for j in range(3):
+            w[(17 * i + 41 * j) % 200] = f"x{i}-{j}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["component_id"] for r in jaccard_components(df, n=4, num=85, den=100).orderBy("doc_id").collect()]
+    assert got == [x for _, x in components(texts, 4, 85, 100)]
