@@ -120,7 +120,8 @@ def contains_text(c: Column, query: str) -> Column:
 
     A backslash makes the character behind it literal, whatever it is.
     """
-    return c.ilike(re.sub(r"\\([^%_\\])", r"\1", f"%{query}%", flags=re.DOTALL))
+    kept = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{query}%", flags=re.DOTALL)
+    return c.ilike(kept)
 
 
 def at_least(df: DataFrame, column: str, minimum: float) -> DataFrame:
