@@ -252,11 +252,13 @@ def _links(near: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int
     return written(_named(good, nodes).distinct(), "links")
 
 
-def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
+def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
     """Near pairs (a, b) within a bucket of (sig, node, n, component, content) whose components differ.
 
     Sketches are compared inside the tasks, so that only near pairs come out. A bucket of
-    more than BUCKET members is cut into blocks, and each pair of blocks is a group.
+    more than BUCKET members is cut into blocks, and each pair of blocks is a group. With
+    ``leaders`` one member of each block, another one in every bucket, is compared with
+    its block alone.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -285,12 +287,15 @@ def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
         block, node, size, component = (group.column(i).to_numpy() for i in range(3, 7))
         bits, size = _bits(group.column(7)), size.astype(np.int64)
         rows, columns = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        if leaders:
+            sig = np.uint64(group.column(0)[0].as_py() & (1 << 64) - 1)
+            rows = rows[[np.argmin(mix(node[rows].view(np.uint64) ^ sig))]]
         step = max(1, (1 << 20) // max(1, len(columns)))
         for start in range(0, len(rows), step):
             some = rows[start : start + step]
             low, high = np.minimum.outer(size[some], size[columns]), np.maximum.outer(size[some], size[columns])
             use = (component[some][:, None] != component[columns][None, :]) & (den * low >= num * high)
-            if p == q:
+            if p == q and not leaders:
                 use &= node[some][:, None] < node[columns][None, :]
             i, j = np.nonzero(use)
             for at in range(0, len(i), 1 << 15):
@@ -300,8 +305,8 @@ def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    last = F.col("blocks") - 1
-    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+    others = F.array("block") if leaders else F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.transform(others, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     placed = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("pair", F.explode(pairs))
     placed = placed.select("sig", F.col("pair.p").cast("int").alias("p"), F.col("pair.q").cast("int").alias("q"), "block", "node", "n", "component", "content")
     return placed.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
@@ -321,8 +326,9 @@ def jaccard_components(
     Equal sets are one node. Nodes that share a signature form a bucket; each is compared
     with the bucket's first, by sketch and then exactly, and what is linked forms
     components. Then the sketches of a bucket's members that are still in different
-    components are compared within the tasks, and near ones exactly, so that no link between
-    different components is missed; only near pairs ever become rows.
+    components are compared within the tasks, and near ones exactly: with one leader per
+    bucket, then all, so that no link between different components is missed. Only near
+    pairs ever become rows.
     """
     texts = df.select(column(key).cast("long").alias("__key"), column(text).cast("string").alias("__text"))
     options = scheme or {}
@@ -373,16 +379,18 @@ def jaccard_components(
     links = _links(near, nodes, texts, n, num, den)
     labels = written(_labels(nodes, components(links)), "node_labels")
 
-    # Members of one bucket that are still apart. In a bucket of two they have been compared.
-    members = members.join(labels, "node")
-    mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many"))
-    mixed = written(mixed.where("lo < hi AND many > 2").select("sig", F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")), "mixed")
-    members = members.join(mixed, "sig").join(sketches.select("node", "content"), "node")
-    apart = written(_apart(members, num, den).join(pairs, ["a", "b"], "left_anti"), "apart")
-    if not apart.isEmpty():
-        more = _links(apart, nodes, texts, n, num, den)
-        if not more.isEmpty():
-            labels = written(_labels(nodes, components(links.unionByName(more))), "node_labels")
+    # Members of one bucket that are still apart: with one leader per bucket first, which joins
+    # most of what belongs together, then with one another. In a bucket of two they have been compared.
+    for leaders in (True, False):
+        placed = members.join(labels, "node")
+        mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many"))
+        mixed = written(mixed.where("lo < hi AND many > 2").select("sig", F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")), "mixed")
+        placed = placed.join(mixed, "sig").join(sketches.select("node", "content"), "node")
+        apart = written(_apart(placed, num, den, leaders).join(pairs, ["a", "b"], "left_anti"), "apart")
+        if not apart.isEmpty():
+            links = links.unionByName(_links(apart, nodes, texts, n, num, den))
+            labels = written(_labels(nodes, components(links)), "node_labels")
+            pairs = pairs.unionByName(apart)
     found = labels.select("node", F.when(F.col("component") < NO_KEY, F.col("component")).alias("component_id"))
     name = F.col("__key").alias(key)
     out = rows.join(found, "node", "left")
