@@ -1,8 +1,10 @@
 """Language identification by compression.
 
 One raw-content dictionary per language, cut from a bounded sample of labelled texts,
-primes a zstandard compressor. A text belongs to the language whose dictionary makes it
-smallest; where two come close, the answer is rejected.
+primes a zstandard compressor. The whole text is compressed in its own order, block by
+block, and each block counts by its length, however well it repeats itself. A text
+belongs to the language whose dictionary makes it smallest; where two come close, the
+answer is rejected.
 """
 
 from __future__ import annotations
@@ -22,17 +24,29 @@ UNKNOWN = "und"
 SAMPLE, SHARE, DICTIONARY = 300, 8_192, 98_304
 #: Most languages that one model may have.
 LANGUAGES = 256
-#: Texts are compressed in independent blocks, so that a long text does not become its own dictionary.
-LEVEL, BLOCK = 9, 4_096
+#: Texts are compressed in independent blocks, so that a long text does not become its own dictionary. Blocks are short,
+#: so that a passage hardly meets its own repetition in one.
+LEVEL, BLOCK = 9, 512
+#: Bytes that a drawn text may give to a dictionary at least, if there is room.
+PIECE = 256
 #: Bytes of the dictionary's end that lead each block: a sure match, so that even a few words pay no more for theirs.
 LEAD = 64
 
 _APART = re.compile(r"[\W\d_]+")
 
 
-def distinct_words(text: str) -> str:
-    """The text's words in lower case, each once, in order: repetition says nothing about the language."""
-    return " ".join(dict.fromkeys(_APART.sub(" ", text.lower()).split()))
+def running_words(text: str) -> str:
+    """All words of the text in lower case and in their order."""
+    return _APART.sub(" ", text.lower()).strip()
+
+
+def even_share(sizes: list[int], room: int) -> int:
+    """The most bytes that each may have, so that all together fill the room."""
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) >= room:
+            return room // (len(sizes) - i)
+        room -= n
+    return max(sizes, default=0)
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
@@ -50,14 +64,15 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("l")] * float(1 << 20))
     drawn = drawn.groupBy("l", "h").agg(F.min(F.substring("t", 1, SHARE)).alias("t")).toArrow().to_pylist()
-    out: dict[str, list[str]] = {k: [] for k in sorted(counts)}
-    room = dict.fromkeys(out, size)
+    texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
     for row in sorted(drawn, key=lambda r: (r["h"], r["t"])):
-        words = distinct_words(row["t"])
-        if room[row["l"]] > 0 and words:
-            out[row["l"]].append(words)
-            room[row["l"]] -= len(words.encode()) + 1
-    return {k: (" " + " ".join(v) + " ").encode()[:size] for k, v in out.items() if v}
+        if words := running_words(row["t"]):
+            texts[row["l"]].append(words.encode() + b" ")
+    out = {}
+    for k, found in texts.items():
+        most = max(PIECE, even_share([len(x) for x in found], size - 1))
+        out[k] = (b" " + b"".join(x[:most] for x in found))[:size]
+    return {k: v for k, v in out.items() if v.strip()}
 
 
 class Model:
@@ -77,13 +92,19 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin: by how much of the second smallest size the smallest one is below it."""
-        words = distinct_words(text or "")
+        words = running_words(text or "")
         if not self.compress or not any(map(str.isalpha, words)):
             return UNKNOWN, 0.0
         data = f" {words} ".encode()
-        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        sizes = sorted((sum([len(f(self.lead[lang] + b)) for b in blocks]), lang) for lang, f in self.compress.items())
-        return sizes[0][1], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
+        with_lead = [(self.lead[lang], f) for lang, f in self.compress.items()]
+        totals = [0.0] * len(with_lead)
+        for i in range(0, len(data), self.block):
+            block = data[i : i + self.block]
+            sizes = [len(f(lead + block)) for lead, f in with_lead]
+            weight = len(block) / sum(sizes)
+            totals = [t + weight * n for t, n in zip(totals, sizes)]
+        ranked = sorted(zip(totals, self.compress))
+        return ranked[0][1], 1 - ranked[0][0] / ranked[1][0] if len(ranked) > 1 else 1.0
 
 
 def identify(

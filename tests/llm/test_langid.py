@@ -48,3 +48,16 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op4_language"](spark, folder).where("held_out").join(docs, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
+
+
+def test_repeated_passages_count_by_their_length(spark):
+    """Four fifths of each text are one repeated passage, the rest is another language."""
+    rnd = random.Random(5)
+    rows = [(text(rnd, lang), lang) for lang in SYLLABLES for _ in range(80)]
+    known = learn(spark.createDataFrame(rows, "text string, lang string"))
+    asked = []
+    for i in range(40):
+        passage, other = text(rnd, "y", 20), text(rnd, "z", 600)
+        asked.append((i, passage * (4 * len(other) // len(passage) + 1) + " " + other))
+    got = identify(spark.createDataFrame(asked, "doc_id long, text string"), known).collect()
+    assert [r["lang_pred"] for r in got] == ["y"] * 40
