@@ -29,6 +29,8 @@ LANGUAGES = 256
 LEVEL, BLOCK = 9, 512
 #: Bytes that a drawn text may give to a dictionary at least, if there is room.
 PIECE = 256
+#: Margin from which on a language is accepted: on sf0.1, 1,595 of 1,600 held-out texts have more, no text of random letters has.
+MARGIN = 0.07
 #: Bytes of the dictionary's end that lead each block: a sure match, so that even a few words pay no more for theirs.
 LEAD = 64
 
@@ -108,7 +110,7 @@ class Model:
 
 
 def identify(
-    df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = 0.002, keep: list[str] | None = None
+    df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MARGIN, keep: list[str] | None = None
 ) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (the margin, 0 to 1) and ``accepted`` (a language, and a margin of ``min_margin`` or more).
 

@@ -61,3 +61,26 @@ def test_repeated_passages_count_by_their_length(spark):
         asked.append((i, passage * (4 * len(other) // len(passage) + 1) + " " + other))
     got = identify(spark.createDataFrame(asked, "doc_id long, text string"), known).collect()
     assert [r["lang_pred"] for r in got] == ["y"] * 40
+
+
+def test_default_margin_rejects_mixed_and_random_texts(spark):
+    rnd = random.Random(6)
+    folder = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    known = learn(docs.where("doc_id % 3 <> 0"))
+    rest = [r for r in docs.where("doc_id % 15 = 0").collect() if len(r["text"]) > 400]
+    by = {k: [r["text"] for r in rest if r["lang"] == k] for k in ("de", "fr")}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    asked = [("clean", r["text"]) for r in rest]
+    for i in range(100):
+        parts = []
+        for _ in range(4):
+            for k in by:
+                t = rnd.choice(by[k])
+                at = rnd.randrange(len(t) - 200)
+                parts.append(t[at : at + 200])
+        asked.append(("mixed", " ".join(parts)))
+        asked.append(("random", " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(100))))
+    got = identify(spark.createDataFrame(asked, "kind string, text string"), known).collect()
+    share = {k: sum(r["accepted"] for r in got if r["kind"] == k) / sum(r["kind"] == k for r in got) for k in ("clean", "mixed", "random")}
+    assert share["clean"] >= 0.99 and share["mixed"] <= 0.2 and share["random"] == 0, share
