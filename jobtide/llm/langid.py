@@ -12,16 +12,18 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
 from jobtide.llm.bytetext import column, map_texts
 
 UNKNOWN = "und"
-#: Labelled texts per language that are looked at (expected number; drawn by their hash), code points taken of each
+#: Distinct labelled texts per language that are looked at (those of the smallest hashes), code points taken of each
 #: for the dictionary, and the bytes of a dictionary.
 SAMPLE, SHARE, DICTIONARY = 300, 8_192, 98_304
+#: Groups by hash in which the smallest hashes are ranked before they meet.
+GROUPS = 64
 #: Most languages that one model may have.
 LANGUAGES = 256
 #: Texts are compressed in independent blocks, so that a long text does not become its own dictionary. Blocks are short,
@@ -54,19 +56,26 @@ def even_share(sizes: list[int], room: int) -> int:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionary of each language from rows with text and language; rows without either, or without a letter, are left out.
 
-    Equal texts count once. The sample follows the hash of the text alone.
+    Equal texts count once: of each language the ``sample`` texts of the smallest hashes are
+    taken, or all if there are fewer. Of a long text a piece from a place that follows its hash is used.
     """
     rows = labelled.select(column(text).cast("string").alias("t"), column(lang).cast("string").alias("l"))
     rows = rows.where(r"l IS NOT NULL AND t RLIKE '\\p{L}'").withColumn("h", F.xxhash64("t"))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
+    ranked = rows.select("l", "h").distinct()
+    for group in (["l", F.pmod("h", F.lit(GROUPS))], ["l"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
+        ranked = ranked.withColumn("n", rank).where(F.col("n") <= sample).drop("n")
+    last = {r["l"]: r["h"] for r in ranked.groupBy("l").agg(F.max("h").alias("h")).limit(LANGUAGES + 1).collect()}
+    if len(last) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
+    if not last:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("l")] * float(1 << 20))
-    drawn = drawn.groupBy("l", "h").agg(F.min(F.substring("t", 1, SHARE)).alias("t")).toArrow().to_pylist()
-    texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
+    drawn = rows.where(F.col("h") <= F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[F.col("l")])
+    letters = F.regexp_replace("t", r"[^\p{L}\p{M}]+", " ")
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length(letters) - SHARE, F.lit(0)) + 1) + 1
+    piece = F.substr(letters, start.cast("int"), F.lit(SHARE))
+    drawn = drawn.groupBy("l", "h").agg(F.min(piece).alias("t")).toArrow().to_pylist()
+    texts: dict[str, list[bytes]] = {k: [] for k in sorted(last)}
     for row in sorted(drawn, key=lambda r: (r["h"], r["t"])):
         if words := running_words(row["t"]):
             texts[row["l"]].append(words.encode() + b" ")

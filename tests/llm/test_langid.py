@@ -84,3 +84,18 @@ def test_default_margin_rejects_mixed_and_random_texts(spark):
     got = identify(spark.createDataFrame(asked, "kind string, text string"), known).collect()
     share = {k: sum(r["accepted"] for r in got if r["kind"] == k) / sum(r["kind"] == k for r in got) for k in ("clean", "mixed", "random")}
     assert share["clean"] >= 0.99 and share["mixed"] <= 0.2 and share["random"] == 0, share
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    rnd = random.Random(7)
+    rows = [(text(rnd, "x", 5), "x")] * 3_000 + [(text(rnd, "x", 5), "x") for _ in range(29)] + [(text(rnd, "y", 5), "y")]
+    known = learn(spark.createDataFrame(rows, "text string, lang string"), sample=30)
+    assert all(t.encode() in known["x"] for t, lang in rows if lang == "x") and rows[-1][0].encode() in known["y"]
+    few = learn(spark.createDataFrame(rows, "text string, lang string"), sample=7)
+    assert sum(t.encode() in few["x"] for t in {t for t, lang in rows if lang == "x"}) == 7
+
+
+def test_long_texts_are_cut_at_hashed_places(spark):
+    rows = [("ba " * 20_000 + f"bi{'o' * i} " * 20_000, "x") for i in range(1, 30)]
+    known = learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert b" ba " in known["x"] and b" bio" in known["x"]
