@@ -184,8 +184,12 @@ def _descend(got: pa.Table, strength: float, steps: int, rate: float, decay: flo
 
 
 def sample_labels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """(text, label) of at most ``per_class`` labelled documents of each class, drawn by the hash of their key."""
+    """(text, label) of at most ``per_class`` labelled documents of each class, drawn by the hash of their key.
+
+    Labels without a document are left out before the draw.
+    """
     given = labels.select(column(key).alias("key"), column(label).cast("int").alias("label")).where("key IS NOT NULL")
+    given = given.join(documents.select(column(key).alias("key")), "key", "left_semi")
     parts = [given.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(per_class) for k in (0, 1)]
     drawn = parts[0].unionByName(parts[1])
     texts = documents.select(column(key).alias("key"), column(text).cast("string").alias("text"))

@@ -40,6 +40,15 @@ def test_toxic_documents_go(spark):
     assert sum(k in kept for k in toxic) <= 0.3 * len(toxic)
 
 
+def test_toxic_documents_of_the_smallest_table(spark, stages):
+    """Few labels to learn from: 5 of the 11 labelled toxic documents stay."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    present = {r["doc_id"] for r in stages[0][1].collect()}
+    kept = {r["doc_id"] for r in stages[0][2].collect()}
+    toxic = [k for k, t in labels.items() if t == 1 and k in present]
+    assert len(toxic) == 11 and sum(k in kept for k in toxic) <= 5
+
+
 def test_known_languages_stay(stages):
     _, docs, made = stages[1]
     assert made.count() >= 0.97 * docs.count()

@@ -77,6 +77,13 @@ def test_sample_is_bounded_and_spans_both_classes(spark):
     assert sorted(tuple(r) for r in got) == [(0, 10), (1, 10)]
 
 
+def test_sample_is_drawn_from_labels_that_have_a_document(spark):
+    docs = spark.range(1_000).where("id % 50 = 0").selectExpr("id AS doc_id", "concat('t', id) AS text")
+    labels = spark.range(1_000).selectExpr("id AS doc_id", "cast(id % 100 = 0 AS int) AS toxic")
+    got = toxicity.sample_labels(docs, labels, per_class=8).groupBy("toxic").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 8), (1, 8)]
+
+
 def test_held_out_documents_are_told_apart(spark):
     from jobtide.llm.queries import QUERIES
 
