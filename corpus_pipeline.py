@@ -31,14 +31,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Different texts with one id stay or go together; of rows with equal id and text one
-    stays. Documents without words are no copies of anything, and rows without an id stay.
+    A row is known by its id and text, so that another text with the id of a copy stays; of
+    rows with equal id and text one stays. Documents without words are no copies of
+    anything. Of the rows without an id one stays in each group, beside the one with an id.
     """
     ship_packages(spark, "jobtide")
-    groups = partenum.jaccard_components(docs, n=5, num=80, den=100)
-    copies = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    found = partenum.near_copies(docs, n=5, num=80, den=100)
+    copies = written(found.select(F.col("doc_id").alias("__copy"), F.col("hash").alias("__of")), "copies")
     columns = [column(c) for c in docs.columns]
-    kept = docs.join(copies, "doc_id", "left_anti").select(*columns, F.xxhash64("text").alias("__h"))
+    gone = F.col("doc_id").eqNullSafe(F.col("__copy")) & (F.col("__h") == F.col("__of"))
+    kept = docs.select(*columns, F.xxhash64("text").alias("__h")).join(copies, gone, "left_anti")
     names = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__again"))
     again = written(names.groupBy("__id", "__again").count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():

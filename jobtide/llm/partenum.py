@@ -330,14 +330,39 @@ def jaccard_components(
     bucket, then all, so that no link between different components is missed. Only near
     pairs ever become rows.
     """
-    texts = df.select(column(key).cast("long").alias("__key"), column(text).cast("string").alias("__text"))
+    rows, labels = _labelled(df.select(column(key).cast("long").alias("__key"), column(text).cast("string").alias("__text")), n, num, den, scheme)
+    found = labels.select("node", F.when(F.col("component") < NO_KEY, F.col("component")).alias("component_id"))
+    name = F.col("__key").alias(key)
+    out = rows.join(found, "node", "left")
+    return out.select(name, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__key")).alias("component_id"))
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(key, hash): distinct key and xxhash64 of the text of the rows that have a better one in their component.
+
+    The best one has the smallest (key, set, hash). Rows without a key have a best one of their own in each component.
+    """
+    content = column(text).cast("string")
+    # Nodes are named by id and text: sets of one id are not linked by it.
+    name = F.xxhash64(column(key).cast("long"), content).bitwiseAND(F.lit((1 << 62) - 1))
+    texts = df.select(name.alias("__key"), column(key).cast("long").alias("__id"), F.xxhash64(content).alias("__hash"), content.alias("__text"))
+    rows, labels = _labelled(texts, n, num, den, None)
+    placed = rows.join(labels, "node").select("component", F.col("__id").isNull().alias("unkeyed"), F.struct("__id", "node", "__hash").alias("place"))
+    best = placed.groupBy("component", "unkeyed").agg(F.min("place").alias("best"))
+    worse = placed.join(best, ["component", "unkeyed"]).where("NOT (place <=> best)")
+    return worse.select(F.col("place.__id").alias(key), F.col("place.__hash").alias("hash")).distinct()
+
+
+def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None) -> tuple[DataFrame, DataFrame]:
+    """(the columns before __text, n, node) of every row, and (node, component) of every node."""
     options = scheme or {}
+    given_names = texts.columns[:-1]
 
     def measure(kept: list, given: pa.Array) -> list:
         sets, names = _read(given, n)
-        return [("__key", kept[0]), ("n", pa.array([len(s) for s in sets], pa.int64())), ("node", pa.array(names.view(np.int64)))]
+        return [*zip(given_names, kept), ("n", pa.array([len(s) for s in sets], pa.int64())), ("node", pa.array(names.view(np.int64)))]
 
-    rows = written(_pass(texts, ["__key"], "__key long, n long, node long", measure), "sizes")
+    rows = written(_pass(texts, given_names, "".join(f"{c} long, " for c in given_names) + "n long, node long", measure), "sizes")
     nodes = written(
         rows.where("n > 0").groupBy("node").agg(F.min("__key").alias("rep"))
         .select("node", F.coalesce("rep", F.expr(f"{NO_KEY} + (node & {KEY_MASK})")).alias("rep")),
@@ -391,10 +416,7 @@ def jaccard_components(
             links = links.unionByName(_links(apart, nodes, texts, n, num, den))
             labels = written(_labels(nodes, components(links)), "node_labels")
             pairs = pairs.unionByName(apart)
-    found = labels.select("node", F.when(F.col("component") < NO_KEY, F.col("component")).alias("component_id"))
-    name = F.col("__key").alias(key)
-    out = rows.join(found, "node", "left")
-    return out.select(name, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__key")).alias("component_id"))
+    return rows, labels
 
 
 def _named(links: DataFrame, nodes: DataFrame) -> DataFrame:

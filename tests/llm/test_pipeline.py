@@ -103,3 +103,13 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_copies_are_known_by_id_and_text(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    near = [text + end for end in ("", " more", " again")]
+    rows = [(1, text), (5, near[1]), (5, "a clean text that shares its id with a copy"), (None, near[1]), (None, near[2]), (None, "quite another one")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()]
+    assert rows[0] in got and rows[1] not in got and rows[2] in got and rows[5] in got
+    assert sum(r in got for r in rows[3:5]) == 1 and len(got) == 4
