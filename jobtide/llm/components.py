@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from jobtide.session import scratch_path
 
 
+#: Spark removes the shuffle files of a run when it ends if this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read again: cuts lineage, survives lost executors."""
+    """The table, written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The shuffle files of the run that wrote it go at its end: nothing reads them again.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

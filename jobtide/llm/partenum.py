@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from jobtide.llm.bytetext import column, flat, hash_spans, mix, shingles, slices, words
 from jobtide.llm.components import components, written
 
-#: Ratio of the sizes at the two ends of a band.
-BAND = 1.6
-#: Bits of the filter that picks the sets to be compared; a fuller one only lets more through.
-FILTER_BITS = 1 << 24
+#: Bits of the filters that pick the rows to be read, at least and at most; a fuller one only lets more through.
+FILTER_BITS = (1 << 20, 1 << 26)
 #: Members of a bucket that are compared as one block.
 BUCKET = 4_096
 #: Bits of a set's parity sketch.
@@ -38,15 +36,16 @@ _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 class Scheme:
     """Bands of set sizes, and for each the number of groups that the similarity num/den asks for."""
 
-    def __init__(self, num: int, den: int, parts: int = 2, spare: int = 1, slack: float = 0.1):
-        self.num, self.den, self.parts, self.spare, self.slack = num, den, parts, spare, slack
+    def __init__(self, num: int, den: int, parts: int = 2, spare: int = 1, slack: float = 0.1, band: float = 1.6):
+        """``band``: ratio of the sizes at the two ends of a band. ``slack``: share of the signatures that are sure to agree."""
+        self.num, self.den, self.parts, self.spare, self.slack, self.band = num, den, parts, spare, slack, band
         self.subsets = list(combinations(range(parts), parts - spare))
         self.low = [1]
 
     def bands(self, size: int) -> list[int]:
         """The set's own band, and those of larger sets that it may be similar to."""
         while self.low[-1] * self.num <= size * self.den:
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND)))
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * self.band)))
         own = int(np.searchsorted(self.low, size, "right")) - 1
         return [own, *[b for b in range(own + 1, len(self.low)) if self.low[b] * self.num <= size * self.den]]
 
@@ -61,7 +60,7 @@ class Scheme:
     def groups(self, band: int) -> tuple[int, int]:
         """Groups of the band, and how many signatures are sure to agree there."""
         while len(self.low) <= band + 1:
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND)))
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * self.band)))
         k = 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
         groups = 1
         while self.agreeing(groups, k) < 1 + int(self.slack * groups * len(self.subsets)):
@@ -168,16 +167,33 @@ def _stars(rows: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "sig long, leader long, node long, leader_n int, n int")
 
 
-def _marks(nodes: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the names that occur; at most ``bits`` of them, whatever the number of names."""
-    got = (
-        nodes.select(F.expr(f"node & {bits - 1}").alias("p"))
-        .groupBy(F.expr("shiftright(p, 6)").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits")).toArrow()
-    )
-    out = np.zeros(bits // 64, np.uint64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return out
+class _Marks:
+    """A bit filter of 64-bit values, sent to the tasks. Its bits follow the number of values up to a fixed size."""
+
+    def __init__(self, values: DataFrame, name: str):
+        spark = values.sparkSession
+        self.bits = FILTER_BITS[0]
+        many = values.count()
+        while self.bits < min(8 * many, FILTER_BITS[1]):
+            self.bits *= 2
+        got = (
+            values.select(F.col(name).bitwiseAND(F.lit(self.bits - 1)).alias("p"))
+            .groupBy(F.expr("shiftright(p, 6)").alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits")).toArrow()
+        )
+        out = np.zeros(self.bits // 64, np.uint64)
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+        self.sent = spark.sparkContext.broadcast(out)
+
+    def hit(self, values: np.ndarray) -> np.ndarray:
+        at = values & np.uint64(self.bits - 1)
+        return (self.sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _read_marked(marks: _Marks, places: pa.Array, keys: pa.Array, texts: pa.Array, n: int) -> tuple[np.ndarray, list, np.ndarray]:
+    """Indexes of the rows whose key is marked or NULL, and what ``_read`` gives for them: no other text is read."""
+    use = np.flatnonzero(marks.hit(places.to_numpy().view(np.uint64)) | keys.is_null().to_numpy(zero_copy_only=False))
+    return use, *_read(texts if len(use) == len(texts) else texts.take(pa.array(use)), n)
 
 
 def _parity(s: np.ndarray) -> bytes:
@@ -189,23 +205,22 @@ def _parity(s: np.ndarray) -> bytes:
 def _contents(wanted: DataFrame, texts: DataFrame, n: int, content) -> DataFrame:
     """(node, size, content) of the wanted (node, rep), each set read from one document.
 
-    A bit filter of fixed size lets only the wanted sets (and some others) leave the pass over the texts.
+    A bit filter of the keys tells which texts are read, and one of the names which sets leave the pass.
     """
-    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, FILTER_BITS))
+    keyed = _Marks(wanted.select(F.xxhash64("rep").alias("at")), "at")
+    named = _Marks(wanted, "node")
 
     def pick(kept: list, given: pa.Array) -> list:
-        sets, names = _read(given, n)
-        at = names & np.uint64(FILTER_BITS - 1)
-        hit = (marks.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-        use = [i for i in np.flatnonzero(hit).tolist() if len(sets[i])]
-        keys = kept[0].take(pa.array(use, pa.int64())).to_pylist()
+        rows, sets, names = _read_marked(keyed, kept[1], kept[0], given, n)
+        use = [i for i in np.flatnonzero(named.hit(names)).tolist() if len(sets[i])]
+        keys = kept[0].take(pa.array(rows[use], pa.int64())).to_pylist()
         reps = [NO_KEY + (int(names[i]) & KEY_MASK) if k is None else k for i, k in zip(use, keys)]
         return [
             ("node", pa.array(names[use].view(np.int64))), ("rep", pa.array(reps, pa.int64())),
             ("size", pa.array([len(sets[i]) for i in use], pa.int32())), ("content", pa.array([content(sets[i]) for i in use], pa.binary())),
         ]
 
-    found = _pass(texts, ["__key"], "node long, rep long, size int, content binary", pick)
+    found = _pass(texts.withColumn("__at", F.xxhash64("__key")), ["__key", "__at"], "node long, rep long, size int, content binary", pick)
     return found.join(wanted, ["node", "rep"], "left_semi").select("node", "size", "content")
 
 
@@ -337,7 +352,9 @@ def jaccard_components(
     return out.select(name, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__key")).alias("component_id"))
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_copies(
+    df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, scheme: dict | None = None,
+) -> DataFrame:
     """(key, hash): distinct key and xxhash64 of the text of the rows that have a better one in their component.
 
     The best one has the smallest (key, set, hash). Rows without a key have a best one of their own in each component.
@@ -346,7 +363,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     # Nodes are named by id and text: sets of one id are not linked by it.
     name = F.xxhash64(column(key).cast("long"), content).bitwiseAND(F.lit((1 << 62) - 1))
     texts = df.select(name.alias("__key"), column(key).cast("long").alias("__id"), F.xxhash64(content).alias("__hash"), content.alias("__text"))
-    rows, labels = _labelled(texts, n, num, den, None)
+    rows, labels = _labelled(texts, n, num, den, scheme or {"slack": 0.3, "band": 1.25})
     placed = rows.join(labels, "node").select("component", F.col("__id").isNull().alias("unkeyed"), F.struct("__id", "node", "__hash").alias("place"))
     best = placed.groupBy("component", "unkeyed").agg(F.min("place").alias("best"))
     worse = placed.join(best, ["component", "unkeyed"]).where("NOT (place <=> best)")
@@ -369,8 +386,11 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
         "nodes",
     )
 
-    def sign(_: list, given: pa.Array) -> list:
-        sets, names = _read(given, n)
+    keyed = _Marks(nodes.select(F.xxhash64("rep").alias("at")), "at")
+
+    def sign(kept: list, given: pa.Array) -> list:
+        # Of the copies of a set only the one that stands for it is read (and the few whose key looks like another's).
+        _, sets, names = _read_marked(keyed, kept[1], kept[0], given, n)
         use = [i for i in np.unique(names, return_index=True)[1].tolist() if len(sets[i])]
         sigs, of = signatures([sets[i] for i in use], made())
         which = np.array(use, np.int64)[of] if len(use) else of
@@ -379,14 +399,15 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
             ("sig", pa.array(sigs.view(np.int64))), ("node", pa.array(names[which].view(np.int64))), ("n", pa.array(sizes[which])),
         ]
 
-    kept: list[Scheme] = []
+    schemes: list[Scheme] = []
 
     def made() -> Scheme:
-        if not kept:
-            kept.append(Scheme(num, den, **options))
-        return kept[0]
+        if not schemes:
+            schemes.append(Scheme(num, den, **options))
+        return schemes[0]
 
-    stars = written(_stars(_pass(texts, [], "sig long, node long, n int", sign)), "stars")
+    signed = _pass(texts.withColumn("__at", F.xxhash64("__key")), ["__key", "__at"], "sig long, node long, n int", sign)
+    stars = written(_stars(signed), "stars")
     alike = f"{den} * least(leader_n, n) >= {num} * greatest(leader_n, n)"
     pairs = written(stars.where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     leaders = stars.select("sig", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
