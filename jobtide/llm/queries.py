@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import langid, lexicon, mixing, partenum, sketch, tokens, topk, toxicity, urls, warc
+from jobtide.llm import langid, lexicon, mixing, partenum, rlz, sketch, tokens, topk, toxicity, urls, warc
 from jobtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str) -> str:
+    """Path of a vocabulary file. The package that has them is needed by the queries that tokenize only."""
+    from public_tokenizers import path
+
+    return path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -154,3 +160,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a similarity of 0.85 or more."""
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+_OP11_SQL = """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT r, doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS s
+        FROM (SELECT r, doc_id, w, unnest(range(len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+    f AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE first < doc_id),
+    c AS (SELECT DISTINCT r, i + k AS j FROM f, range(13) t(k)),
+    k AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS kept
+        FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS j FROM d) ANTI JOIN c USING (r, j) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)"""
+
+
+@query("op11_substring_dedup", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat 13 consecutive words of one with a smaller id."""
+    found = rlz.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
