@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import langid, lexicon, mixing, partenum, rlz, sketch, tokens, topk, toxicity, urls, warc
+from jobtide.llm import langid, lexicon, mixing, partenum, repair, rlz, sketch, tokens, topk, toxicity, urls, warc
 from jobtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,82 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat 13 consecutive words of one with a smaller id."""
     found = rlz.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _op12_sql() -> str:
+    """Damage, faults and, over the rows of a conversation, the best prefix of each of four states."""
+    def best(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda x: x.c IS NOT NULL))[1]"
+
+    def step(state: str, cost: str, letter: str, text: str = "''", test: str = "true") -> str:
+        return (
+            f"{{'c': CASE WHEN {test} THEN {state}.c + {cost} END, 'a': {state}.a || '{letter}', "
+            f"'t': {state}.t || {text}, 'n': {state}.n}}"
+        )
+
+    def taken(state: str, role: str, cost: str, letter: str, test: str) -> str:
+        return (
+            f"{{'c': CASE WHEN {test} THEN {state}.c + {cost} END, 'a': {state}.a || '{letter}', "
+            f"'t': {state}.t || CASE WHEN {state}.n > 0 THEN chr(10) ELSE '' END || {role} || ':' || text, 'n': {state}.n + 1}}"
+        )
+
+    def added(state: str, role: str) -> str:
+        return (
+            f"{{'c': {state}.c + 5, 'a': {state}.a || 'I', 't': {state}.t || CASE WHEN {state}.n > 0 THEN chr(10) ELSE '' END || '{role}:', "
+            f"'n': {state}.n + 1}}"
+        )
+
+    def kept(state: str, initial: str) -> str:
+        return taken(state, "role", "extra", "K", f"NOT gone AND initial = '{initial}'")
+
+    def named(state: str, role: str) -> str:
+        return taken(state, f"'{role}'", "1 + extra", "R", "NOT gone")
+
+    user = [f(s, x) for s in ("i0", "i1", "i3") for f, x in ((kept, "u"), (named, "user"))]
+    to = [
+        step("i0", "2", "D"), best(step("i1", "2", "D"), kept("i0", "s")), best(step("i2", "2", "D"), *user),
+        best(step("i3", "2", "D"), kept("i2", "a"), named("i2", "assistant")),
+    ]
+    name = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, list_transform(range(length(s)), lambda i: CAST(ord(s[i + 1]) AS BIGINT))), lambda c, b: "
+        "list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 20"
+    )
+    return f"""
+    WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} AS kind
+        FROM (SELECT *, {name} AS s FROM conversations)),
+    x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM m WHERE kind <> 0),
+    o AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS before,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+        regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS body
+        FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy)),
+    f AS (SELECT conv_id, i, turn, role, text, initial, body = '' AS blank, body <> '' AND nth > 1 AS again, body = '' OR nth > 1 AS gone,
+        body <> '' AND nth = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+        i > 1 AND before || initial NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+    r(conv_id, i, s0, s1, s2, s3) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 't': '', 'n': 0}}, {{'c': CAST(NULL AS INT), 'a': '', 't': '', 'n': 0}},
+            {{'c': CAST(NULL AS INT), 'a': '', 't': '', 'n': 0}}, {{'c': CAST(NULL AS INT), 'a': '', 't': '', 'n': 0}} FROM f GROUP BY conv_id
+        UNION ALL
+        SELECT conv_id, i, {to[0]}, {to[1]}, {to[2]}, {to[3]} FROM (
+            SELECT r.conv_id, f.i, role, text, initial, gone, CASE WHEN cut THEN 5 ELSE 0 END AS extra, s0 AS i0, s1 AS i1,
+                {best("s2", added("s0", "user"), added("s1", "user"), added("s3", "user"))} AS i2, {best("s3", added("s2", "assistant"))} AS i3
+            FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1)),
+    e AS (SELECT conv_id, {best("s0", "s3", added("s2", "assistant"))} AS b FROM r
+        WHERE i = (SELECT max(i) FROM f WHERE f.conv_id IS NOT DISTINCT FROM r.conv_id)),
+    g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id)
+    SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+        CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+        CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+        sha256(coalesce(b.t, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_conversation_repair", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    given = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(given).withColumnRenamed("conv", "conv_id"), given)
