@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import langid, lexicon, mixing, partenum, repair, rlz, sketch, tokens, topk, toxicity, urls, warc
+from jobtide.llm import colloc, langid, lexicon, mixing, partenum, repair, rlz, sketch, tokens, topk, toxicity, urls, warc
 from jobtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation and its cheapest repair."""
     given = table(spark, sf_dir, "conversations")
     return repair.report(repair.damage(given).withColumnRenamed("conv", "conv_id"), given)
+
+
+_OP13_SQL = """
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents),
+    p AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w
+        FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS x FROM d)),
+    g AS (SELECT lang, w, m, unnest(range(len(w) - m + 1)) AS i FROM (SELECT lang, w, unnest(range(1, 6)) AS m FROM p) WHERE len(w) >= m),
+    f AS (SELECT lang, m, array_to_string(w[i + 1 : i + m], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 100),
+    x AS (SELECT DISTINCT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, f
+        FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c))),
+    q AS (SELECT c.*, unnest(range(1, m)) AS k FROM c WHERE NOT EXISTS
+        (SELECT 1 FROM x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.f >= 100 * c.f)),
+    s AS (SELECT q.lang, q.phrase, q.f AS a, q.k, l.f AS l, r.f AS r, n.n,
+            CAST(1000 AS HUGEINT) * q.f * n.n // (CAST(l.f AS HUGEINT) * r.f) AS score
+        FROM q JOIN n ON n.lang = q.lang JOIN f l ON l.lang = q.lang AND l.phrase = array_to_string(q.w[1 : q.k], ' ')
+        JOIN f r ON r.lang = q.lang AND r.phrase = array_to_string(q.w[q.k + 1 : q.m], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+        CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b QUALIFY rank <= 2000"""
+
+
+@query("op13_collocations", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of every language."""
+    return colloc.collocations(table(spark, sf_dir, "documents"))
