@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where the tables of ``written`` stand, as long as someone holds them.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` gave and that no plan will read again; others are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,25 +65,30 @@ def components(edges: DataFrame) -> DataFrame:
         )
         while True:
             above = parents.select(F.col("id").alias("component"), F.col("component").alias("root"))
-            jumped = written(
-                parents.join(above, "component").select("id", F.col("root").alias("component"), (F.col("root") != F.col("component")).alias("moved")),
+            before, parents = parents, written(
+                parents.select("id", "component").join(above, "component")
+                .select("id", F.col("root").alias("component"), (F.col("root") != F.col("component")).alias("moved")),
                 "parents",
             )
-            parents = jumped.select("id", "component")
-            if jumped.where("moved").isEmpty():
+            removed(before)
+            if parents.where("moved").isEmpty():
                 break
         root = parents.select(F.col("id").alias("a"), F.col("component").alias("ra"))
         far = parents.select(F.col("id").alias("b"), F.col("component").alias("rb"))
-        edges = written(
+        before, edges = edges, written(
             edges.join(root, "a").join(far, "b").where("ra != rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
             "edges",
         )
+        removed(before)
         if labels is None:
             labels = parents
         else:
             above = parents.select(F.col("id").alias("component"), F.col("component").alias("root"))
-            labels = written(
+            before, labels = labels, written(
                 labels.join(above, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels"
             )
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")) if labels is None else labels
+            removed(before, parents)
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return labels.select("id", "component")

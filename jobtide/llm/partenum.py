@@ -9,7 +9,7 @@ principle two sufficiently similar sets agree in at least one such signature.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.bytetext import column, flat, hash_spans, mix, shingles, slices, words
-from jobtide.llm.components import components, written
+from jobtide.llm.components import components, removed, written
 
 #: Bits of the filters that pick the rows to be read, at least and at most; a fuller one only lets more through.
 FILTER_BITS = (1 << 20, 1 << 26)
@@ -264,7 +264,9 @@ def _links(near: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(wanted.join(nodes, "node"), "wanted")
     good = _kept(_both(near, _contents(wanted, texts, n, np.ndarray.tobytes)), alike)
-    return written(_named(good, nodes).distinct(), "links")
+    links = written(_named(good, nodes).distinct(), "links")
+    removed(wanted)
+    return links
 
 
 def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
@@ -414,6 +416,7 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
     members = stars.select("sig", "node", "n").unionByName(leaders)
     wanted = written(members.select("node").distinct().join(nodes, "node"), "wanted")
     sketches = written(_contents(wanted, texts, n, _parity), "sketches")
+    removed(wanted)
 
     def close(batch: pa.RecordBatch) -> np.ndarray:
         if not batch.num_rows:
@@ -423,8 +426,10 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
 
     near = written(_kept(_both(pairs, sketches), close), "near")
     links = _links(near, nodes, texts, n, num, den)
+    parts = [near, links]
     labels = written(_labels(nodes, components(links)), "node_labels")
 
+    compared = [pairs]
     # Members of one bucket that are still apart: with one leader per bucket first, which joins
     # most of what belongs together, then with one another. In a bucket of two they have been compared.
     for leaders in (True, False):
@@ -432,11 +437,16 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
         mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many"))
         mixed = written(mixed.where("lo < hi AND many > 2").select("sig", F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")), "mixed")
         placed = placed.join(mixed, "sig").join(sketches.select("node", "content"), "node")
-        apart = written(_apart(placed, num, den, leaders).join(pairs, ["a", "b"], "left_anti"), "apart")
+        known = reduce(DataFrame.unionByName, compared)
+        apart = written(_apart(placed, num, den, leaders).join(known, ["a", "b"], "left_anti"), "apart")
+        parts += [mixed, apart]
         if not apart.isEmpty():
-            links = links.unionByName(_links(apart, nodes, texts, n, num, den))
-            labels = written(_labels(nodes, components(links)), "node_labels")
-            pairs = pairs.unionByName(apart)
+            parts.append(_links(apart, nodes, texts, n, num, den))
+            links = links.unionByName(parts[-1])
+            before, labels = labels, written(_labels(nodes, components(links)), "node_labels")
+            removed(before)
+            compared.append(apart)
+    removed(*parts, *compared, stars, sketches, nodes)
     return rows, labels
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from jobtide.llm.bytetext import column, flat, hash_spans, mix, slices, words
-from jobtide.llm.components import written
+from jobtide.llm.components import removed, written
 from jobtide.llm.partenum import _Marks as Marks
 
 #: Words of a window, and of an anchor.
@@ -315,6 +315,7 @@ def repeated_spans(
     rows = _rows(df, key, text).where("doc IS NOT NULL")
     shared = _shared(rows, window, anchor, hot)
     found = written(_parsed(_pieces(rows, shared, window, anchor), window, anchor), "spans")
+    removed(shared)
     return found.groupBy("doc", "h").agg(F.collect_set("span").alias("spans")).withColumnRenamed("doc", key)
 
 

@@ -53,7 +53,6 @@ def texts(rnd, n):
 def test_equals_brute_force(spark, monkeypatch, ranked, tile, dense, held):
     for name, value in (("TILE", tile), ("DENSE", dense), ("HELD", held)):
         monkeypatch.setattr(colloc, name, value)
-    # Classes are sent to the tasks by name; one task at a time would see the values of the module.
     rows = texts(random.Random(ranked + tile), 120) + [(None, "en"), ("", "fr"), ("One", "it"), (" . ", "es")]
     df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "text string, lang string, phrase string, f int, id string").repartition(3)
     got = [tuple(r) for r in colloc.collocations(df, least=6, top=40, ranked=ranked).collect()]

@@ -113,3 +113,44 @@ def test_near_copies_are_known_by_id_and_text(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()]
     assert rows[0] in got and rows[1] not in got and rows[2] in got and rows[5] in got
     assert sum(r in got for r in rows[3:5]) == 1 and len(got) == 4
+
+
+CLASHING = {
+    "score": "string", "predicted": "int", "accepted": "string", "lang_pred": "double", "__h": "string", "__id": "int", "__source": "string",
+    "__copy": "string", "__key": "string", "row": "string", "h": "int", "id": "string", "copy": "long", "of": "string", "size": "string",
+    "again": "string", "n_tokens": "string", "a.b": "string", "__text": "string",
+}
+
+
+def test_columns_with_clashing_names_stay(spark):
+    """Values and types of the caller's columns, whatever their names; NULL, empty, long and repeated texts among them."""
+    from pyspark.sql import functions as F
+
+    folder = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 250")
+    odd = spark.createDataFrame(
+        [(9001, None, "en", "src1"), (9002, "", None, None), (None, "the words of a text without an id", "en", "src2"), (None, None, None, None)],
+        "doc_id long, text string, lang string, source string",
+    ).withColumn("n_chars", F.length("text").cast("long"))
+    clean = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 0").select("doc_id")
+    long = docs.where("lang = 'en' AND n_chars > 500").join(clean, "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    long = long.select(F.lit(9003).cast("long").alias("doc_id"), F.repeat(F.concat("text", F.lit(" ")), 400).alias("text"), "lang", "source")
+    long = long.withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.unionByName(odd).unionByName(docs.where("doc_id = 3")).unionByName(long)
+    own = {name: F.pmod(F.xxhash64(F.lit(name), "doc_id", F.col("text")), F.lit(1000)).cast(kind) for name, kind in CLASHING.items()}
+    docs = docs.select("*", *[c.alias(name) for name, c in own.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, folder)
+        assert made.dtypes == docs.dtypes, name
+        rows = made.collect()
+        given = {tuple(r) for r in docs.collect()}
+        assert rows and all(tuple(r) for r in rows) and {tuple(r) for r in rows} <= given, name
+        ids = [r["doc_id"] for r in rows]
+        if name == "toxicity":
+            assert {9001, 9002, 9003, None} <= set(ids) and ids.count(3) == 2
+        if name == "language":
+            assert not {9001, 9002} & set(ids) and 9003 in ids
+        if name == "near_copies":
+            assert {9001, 9002} <= set(ids) and ids.count(3) <= 1
+    made = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert made.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and made.count() == docs.count()
