@@ -7,6 +7,7 @@ from bindings.base import POSTINGS_CTE, lit, query, raw_postings, table
 from bindings.texts import ALL_INVALID_SQL, invalid_sql
 from jobtide.lookups import CRITICAL_FIELDS
 from jobtide.operators import derive, profiling
+from jobtide.operators.counters import Counters
 from jobtide.plans.postings import clean_postings
 
 # --- F: derived fields ------------------------------------------------------
@@ -169,6 +170,45 @@ def _(spark, d):
     )
 
 
+def _counter_sql(name: str, value: str) -> str:
+    return f"SELECT {lit(name)} AS counter, CAST({value} AS BIGINT) AS value"
+
+
+_AFTER = f"c{S.LAST}"
+COUNTERS_SQL = CLEAN_SQL[: CLEAN_SQL.index(" SELECT *, ")] + (
+    f", fb AS MATERIALIZED (SELECT {S.flag_columns('descr')} FROM d), fa AS MATERIALIZED (SELECT {S.flag_columns('x')} FROM {_AFTER})"
+    f", cr AS (SELECT {invalid_sql('title')} AND {invalid_sql('description')} AND {invalid_sql('primary_description')}"
+    f" AND {invalid_sql('skill')} AS lost FROM r) "
+) + " UNION ALL ".join([
+    *[_counter_sql(f"invalid: {n}", f"(SELECT count(*) - count({c}) FROM n)")
+      for n, c in (("Description", "descr"), ("Primary Description", "prim"), ("Location", "loc"), ("Skill", "skill"))],
+    _counter_sql("disallowed locations", "(SELECT count(*) FROM n) - (SELECT count(*) FROM d)"),
+    _counter_sql("markup: before", f"(SELECT count(*) FROM fb WHERE {S.ANY_FLAG})"),
+    *[_counter_sql(f"gender markers: {n}", f"(SELECT count(*) FROM d WHERE regexp_matches({S.fence(c)}, {lit(S.GENDER)}))")
+      for n, c in (("Title", "title"), ("Description", "descr"))],
+    _counter_sql("blocks: records", "(SELECT count(DISTINCT id) FROM g WHERE category IS NOT NULL)"),
+    _counter_sql("blocks: removed", "(SELECT count(category) FROM g)"),
+    *[_counter_sql(f"blocks: {c}", f"(SELECT count(*) FROM g WHERE category = {lit(c)})") for c in S.CATEGORY_PATTERNS],
+    _counter_sql("markup: after", f"(SELECT count(*) FROM fa WHERE {S.ANY_FLAG})"),
+    _counter_sql("descriptions without text", "(SELECT count(*) - count(description) FROM r)"),
+    *[_counter_sql(f"skill: {n}", f"(SELECT count(*) FROM d WHERE regexp_matches(skill, {lit(p)}))")
+      for n, p in (("prefix_removed", PREFIX), ("suffix_removed", MORE), ("profile_match_cleared", MATCH))],
+    _counter_sql("modality: filled", "(SELECT count(work_modality) FROM r)"),
+    _counter_sql("modality: missing", "(SELECT count(*) - count(work_modality) FROM r)"),
+    _counter_sql("critical: removed", "(SELECT count(*) FROM cr WHERE lost)"),
+    _counter_sql("critical: kept", "(SELECT count(*) FROM cr WHERE NOT lost)"),
+])
+
+
+@query("f06_counters", COUNTERS_SQL)
+def _(spark, d):
+    """What every step of the clean-up changed or removed, counted in the run that writes its rows."""
+    counters = Counters()
+    overrides = spark.createDataFrame(AREAS, "location string, country string")
+    clean_postings(raw_postings(spark, d), overrides, counters).write.format("noop").mode("overwrite").save()
+    return counters.table(spark)
+
+
 # --- L: profiles ------------------------------------------------------------
 @query(
     "l01_shape",

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobtide.functions.text import settle
+from jobtide.operators.counters import Counters
 from jobtide.operators.records import col, to_long
 
 DROPPED_ROLE_FIELDS = ["summary_statement", "mission"]
@@ -98,14 +100,29 @@ def keep_linked(edges: DataFrame, items: DataFrame, edge_key: str = "tks_id", it
     return edges.join(ids, edge_key, "left_semi").select(*[col(c) for c in edges.columns])
 
 
-def drop_tasks_nested(df: DataFrame, dropped: str = "Task") -> DataFrame:
-    """The same within each document: tasks go, then the links to them."""
+def drop_tasks_nested(df: DataFrame, dropped: str = "Task", counters: Counters | None = None) -> DataFrame:
+    """The same within each document: tasks go, then the links to them.
+
+    Counts ``tasks removed`` and ``links removed``.
+    """
+    if counters is not None:
+        df = df.withColumns({"_items": F.size("tks"), "_links": F.size("relationship")})
     df = df.withColumn("tks", F.filter("tks", lambda t: ~t["type"].eqNullSafe(dropped)))
+    df = df.withColumn("relationship", _surviving_links())
+    if counters is None:
+        return df
+    lost = {"tasks removed": ("_items", "tks"), "links removed": ("_links", "relationship")}
+    df = counters.watch(settle(df, "tks", "relationship"), {
+        name: F.coalesce(F.sum(F.col(before) - F.size(after)), F.lit(0)).cast("long") for name, (before, after) in lost.items()
+    })
+    return df.drop("_items", "_links")
+
+
+def _surviving_links() -> Column:
     # Set operations hash their sides; the list searched per link holds only ids that don't survive.
     ids = F.array_compact(F.array_distinct(F.transform(F.col("tks"), lambda t: t["id"])))
     linked = F.array_except(F.array_compact(F.array_distinct(F.transform("relationship", lambda r: r["tks_id"]))), ids)
-    links = F.filter("relationship", lambda r: r["tks_id"].isNotNull() & ~F.array_contains(linked, r["tks_id"]))
-    return df.withColumn("relationship", links)
+    return F.filter("relationship", lambda r: r["tks_id"].isNotNull() & ~F.array_contains(linked, r["tks_id"]))
 
 
 def task_counts(df: DataFrame, dropped: str = "Task") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from jobtide.functions.text import percent, present, strip
 from jobtide.lookups import FUNCTION_WORDS
+from jobtide.operators.counters import Counters
 from jobtide.operators.records import col, keep_valid
 from jobtide.sources.tables import head_sample
 
@@ -141,11 +142,12 @@ def rewrite_chunks(pieces: Column, load_rewriter: Callable[[], Rewriter]) -> Col
 def translate_fields(
     df: DataFrame, fields: Sequence[str], load_rewriter: Callable[[], Rewriter],
     chunk_size: int = 4000, snippet_chars: int | None = None,
-    detector: Callable[[Column], Column] | None = None, detect: bool = True,
+    detector: Callable[[Column], Column] | None = None, detect: bool = True, counters: Counters | None = None,
 ) -> DataFrame:
     """Rewrite the texts routed to translation, and add ``<field>_outcome``.
 
-    Only those texts reach Python. A text whose rewriting fails stays as it is.
+    Only those texts reach Python. A text whose rewriting fails stays as it is. Counts
+    ``<field>: <outcome>``.
     """
     for field in fields:
         if field not in df.columns:
@@ -161,6 +163,8 @@ def translate_fields(
         )
         df = df.withColumn(f"{field}_outcome", outcome)
         df = df.withColumn(field, F.coalesce("_new", col(field))).drop("_route", "_new")
+        if counters is not None:
+            df = counters.watch(df, {f"{field}: {o}": present(col(f"{field}_outcome") == o) for o in OUTCOMES})
     return df
 
 

@@ -12,7 +12,8 @@ from jobtide.functions import patterns as P
 from jobtide.functions.blocks import kept_text, labelled_blocks
 from jobtide.functions.cleaning import clean_text, collapse_blanks, drop_gender_markers
 from jobtide.functions.text import percent, present, settle, strip
-from jobtide.operators.blocks import block_stat_columns
+from jobtide.operators.blocks import block_stat_columns, filter_blocks
+from jobtide.operators.counters import Counters
 from jobtide.operators.records import col, existing, to_long
 
 LABELS = list(P.MARKUP_LABELS)
@@ -90,11 +91,23 @@ def markup_previews(
     )
 
 
-def clean_descriptions(df: DataFrame, column: str = "Description") -> DataFrame:
-    """Drop boilerplate blocks, then clean the text that is left."""
-    df = df.withColumn("_blocks", labelled_blocks(col(column)))
-    df = df.withColumn(column, kept_text(col(column), F.col("_blocks"))).drop("_blocks")
-    return clean_text(df, column)
+def count_markup(df: DataFrame, column: str, name: str, counters: Counters | None) -> DataFrame:
+    """The same rows; counts those with markup under ``markup: <name>``."""
+    return df if counters is None else counters.watch(df, {f"markup: {name}": present(has_markup(col(column)))})
+
+
+def clean_descriptions(
+    df: DataFrame, column: str = "Description", counters: Counters | None = None, count_before: bool = True
+) -> DataFrame:
+    """Drop boilerplate blocks, then clean the text that is left.
+
+    Counts ``markup: before`` (if wanted) and ``markup: after``, the records with markup, and what
+    ``filter_blocks`` counts, while the texts are cleaned.
+    """
+    if count_before:
+        df = count_markup(df, column, "before", counters)
+    df = clean_text(filter_blocks(df, column, counters), column)
+    return count_markup(df, column, "after", counters)
 
 
 def _before_and_after(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -124,15 +137,23 @@ def cleaning_examples(df: DataFrame, column: str, key: str, count: int = 20) ->
 
 
 def clean_gender_markers(
-    df: DataFrame, columns: Sequence[str] = ("Title", "Description")
+    df: DataFrame, columns: Sequence[str] = ("Title", "Description"), counters: Counters | None = None
 ) -> DataFrame:
-    """Drop gender markers; only records that hold one are re-spaced and stripped."""
+    """Drop gender markers; only records that hold one are re-spaced and stripped.
+
+    Counts ``gender markers: <column>``; the test that decides is the one that is counted.
+    """
+    names = existing(df, columns)
+    marked = {f"_marked{i}": col(n).rlike(P.GENDER_MARKER) for i, n in enumerate(names)}
+    if counters is not None and names:
+        df = settle(df.withColumns(marked), *marked)
+        df = counters.watch(df, {f"gender markers: {n}": present(F.col(m)) for n, m in zip(names, marked)})
+        marked = {m: F.col(m) for m in marked}
     out = {}
-    for name in existing(df, columns):
+    for name, test in zip(names, marked.values()):
         c = col(name)
-        cleaned = strip(collapse_blanks(drop_gender_markers(c)))
-        out[name] = F.when(c.rlike(P.GENDER_MARKER), cleaned).otherwise(c)
-    return df.withColumns(out) if out else df
+        out[name] = F.when(test, strip(collapse_blanks(drop_gender_markers(c)))).otherwise(c)
+    return df.withColumns(out).drop(*marked) if out else df
 
 
 def gender_marker_counts(

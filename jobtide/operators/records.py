@@ -15,6 +15,7 @@ from jobtide.lookups import (
     CRITICAL_FIELDS, DISALLOWED_LOCATIONS, EU_COUNTRIES, INVALID_TEXTS, SIMILARITY_STEPS,
     UNUSED_FIELDS,
 )
+from jobtide.operators.counters import Counters
 
 
 def col(name: str) -> Column:
@@ -42,10 +43,14 @@ def keep_valid(df: DataFrame, column: str, invalid: Sequence[str] = INVALID_TEXT
     return df.where(~is_invalid(col(column), invalid))
 
 
-def invalid_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Placeholder texts become NULL in the listed columns that exist."""
+def invalid_to_null(df: DataFrame, columns: Sequence[str], counters: Counters | None = None) -> DataFrame:
+    """Placeholder texts become NULL in the listed columns that exist.
+
+    Counts ``invalid: <column>``: what is NULL afterwards was invalid.
+    """
     names = existing(df, columns)
-    return df.withColumns({n: valid_or_null(col(n)) for n in names}) if names else df
+    out = df.withColumns({n: valid_or_null(col(n)) for n in names}) if names else df
+    return out if counters is None else counters.watch(out, {f"invalid: {n}": present(col(n).isNull()) for n in names})
 
 
 def invalid_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,6 +76,16 @@ def all_invalid(df: DataFrame, fields: Sequence[str] = CRITICAL_FIELDS) -> Colum
     return reduce(lambda a, b: a & b, [is_invalid(col(n)) for n in names])
 
 
+def keep_critical(
+    df: DataFrame, fields: Sequence[str] = CRITICAL_FIELDS, counters: Counters | None = None
+) -> DataFrame:
+    """Records with a valid critical field. Counts ``critical: removed`` and ``critical: kept``."""
+    df = df.withColumn("_lost", all_invalid(df, fields))
+    if counters is not None:
+        df = counters.watch(df, {"critical: removed": present(F.col("_lost")), "critical: kept": present(~F.col("_lost"))})
+    return df.where(~F.col("_lost")).drop("_lost")
+
+
 def split_by_critical(
     df: DataFrame, fields: Sequence[str] = CRITICAL_FIELDS
 ) -> tuple[DataFrame, DataFrame]:
@@ -80,10 +95,14 @@ def split_by_critical(
 
 
 def drop_locations(
-    df: DataFrame, column: str = "Location", disallowed: Sequence[str] = DISALLOWED_LOCATIONS
+    df: DataFrame, column: str = "Location", disallowed: Sequence[str] = DISALLOWED_LOCATIONS,
+    counters: Counters | None = None,
 ) -> DataFrame:
-    """Rows whose location is not on the list; NULL stays."""
-    return df.where(~F.coalesce(col(column).isin(list(disallowed)), F.lit(False)))
+    """Rows whose location is not on the list; NULL stays. Counts ``disallowed locations``."""
+    listed = F.coalesce(col(column).isin(list(disallowed)), F.lit(False))
+    if counters is not None:
+        df = counters.watch(df, {"disallowed locations": present(listed)})
+    return df.where(~listed)
 
 
 def is_noise_token(c: Column) -> Column:
