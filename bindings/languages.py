@@ -6,6 +6,7 @@ from bindings import sqltext as S
 from bindings.base import POSTINGS_CTE, lit, query, raw_postings, table, texts
 from bindings.texts import invalid_sql
 from jobtide.lookups import FUNCTION_WORDS
+from jobtide.operators import langmodel
 from jobtide.operators import language as lang
 from jobtide.operators import terms
 
@@ -127,6 +128,98 @@ def _(spark, d):
     return lang.translation_stats(df, ["Description"])
 
 
+# --- M with a detector that is learned from the labelled documents ------------
+def _grams(texts: str, keep: str) -> str:
+    """(keep, b, k): buckets of the letters of ``texts`` (a CTE with a column text) and how often each is there."""
+    p1, p2, p3 = langmodel._FACTORS
+    pairs = f"list_transform(range(1, len(o)), lambda i: (o[i] * {p1} + o[i + 1] * {p2}) % {langmodel.BUCKETS})"
+    triples = f"list_transform(range(1, len(o) - 1), lambda i: (o[i] * {p1} + o[i + 1] * {p2} + o[i + 2] * {p3} + 1) % {langmodel.BUCKETS})"
+    spaced = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' '"
+    return (
+        f"SELECT {keep}, b, count(*) AS k FROM (SELECT {keep}, unnest(list_concat({pairs}, {triples})) AS b FROM"
+        f" (SELECT {keep}, list_transform(string_split({spaced}, ''), lambda x: CAST(ord(x) AS BIGINT)) AS o FROM {texts}) WHERE len(o) > 2) GROUP BY ALL"
+    )
+
+
+def _weight(count: str, total: str) -> str:
+    return f"CAST(floor({langmodel.UNIT} * ln(({count} + {langmodel.PRIOR}) / ({total} + {langmodel.PRIOR} * {langmodel.BUCKETS}))) AS BIGINT)"
+
+
+def _judged(name: str, grams: str, count: str, total: str, keep: str) -> str:
+    """CTE (keep, lang, margin, fit): the likeliest language of each text of ``grams``."""
+    return (
+        f"{name}_s AS (SELECT {keep}, mt.lang, CAST(sum(k * coalesce({_weight(f'mc.{count}', f'mt.{total}')}, {_weight('0', f'mt.{total}')})) AS BIGINT) AS s,"
+        f" CAST(sum(k) AS BIGINT) AS n FROM {grams} g JOIN mt ON true LEFT JOIN mc ON mc.lang = mt.lang AND mc.b = g.b GROUP BY ALL),"
+        f" {name}_r AS (SELECT *, row_number() OVER w AS place, lead(s) OVER w AS next FROM {name}_s WINDOW w AS (PARTITION BY {keep} ORDER BY s DESC, lang)),"
+        f" {name} AS (SELECT {keep}, lang AS found, CAST(floor((s - next)::DOUBLE / n) AS BIGINT) AS margin, CAST(floor(s::DOUBLE / n) AS BIGINT) AS fit FROM {name}_r WHERE place = 1)"
+    )
+
+
+LEARNED = (
+    "ld AS (SELECT doc_id, lang AS label, substr(md5(text), 1, 1) IN ('0', '1', '2') AS held, text FROM documents),"
+    f" lg AS MATERIALIZED ({_grams('ld', 'doc_id, label, held')}),"
+    " mc AS MATERIALIZED (SELECT label AS lang, b, sum(k) AS c, coalesce(sum(k) FILTER (NOT held), 0) AS c0 FROM lg WHERE label IS NOT NULL GROUP BY ALL),"
+    " mt AS MATERIALIZED (SELECT lang, sum(c) AS t, sum(c0) AS t0 FROM mc GROUP BY lang),"
+    f" {_judged('tr', '(SELECT * FROM lg WHERE held AND label IS NOT NULL)', 'c0', 't0', 'doc_id, label')},"
+    " tg AS (SELECT margin, fit FROM tr WHERE found = label),"
+    " lm AS MATERIALIZED (SELECT " + ", ".join(
+        f"coalesce((SELECT min({c}) FROM (SELECT {c}, count(*) OVER (ORDER BY {c}) AS upto, count(*) OVER () AS n FROM tg)"
+        f" WHERE upto > {langmodel.SHARE} * n), {usual}) AS least_{c}" for c, usual in (("margin", 0), ("fit", -langmodel._FAR))
+    ) + ")"
+)
+
+
+def learned(grams: str, rows: str, keep: str) -> str:
+    """CTE ``le`` (keep, language) of all ``rows``; those without a letter are unknown."""
+    return (
+        f"{_judged('ju', grams, 'c', 't', 'doc_id')}, le AS MATERIALIZED (SELECT {', '.join(f'x.{c}' for c in keep.split(', '))},"
+        f" coalesce(CASE WHEN margin >= least_margin AND fit >= least_fit THEN found END, 'unknown') AS language"
+        f" FROM {rows} x LEFT JOIN ju ON ju.doc_id = x.doc_id JOIN lm ON true)"
+    )
+
+
+DOCUMENTS_LEARNED = f"{LEARNED}, {learned('lg', 'ld', 'doc_id, label')}"
+
+
+def learned_detector(spark, d):
+    return langmodel.learn(texts(spark, d)).detector(spark)
+
+
+@query("m01_learned_language", f"WITH {DOCUMENTS_LEARNED} SELECT doc_id, label AS lang, language FROM le")
+def _(spark, d):
+    return lang.with_language(texts(spark, d).select("doc_id", "lang", "text"), "text", detector=learned_detector(spark, d)).drop("text")
+
+
+POSTINGS_LEARNED = (
+    f"{POSTINGS_CTE}, {LEARNED}, pt AS (SELECT id AS doc_id, \"Description\" AS text, \"Description\" AS d FROM p),"
+    f" pg AS MATERIALIZED ({_grams('pt', 'doc_id')}), {learned('pg', 'pt', 'doc_id, d')}"
+)
+
+
+@query(
+    "m02_learned_distribution",
+    f"WITH {POSTINGS_LEARNED}, v AS (SELECT language FROM le WHERE NOT {invalid_sql('d')})"
+    " SELECT language, count(*) AS records, (SELECT count(*) FROM v) AS sampled_records FROM v GROUP BY 1",
+)
+def _(spark, d):
+    return lang.language_distribution(raw_postings(spark, d), "Description", ["id"], detector=learned_detector(spark, d))
+
+
+@query(
+    "m03_learned_english_share",
+    f"WITH {DOCUMENTS_LEARNED} SELECT count(*) AS records, count(*) FILTER (language = 'en') AS english,"
+    " count(*) FILTER (language = 'en') * 100.0::DOUBLE / count(*) AS english_pct,"
+    " count(*) FILTER (language = 'en') * 100.0::DOUBLE / count(*) < 90 AS below_floor FROM le",
+)
+def _(spark, d):
+    return lang.english_share(lang.with_language(texts(spark, d), "text", detector=learned_detector(spark, d)))
+
+
+@query("m04_learned_route", f"WITH {POSTINGS_LEARNED} SELECT doc_id AS id, {ROUTE_SQL} AS route FROM le")
+def _(spark, d):
+    return lang.with_route(raw_postings(spark, d), "Description", detector=learned_detector(spark, d)).select("id", "route")
+
+
 # --- N: terms ---------------------------------------------------------------
 def plain_sql(c: str) -> str:
     return S.strip(S.sub(S.sub(f"lower({c})", r"[^a-z0-9\s]", " "), r"\s+", " "))
