@@ -25,8 +25,21 @@ def split_blocks(c: Column) -> Column:
     return F.flatten(parts)
 
 
+def _any_category() -> str:
+    """One pattern that matches where some category's does: most blocks fit none and are searched once."""
+    parts = []
+    for pattern in P.BLOCK_CATEGORIES.values():
+        flags, rest = pattern.removeprefix("(?").split(")", 1)
+        parts.append(f"(?{flags}:{rest})")
+    return "|".join(parts)
+
+
 def block_category(block: Column) -> Column:
     """Label of the first boilerplate pattern that matches, else NULL."""
+    return F.when(block.rlike(_any_category()), _first_category(block))
+
+
+def _first_category(block: Column) -> Column:
     category = None
     for label, pattern in P.BLOCK_CATEGORIES.items():
         hit = block.rlike(pattern)

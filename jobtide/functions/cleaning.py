@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import patterns as P
+from jobtide.functions import scan
 from jobtide.functions.text import decode_entities, settle, strip, sub
 
 Step = Callable[[Column], Column]
@@ -65,14 +66,16 @@ def drop_call_to_action(c: Column) -> Column:
 drop_call_to_action.guarded = True
 strip.guarded = False
 
-# The order matters: each step sees the output of the one before.
-STEPS = [
+# The order matters: each step sees the output of the one before. The first ones change a
+# text only around marks (see ``scan``), the others everywhere.
+MARK_STEPS = [
     unlink_markdown, drop_urls, drop_tags, unwrap_bold, unwrap_underscore, unwrap_code,
     drop_emails, drop_phones, drop_partial_urls, drop_asterisks, drop_redacted,
     drop_empty_wrappers, drop_gender_markers, drop_quotes, empty_separator_lines, drop_emoji,
-    drop_call_to_action, collapse_blanks, tighten_newlines, collapse_newlines,
-    newline_to_period, strip,
+    drop_call_to_action,
 ]
+LAYOUT_STEPS = [collapse_blanks, tighten_newlines, collapse_newlines, newline_to_period, strip]
+STEPS = MARK_STEPS + LAYOUT_STEPS
 
 
 def chain(df: DataFrame, column: str, steps: list[Step]) -> DataFrame:
@@ -95,7 +98,14 @@ def chain(df: DataFrame, column: str, steps: list[Step]) -> DataFrame:
 
 
 def clean_text(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
-    """Entity decoding and all steps on one column; NULL stays NULL."""
+    """Entity decoding and all steps on one column; NULL stays NULL.
+
+    The steps around marks see the body of a text only.
+    """
     into = into or column
+    text, at = F.col(f"`{into}`"), F.col("_at")
     df = df.withColumn(into, decode_entities(F.col(f"`{column}`")))
-    return settle(chain(df, into, STEPS), into)
+    df = df.withColumn("_at", scan.place(text)).withColumn("_body", scan.body(text, at))
+    df = chain(df, "_body", MARK_STEPS)
+    df = df.withColumn(into, F.when(at["take"] == 0, text).otherwise(scan.rejoined(text, at, F.col("_body"))))
+    return settle(chain(df.drop("_at", "_body"), into, LAYOUT_STEPS), into)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import patterns as P
+from jobtide.functions import scan
 from jobtide.functions.blocks import kept_text, labelled_blocks
 from jobtide.functions.cleaning import clean_text, collapse_blanks, drop_gender_markers
 from jobtide.functions.text import percent, present, settle, strip
@@ -27,8 +28,8 @@ FIELDS = {label: field_name(label) for label in LABELS}
 
 
 def markup_flags(c: Column) -> Column:
-    """Struct with one flag per markup pattern; NULL counts as empty text."""
-    text = F.coalesce(c, F.lit(""))
+    """Struct with one flag per markup pattern; NULL counts as empty text. Only the body of a text is searched."""
+    text = scan.body(F.coalesce(c, F.lit("")))
     return F.struct(*[
         text.rlike(pattern).alias(FIELDS[label]) for label, pattern in P.MARKUP_LABELS.items()
     ])
@@ -44,7 +45,7 @@ def any_markup(flags: Column) -> Column:
 
 def has_markup(c: Column) -> Column:
     """True when some pattern matches; later patterns run only if earlier ones did not."""
-    text = F.coalesce(c, F.lit(""))
+    text = scan.body(F.coalesce(c, F.lit("")))
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in P.MARKUP_LABELS.values()])
 
 
