@@ -31,12 +31,23 @@ def get_session(app_name: str = "jobtide", master: str | None = None, **conf: st
 
 _shipped: set[tuple[str, str]] = set()
 
+#: Bytes of a batch of rows on its way to Python, and the setting that bounds them. Batches are bounded in rows as
+#: well, but ten thousand long texts are too much to hold several times.
+BATCH_BYTES, _BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches sent to Python in bytes, unless the application was started with a bound of its own."""
+    if spark.sparkContext.getConf().get(_BATCH_SETTING) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
 
 def ship_packages(spark: SparkSession, *names: str) -> None:
-    """Let Python workers import this package (and others), once per application.
+    """Let Python workers import this package (and others), once per application, in batches of bounded size.
 
     Needed wherever the package is not installed on the executors.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     for name in names or ("jobtide",):
         if (sc.applicationId, name) in _shipped:
