@@ -158,6 +158,24 @@ def _(spark, d):
     return rounded(matching.score_pairs(skill_vectors(spark, d), _all_items(spark, d), None, 0.35))
 
 
+#: Bounds that make the given catalogue a large one, which is cut into partitions around pivots.
+LARGE = {"item_bytes": 0, "item_block": 256, "skill_block": 512}
+
+
+@query("j02_pairs_large", f"WITH {SELF_CTE} SELECT skill_id, tks_id, round(s, 6) AS similarity FROM ap WHERE s >= 0.35")
+def _(spark, d):
+    return rounded(matching.score_pairs(skill_vectors(spark, d), _all_items(spark, d), None, 0.35, **LARGE))
+
+
+@query(
+    "j03_top_items_large",
+    f"WITH {SELF_CTE}, rk AS (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY round(s, 10) DESC, tks_id) AS r FROM ap)"
+    " SELECT skill_id, tks_id, round(s, 6) AS similarity FROM rk WHERE r <= 4",
+)
+def _(spark, d):
+    return rounded(matching.top_matches(skill_vectors(spark, d), _all_items(spark, d), 4, -1.0, **LARGE))
+
+
 @query(
     "j03_top_items",
     f"WITH {SELF_CTE}, rk AS (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY round(s, 10) DESC, tks_id) AS r FROM ap)"

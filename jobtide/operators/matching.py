@@ -1,18 +1,17 @@
 """Top-k similarity of skill vectors to catalogue vectors, exact and blocked.
 
-Every skill has to meet every catalogue item, but no pair below the limits is
-ever emitted. Both sides are cut into blocks of bounded size by a hash of their
-key, and each pair of blocks is one group: a dense matrix product that emits at
-most k rows per skill. A second step keeps the k best of the blocks.
-
-Skills are copied once per item block and items once per skill block. The item
-block is large, because catalogues are small beside the skills: a catalogue
-that fits one block means that no skill is copied at all.
+No pair below the limits is ever emitted: vectors meet in blocks, as dense matrix
+products that emit at most k rows per skill. A second step keeps the k best of the
+blocks.
+
+Catalogues are small beside the skills: one that fits a block goes to the tasks, and no
+skill is copied at all. A larger one is cut into partitions around pivots, and a skill
+meets only those that can hold an item above its limits (see ``pivots``): first the one where it
+can score highest, then, with the k-th score found there, the others.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtide.operators import pivots
+from jobtide.operators.pivots import matrix as _matrix
 from jobtide.operators.records import col
+from jobtide.session import cut_lineage
 
 # Scores are compared to this many digits, so that ties between equal vectors do
 # not depend on the shape of the block they were computed in.
@@ -29,11 +31,6 @@ SCORE_DIGITS = 10
 SLACK = 1e-9
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    vectors = column.combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-
-
 def _block_scores(top_k: int | None, minimum: float, slice_rows: int):
     """Function of two Arrow tables: rows (skill position, item position, similarity)."""
 
@@ -63,11 +60,6 @@ def _block_scores(top_k: int | None, minimum: float, slice_rows: int):
     return best
 
 
-def blocks_for(df: DataFrame, rows_per_block: int) -> int:
-    """Number of blocks a table needs, at least one."""
-    return max(1, math.ceil(df.count() / rows_per_block))
-
-
 def score_pairs(
     skills: DataFrame,
     items: DataFrame,
@@ -87,8 +79,8 @@ def score_pairs(
     in ``embedding`` and are unique in their key.
 
     A catalogue of at most ``item_block`` items and ``item_bytes`` bytes goes to the
-    tasks, and no skill moves. A larger one meets the skills block by block. The
-    results are the same.
+    tasks, and no skill moves. Of a larger one a skill meets the blocks that may hold an
+    item for it. The results are the same.
     """
     if top_k is None and minimum is None:
         raise ValueError("all pairs need a minimum similarity")
@@ -126,22 +118,46 @@ def score_pairs(
 
             return skills.select(col(skill_key), vector).mapInArrow(meet, schema)
 
-    n_skill, n_item = blocks_for(skills, skill_block), blocks_for(items, item_block)
-    left = skills.select(
-        col(skill_key), vector,
-        F.pmod(F.xxhash64(col(skill_key)), F.lit(n_skill)).cast("int").alias("_sb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_item - 1))).alias("_ib"),
-    )
-    right = items.select(
-        col(item_key), vector,
-        F.pmod(F.xxhash64(col(item_key)), F.lit(n_item)).cast("int").alias("_ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_skill - 1))).alias("_sb"),
-    )
-    def join_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
-        return block(a, b.sort_by(item_key) if b.num_rows else b)
+    parts = pivots.partitions(known, item_block, item_key)
+    if parts is None:
+        # Without a vector that has a direction all scores are 0.
+        parts = pivots.Partitions(np.zeros((1, width or 1)), np.full(1, np.pi), np.zeros(1), np.zeros(1), np.ones(1, int))
+    sent_parts = skills.sparkSession.sparkContext.broadcast(parts)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = sent_parts.value.home(_matrix(batch.column(1))) if batch.num_rows else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], [item_key, "embedding", "part"])
 
-    grid = left.groupBy("_sb", "_ib").cogroup(right.groupBy("_sb", "_ib"))
-    return grid.applyInArrow(join_blocks, schema)
+    kind = known.schema[item_key].dataType.simpleString()
+    placed = known.mapInArrow(place, f"`{item_key}` {kind}, embedding array<double>, part int")
+    placed = placed.withColumn("sub", F.pmod(F.xxhash64(col(item_key)), pivots.numbers(parts.subs, F.col("part"))).cast("int"))
+    rows = skills.select(col(skill_key).alias("row"), vector)
+
+    def join_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+        return block(a.rename_columns([skill_key, *a.column_names[1:]]), b.sort_by(item_key) if b.num_rows else b)
+
+    def meet_parts(routed: DataFrame) -> DataFrame:
+        # How many skills come to each partition: one small row for each, on the driver.
+        counts = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+        shares = np.array([-(-counts.get(i, 0) // skill_block) for i in range(len(parts.subs))])
+        subs = F.sequence(F.lit(0), pivots.numbers(parts.subs, F.col("part")) - 1)
+        left = routed.withColumn("share", F.pmod(F.xxhash64("row"), pivots.numbers(shares, F.col("part"))).cast("int"))
+        left = left.withColumn("sub", F.explode(subs))
+        right = placed.withColumn("shares", pivots.numbers(shares, F.col("part"))).where("shares > 0")
+        right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        grid = ["part", "sub", "share"]
+        return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(join_blocks, schema)
+
+    # Checkpointed: the floors and the result both need it.
+    first = cut_lineage(meet_parts(pivots.routed(rows, parts, minimum, True)))
+    floors = rows.withColumn("floor", F.lit(float("-inf")))
+    if top_k is not None:
+        kth = top_items(first, top_k, skill_key, item_key).groupBy(col(skill_key).alias("row"))
+        kth = kth.agg(F.when(F.count("*") >= top_k, F.min("similarity")).alias("floor"))
+        floors = rows.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = first.unionByName(meet_parts(pivots.routed(floors, parts, minimum, False)))
+    return found if top_k is None else top_items(found, top_k, skill_key, item_key)
 
 
 def rank_items(scores: DataFrame, skill_key: str = "skill_id", item_key: str = "tks_id") -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtide.operators import embeddings as emb
-from jobtide.operators import matching, reports
+from jobtide.operators import matching, pivots, reports
 
 
 def unit(n, d, seed):
@@ -36,6 +36,64 @@ def test_top_matches_equal_brute_force(spark, blocks, k, minimum):
     assert {(r["skill_id"], r["tks_id"]) for r in got.collect()} == brute(a, b, k, minimum)
 
 
+def clustered(n, clusters, spread, seed, width=16):
+    rnd = np.random.default_rng(seed)
+    centres = rnd.normal(size=(clusters, width))
+    m = centres[rnd.integers(0, clusters, n)] + spread * rnd.normal(size=(n, width))
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("k, minimum", [(3, 0.1), (1, -1.0), (200, 0.9), (None, 0.85)])
+def test_partitions_around_pivots_equal_brute_force(spark, k, minimum):
+    """Clusters, equal items, a partition larger than a block, opposite vectors, and vectors without a direction."""
+    b = np.concatenate([clustered(150, 6, 0.1, 5), np.repeat(clustered(1, 1, 0, 6), 40, 0), np.zeros((2, 16))])
+    a = np.concatenate([clustered(90, 6, 0.1, 5), -clustered(20, 6, 0.1, 5), np.zeros((1, 16)), b[150:152]])
+    blocks = {"item_bytes": 0, "item_block": 16, "skill_block": 20}
+    left, right = frame(spark, a, "skill_id"), frame(spark, b, "tks_id", "t")
+    if k is None:
+        got = matching.score_pairs(left, right, None, minimum, **blocks)
+    else:
+        got = matching.top_matches(left, right, k, minimum, **blocks)
+    rows = [(r["skill_id"], r["tks_id"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(a, b, 10**6 if k is None else k, minimum)
+
+
+def test_blocks_that_cannot_hold_a_match_are_skipped(spark):
+    a, b = clustered(400, 10, 0.05, 7), clustered(400, 10, 0.05, 7)
+    left = frame(spark, a, "skill_id").select(F.col("skill_id").alias("row"), F.col("embedding").cast("array<double>").alias("embedding"))
+    right = frame(spark, b, "tks_id", "t").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    parts = pivots.partitions(right, 40, "tks_id")
+    every = left.count() * len(parts.pivots)
+    met = sum(pivots.routed(left.withColumn("floor", F.lit(float("-inf"))), parts, 0.8, first).count() for first in (True, False))
+    assert len(parts.pivots) == 40 and left.count() <= met < every / 4
+    # With the k-th score of the first partition as a floor fewer are met still.
+    floors = left.withColumn("floor", F.lit(0.97))
+    assert pivots.routed(floors, parts, 0.8, False).count() < met - left.count()
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(9)
+    items, vectors = rnd.normal(size=(300, 5)) * rnd.uniform(0, 3, (300, 1)), rnd.normal(size=(80, 5)) * rnd.uniform(0, 2, (80, 1))
+    chosen = pivots.farthest_first(items, 12)
+    units, lengths = pivots._directions(items)
+    home = (units @ chosen.T).argmax(1)
+    angle = np.array([np.arccos(np.clip(units[home == p] @ chosen[p], -1, 1)).max(initial=0) for p in range(12)])
+    least, most = (np.array([f(lengths[home == p], initial=i) for p in range(12)]) for f, i in ((np.min, 9), (np.max, 0)))
+    bound = pivots.Partitions(chosen, angle, least, most, np.bincount(home, minlength=12)).bounds(vectors)
+    scores = vectors @ items.T
+    for p in range(12):
+        if (home == p).any():
+            assert (scores[:, home == p].max(1) <= bound[:, p] + pivots.SLACK * 10).all()
+
+
+def test_large_catalogue_without_directions(spark):
+    a, b = frame(spark, unit(5, 4, 1), "skill_id"), frame(spark, np.zeros((9, 4)), "tks_id", "t")
+    got = matching.top_matches(a, b, 2, -0.5, item_bytes=0, item_block=4)
+    assert {(r["skill_id"], r["tks_id"]) for r in got.collect()} == {(i, f"t000{j}") for i in range(5) for j in range(2)}
+    assert matching.top_matches(a, b.limit(0), 2, -0.5, item_bytes=0).count() == 0
+    assert matching.top_matches(a.limit(0), b, 2, -0.5, item_bytes=0, item_block=4).count() == 0
+
+
 def test_small_case(spark):
     s = spark.createDataFrame([(1, [1.0, 0.0])], "skill_id long, embedding array<double>")
     t = spark.createDataFrame([("A", [1.0, 0.0]), ("B", [0.6, 0.8]), ("C", [0.8, 0.6])], "tks_id string, embedding array<double>")
