@@ -4,13 +4,17 @@ A posting is an order; its skills are those of the parts on its lines. Skill
 texts are split and normalised once per part, before the parts meet the lines.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import sqltext as S
 from bindings.base import PART_SKILLS_CTE, lit, part_skills, query, table, texts
 from jobtide.functions.text import fold_accents
 from jobtide.lookups import CANONICAL_TERMS, PRODUCT_ALIASES
-from jobtide.operators import records, reports, skills
+from jobtide.operators import records, reports, skills, stored
+from jobtide.session import scratch_path
 from jobtide.sources.tables import number_rows
 
 NOISE_TOKEN = r"(?i)\b\d+\s+of\s+\d+\s+skill\s+matches\s+your\s+profile\b|\byou\s+may\s+be\s+a\s+good\s+fit\b"
@@ -310,6 +314,37 @@ def _(spark, d):
     return rows.select("country", "total_postings", F.array_join(pairs, "|").alias("skills"))
 
 
+# Two lists of countries, answered from one stored table of bitmaps.
+LISTS = {"listed": COUNTRIES, "two": ["NATION_3", "NATION_7"], "all": None}
+
+
+def _list_sql(name, countries):
+    inside = "" if countries is None else f" WHERE country IN ({', '.join(lit(c) for c in countries)})"
+    return (
+        f"(SELECT {lit(name)} AS list, normalized_skill, count(DISTINCT id) AS occurrences,"
+        f" (SELECT count(DISTINCT id) FROM po{inside}) AS total_postings FROM br JOIN po ON po.id = br.job_posting_id{inside}"
+        " GROUP BY normalized_skill ORDER BY occurrences DESC, normalized_skill LIMIT 12)"
+    )
+
+
+def _bitmaps(spark, d):
+    path = scratch_path(spark, "bitmaps")
+    stored.posting_bitmaps(order_tokens(spark, d), order_postings(spark, d)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("k05_stored_frequencies", f"WITH {NAMES_CTE} " + " UNION ALL ".join(_list_sql(n, c) for n, c in LISTS.items()))
+def _(spark, d):
+    bitmaps = _bitmaps(spark, d)
+    parts = [stored.stored_frequency(bitmaps, c, 12).select(F.lit(n).alias("list"), "normalized_skill", "occurrences", "total_postings") for n, c in LISTS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("k06_stored_demand", f"WITH {DEMAND_CTE} SELECT country, total_postings, rank, skill, count FROM dem")
+def _(spark, d):
+    return stored.stored_demand(_bitmaps(spark, d), 5)
+
+
 @query("k07_postings_per_country", f"WITH {NAMES_CTE} SELECT country, count(*) AS total_postings FROM po GROUP BY 1")
 def _(spark, d):
     return reports.postings_per_country(order_postings(spark, d), None)

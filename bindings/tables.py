@@ -102,6 +102,24 @@ def _(spark, d):
     return tables.insert_if_absent(new, old, ["k"], ["s"])
 
 
+@query(
+    "a08_insert_bucketed",
+    "WITH old AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus = 'F'),"
+    " mid AS (SELECT k, s FROM old UNION ALL SELECT l_orderkey, min(l_returnflag) FROM lineitem"
+    " WHERE l_orderkey NOT IN (SELECT k FROM old) GROUP BY 1)"
+    " SELECT k, s FROM mid UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT k FROM mid)",
+)
+def _(spark, d):
+    """Orders that are done, stored in buckets; then all lines and all orders are inserted if absent."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    path = scratch_path(spark, "bucketed")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    tables.write_bucketed(orders.where("s = 'F'"), name, path, ["k"], 16)
+    tables.insert_into_bucketed(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("s")), name, ["k"], ["s"])
+    tables.insert_into_bucketed(orders, name, ["k"])
+    return spark.table(name)
+
+
 @query(
     "a08_rows_added",
     "SELECT count(DISTINCT l_orderkey) AS added FROM lineitem WHERE l_orderkey NOT IN"

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from bindings.base import query, table
 from jobtide.operators import embeddings as emb
-from jobtide.operators import matching, reports
+from jobtide.operators import matching, reports, stored
 from jobtide.operators.records import at_least, in_band
+from jobtide.session import scratch_path
 
 MODEL = "given"
 STEPS = [0.15, 0.25, 0.35]
@@ -253,6 +254,30 @@ def _(spark, d):
     return rounded(reports.mapping_page(rows, 41, 3))
 
 
+def _stored_mapping(spark, d):
+    path = scratch_path(spark, "mapping")
+    stored.write_pages(reports.mapping_rows(view(spark, d), MODEL, 0.25, 3, "", STEPS), path, rows_per_block=32)
+    return path
+
+
+@query(
+    "k04_stored_far_page",
+    f"WITH {VIEW_CTE} SELECT {COLS} FROM vw WHERE {BAND} AND rank <= 3"
+    " ORDER BY vw.similarity, normalized_skill, skill_id, tks_id LIMIT 3 OFFSET 120",
+)
+def _(spark, d):
+    return rounded(stored.stored_page(spark, _stored_mapping(spark, d), 41, 3))
+
+
+@query(
+    "k04_stored_summary",
+    f"WITH {VIEW_CTE} SELECT count(*) AS total, greatest(ceil(count(*) / 50), 1)::BIGINT AS total_pages,"
+    f" least(99, greatest(ceil(count(*) / 50), 1))::BIGINT AS page FROM vw WHERE {BAND} AND rank <= 3",
+)
+def _(spark, d):
+    return stored.stored_summary(spark, _stored_mapping(spark, d), 99, 50)
+
+
 @query(
     "k04_page_summary",
     f"WITH {VIEW_CTE} SELECT count(*) AS total, greatest(ceil(count(*) / 50), 1)::BIGINT AS total_pages,"

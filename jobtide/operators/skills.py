@@ -11,7 +11,7 @@ from jobtide.functions import patterns as P
 from jobtide.functions.text import fold_accents, fold_accents_all, settle, strip, sub
 from jobtide.lookups import CANONICAL_TERMS, EXCLUDED_SKILLS, PRODUCT_ALIASES
 from jobtide.operators.records import catalogue_texts, col, is_noise_token
-from jobtide.sources.tables import new_rows, number_rows
+from jobtide.sources.tables import first_per_key, new_rows, number_rows
 
 
 def split_skills(c: Column) -> Column:
@@ -122,10 +122,9 @@ def extend_skill_dim(dim: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def posting_skills(tokens: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
     """(job_posting_id, normalized_skill, raw_skill): first spelling per posting and skill."""
-    rank = F.struct(*[col(c) for c in order], "raw_skill")
-    return tokens.groupBy("job_posting_id", "normalized_skill").agg(
-        F.min_by("raw_skill", rank).alias("raw_skill")
-    )
+    key = ["job_posting_id", "normalized_skill"]
+    rows = tokens.select(*key, "raw_skill", *[col(c) for c in order])
+    return first_per_key(rows, key, [*order, "raw_skill"]).select(*key, "raw_skill")
 
 
 def job_skill(tokens: DataFrame, dim: DataFrame) -> DataFrame:

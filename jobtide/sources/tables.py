@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobtide.operators.records import col
@@ -58,19 +58,18 @@ def load_if_empty(source: DataFrame, *targets: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in the order.
+    """One row per key, the first in the order; the other columns break its ties.
 
-    The rows are combined before the shuffle, so a key that holds a large share of
-    the rows costs no more than any other. The buffer holds the columns beside the
-    key once: the order first, then the others, which also break its ties.
+    Each task keeps one row per key before the shuffle, so a key that holds a large share
+    of the rows costs no more than any other.
     """
     named = [c for c in order if c not in key]
     fields = [*named, *[c for c in df.columns if c not in key and c not in named]]
     if not fields:
         return df.select(*[col(c) for c in df.columns]).distinct()
-    best = df.groupBy(*[col(k) for k in key]).agg(F.min(F.struct(*[col(c) for c in fields])).alias("_row"))
-    picked = {c: col(c) if c in key else F.col("_row").getField(c) for c in df.columns}
-    return best.select(*[picked[c].alias(c) for c in df.columns])
+    first = Window.partitionBy(*[col(k) for k in key]).orderBy(*[col(c) for c in fields])
+    ranked = df.withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    return ranked.select(*[col(c) for c in df.columns])
 
 
 def new_rows(
@@ -89,6 +88,53 @@ def insert_if_absent(
     return target.unionByName(new_rows(source, target, key, order))
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: Sequence[str], buckets: int) -> None:
+    """Store a table bucketed and sorted by its key, under a name of the session's catalogue; replaces one of that name.
+
+    ``insert_into_bucketed`` then joins bucket to bucket: the stored rows are not moved again.
+    """
+    dealt = df.repartition(buckets, *[col(k) for k in key])
+    dealt.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).option("path", path).saveAsTable(table)
+
+
+def buckets_of(spark: SparkSession, table: str) -> int:
+    """Number of buckets of a stored table."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").collect()
+    if not rows:
+        raise ValueError(f"{table} is not bucketed")
+    return int(rows[0]["data_type"])
+
+
+def new_bucketed_rows(
+    source: DataFrame, table: str, key: Sequence[str], order: Sequence[str] | None = None, look_up: int = 0
+) -> DataFrame:
+    """Rows that an insert-if-absent adds to a bucketed table (keys must not be NULL there).
+
+    Only the source is dealt, into as many parts as the table has buckets. Of the table
+    the key columns are read, in place. If its key is one column, and the source has
+    at most ``look_up`` keys, these become a filter, so that only their buckets are read; the
+    source is then read twice.
+    """
+    spark = source.sparkSession
+    keys = [col(k) for k in key]
+    fresh = first_per_key(source.repartition(buckets_of(spark, table), *keys), key, order or source.columns)
+    known = spark.table(table).select(*keys)
+    if look_up and len(key) == 1:
+        wanted = [r[0] for r in source.select(*keys).where(keys[0].isNotNull()).distinct().limit(look_up + 1).collect()]
+        if len(wanted) <= look_up:
+            known = known.where(keys[0].isin(wanted))
+    # A hint keeps the join from sending the table's keys elsewhere.
+    return fresh.join(known.hint("merge"), list(key), "left_anti").select(*[col(c) for c in source.columns])
+
+
+def insert_into_bucketed(
+    source: DataFrame, table: str, key: Sequence[str], order: Sequence[str] | None = None, look_up: int = 0
+) -> None:
+    """Add the rows whose key a bucketed table lacks; stored rows win. They are written into its buckets."""
+    rows = new_bucketed_rows(source, table, key, order, look_up)
+    rows.select(*[col(c) for c in source.sparkSession.table(table).columns]).write.insertInto(table)
+
+
 def number_rows(
     df: DataFrame, order: Sequence[str] | None = None, into: str = "id", start: int = 1
 ) -> DataFrame:
