@@ -8,7 +8,7 @@ from bindings.texts import DOC_FLAGS_CTE, TYPES_SQL
 from bindings import sqltext as S
 from jobtide.operators import markup
 from jobtide.session import scratch_path
-from jobtide.sources import files, tables
+from jobtide.sources import arrays, files, tables
 
 RAW_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("Title", T.StringType()),
@@ -29,6 +29,18 @@ def _(spark, d):
     return files.read_records(spark, _written(spark, d, "a01"), RAW_SCHEMA, lines=True)
 
 
+@query("a01_json_array", RAW_SQL)
+def _(spark, d):
+    """The postings as one file that holds one JSON array, read back in many splits."""
+    rows = raw_postings(spark, d).select(RAW_SCHEMA.names)
+    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    record = F.to_json(F.struct(*RAW_SCHEMA.names), {"ignoreNullFields": "false"})
+    start, end = F.when(F.col("id") == ends["low"], "[").otherwise(""), F.when(F.col("id") == ends["high"], "]").otherwise(",")
+    path = scratch_path(spark, "a01")
+    rows.select("id", F.concat(start, record, end).alias("line")).coalesce(1).sortWithinPartitions("id").select("line").write.text(path)
+    return arrays.read_array(spark, path, RAW_SCHEMA)
+
+
 @query(
     "a02_json_documents",
     "SELECT page_id, url, html FROM pages",

@@ -22,8 +22,8 @@ def read_records(
 ) -> DataFrame:
     """Flat JSON records.
 
-    A JSON array must be parsed as a whole, so each such file is one task: give
-    large inputs as many files, or as JSON Lines (``lines=True``), which splits.
+    A JSON array is parsed as a whole here, so each such file is one task;
+    ``arrays.read_array`` reads a large one in many. JSON Lines (``lines=True``) split.
     Text that is neither an array nor an object is an error.
     """
     return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
