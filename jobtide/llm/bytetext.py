@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of text handled at once, and of one hashed piece.
-SLICE, PIECE = 2 << 20, 1 << 20
+SLICE, PIECE = 1 << 20, 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -25,8 +25,10 @@ from jobtide.llm.components import components, removed, written
 FILTER_BITS = (1 << 20, 1 << 26)
 #: Members of a bucket that are compared as one block.
 BUCKET = 4_096
-#: Bits of a set's parity sketch.
-SKETCH_BITS = 2_048
+#: Bits of a set's parity sketch, and of the short one that members of a bucket are compared by first.
+SKETCH_BITS, SHORT_BITS = 2_048, 512
+#: Pairs of members that are looked at together.
+COMPARED = 1 << 18
 #: Nodes without a key get one from here on, by their name.
 NO_KEY, KEY_MASK = 9_000_000_000_000_000_000, (1 << 44) - 1
 
@@ -202,6 +204,17 @@ def _parity(s: np.ndarray) -> bytes:
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
+def _shortened(sketches: DataFrame) -> DataFrame:
+    """(node, content) with short sketches: parities of whole parts, so differing bits are a lower bound again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                folded = np.bitwise_xor.reduce(_bits(batch.column(1)).reshape(batch.num_rows, -1, SHORT_BITS // 64), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in folded], pa.binary())], ["node", "content"])
+
+    return sketches.select("node", "content").mapInArrow(run, "node long, content binary")
+
+
 def _contents(wanted: DataFrame, texts: DataFrame, n: int, content) -> DataFrame:
     """(node, size, content) of the wanted (node, rep), each set read from one document.
 
@@ -272,7 +285,7 @@ def _links(near: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int
 def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
     """Near pairs (a, b) within a bucket of (sig, node, n, component, content) whose components differ.
 
-    Sketches are compared inside the tasks, so that only near pairs come out. A bucket of
+    Short sketches are compared inside the tasks, so that few pairs come out. A bucket of
     more than BUCKET members is cut into blocks, and each pair of blocks is a group. With
     ``leaders`` one member of each block, another one in every bucket, is compared with
     its block alone.
@@ -307,7 +320,7 @@ def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
         if leaders:
             sig = np.uint64(group.column(0)[0].as_py() & (1 << 64) - 1)
             rows = rows[[np.argmin(mix(node[rows].view(np.uint64) ^ sig))]]
-        step = max(1, (1 << 20) // max(1, len(columns)))
+        step = max(1, COMPARED // max(1, len(columns)))
         for start in range(0, len(rows), step):
             some = rows[start : start + step]
             low, high = np.minimum.outer(size[some], size[columns]), np.maximum.outer(size[some], size[columns])
@@ -315,8 +328,8 @@ def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
             if p == q and not leaders:
                 use &= node[some][:, None] < node[columns][None, :]
             i, j = np.nonzero(use)
-            for at in range(0, len(i), 1 << 15):
-                x, y = some[i[at : at + (1 << 15)]], columns[j[at : at + (1 << 15)]]
+            for at in range(0, len(i), 1 << 14):
+                x, y = some[i[at : at + (1 << 14)]], columns[j[at : at + (1 << 14)]]
                 good = _close(bits[x], bits[y], size[x] + size[y], num, den)
                 a, b = node[x[good]], node[y[good]]
                 if len(a):
@@ -417,6 +430,7 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
     wanted = written(members.select("node").distinct().join(nodes, "node"), "wanted")
     sketches = written(_contents(wanted, texts, n, _parity), "sketches")
     removed(wanted)
+    short = written(_shortened(sketches), "short")
 
     def close(batch: pa.RecordBatch) -> np.ndarray:
         if not batch.num_rows:
@@ -436,17 +450,18 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
         placed = members.join(labels, "node")
         mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many"))
         mixed = written(mixed.where("lo < hi AND many > 2").select("sig", F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")), "mixed")
-        placed = placed.join(mixed, "sig").join(sketches.select("node", "content"), "node")
+        placed = placed.join(mixed, "sig").join(short, "node")
         known = reduce(DataFrame.unionByName, compared)
         apart = written(_apart(placed, num, den, leaders).join(known, ["a", "b"], "left_anti"), "apart")
         parts += [mixed, apart]
         if not apart.isEmpty():
-            parts.append(_links(apart, nodes, texts, n, num, den))
+            close_ones = written(_kept(_both(apart, sketches), close), "near")
+            parts += [close_ones, _links(close_ones, nodes, texts, n, num, den)]
             links = links.unionByName(parts[-1])
             before, labels = labels, written(_labels(nodes, components(links)), "node_labels")
             removed(before)
             compared.append(apart)
-    removed(*parts, *compared, stars, sketches, nodes)
+    removed(*parts, *compared, stars, sketches, short, nodes)
     return rows, labels
 
 
