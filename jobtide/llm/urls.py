@@ -3,8 +3,8 @@
 Listed are whole canonical URLs, and rules of a host with its subdomains and the beginning
 of a path. Both become keys of one list. A URL has as many possible keys as the rules have
 shapes (labels of the host, length of the path), and one of its own. The filter is a
-table of 256-bit blocks of bounded size; what it lets through wrongly falls out of the
-join with the list itself.
+table of 256-bit blocks, as many as the list asks for; what it lets through wrongly falls
+out of the join with the list itself.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from jobtide.llm.bytetext import column
 from jobtide.llm.components import written
 
-#: Blocks of the filter at most (32 bytes each). A longer list fills them more and lets more through to the join.
+#: Blocks (32 bytes each) of the largest filter that is sent to all tasks. That of a longer list is dealt by block.
 BLOCKS = 1 << 16
 #: Keys a block is meant for.
 PER_BLOCK = 16
@@ -53,16 +53,16 @@ def _addressed(df: DataFrame, blocks: int) -> DataFrame:
 
 
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w3) of the distinct keys: at most ``blocks`` rows."""
+    """(block, w0..w3) of the keys: at most ``blocks`` rows."""
     return _addressed(keys.select("key"), blocks).groupBy("block").agg(*[F.bit_or(f"m{w}").alias(f"w{w}") for w in range(4)])
 
 
-def possible(df: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose key the filter may hold. The filter is sent to all tasks: its rows are bounded by ``blocks``."""
+def possible(df: DataFrame, bloom: DataFrame, blocks: int, most: int = BLOCKS) -> DataFrame:
+    """The rows whose key the filter may hold. A filter of at most ``most`` blocks is sent to all tasks, a larger one joined by block."""
     hit = F.lit(True)
     for w in range(4):
         hit = hit & (F.col(f"w{w}").bitwiseAND(F.col(f"m{w}")) == F.col(f"m{w}"))
-    passed = _addressed(df, blocks).join(F.broadcast(bloom), "block").where(hit)
+    passed = _addressed(df, blocks).join(F.broadcast(bloom) if blocks <= most else bloom, "block").where(hit)
     return passed.drop("block", *[f"{x}{w}" for x in "mw" for w in range(4)])
 
 
@@ -90,8 +90,8 @@ def judge(
     known = listed.where("host IS NOT NULL AND path IS NOT NULL").select(own).distinct()
     known = known.select("key", F.lit(None).cast("string").alias("rule"), F.lit(listed_verdict).alias("verdict"))
     known = written(known.unionByName(spark.createDataFrame(entries, kind)), "listed")
-    blocks = 1
-    while blocks * PER_BLOCK < known.count() and blocks < max_blocks:
+    blocks, many = 1, known.count()
+    while blocks * PER_BLOCK < many:
         blocks *= 2
 
     shapes = sorted({(host.count(".") + 1, len(path)) for host, path, _ in rules})
@@ -101,7 +101,7 @@ def judge(
         end = F.substring_index("host", ".", -labels)
         keys.append(F.when(fits, F.concat(F.lit("r"), end, F.lit(" "), F.substring("path", 1, size))))
     candidates = urls.select("host", "path", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
-    hits = possible(candidates, bloom_filter(known, blocks), blocks).join(known, "key")
+    hits = possible(candidates, bloom_filter(known, blocks), blocks, max_blocks).join(known, "key")
     best = F.max_by(F.struct("rule", "verdict"), F.coalesce(F.length("rule"), F.lit(-1))).alias("best")
     found = written(hits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.verdict"), "verdicts")
     out = pages.join(found, ["host", "path"], "left")

@@ -58,9 +58,8 @@ def write_archive(df: DataFrame, path: str, key: str = "page_id", url: str = "ur
     )
     headers = names.select("key", F.encode(head, "UTF-8").alias("header"), "digest", "size", revisit.alias("revisit"))
     headers.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
-    bodies = records.select("key", "digest", "body").join(firsts, "digest", "left").where("first IS NULL OR key <=> first")
-    # Repeated rows of the smallest key, and short payloads, may be there more than once.
-    once = bodies.select("digest", "body").groupBy("digest").agg(F.first("body").alias("body"))
+    # One of the equal payloads of each task moves: a payload may have very many copies.
+    once = records.groupBy("digest").agg(F.first("body").alias("body"))
     once.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 

@@ -25,7 +25,7 @@ def expected(url, listed):
     return host, path, rule, verdict
 
 
-@pytest.mark.parametrize("blocks", [1, 1 << 16])
+@pytest.mark.parametrize("blocks", [0, 1 << 16])
 def test_equals_plain_rules(spark, blocks):
     rnd = random.Random(7)
     hosts = ["a.com", "COM", "example.com", "www.Example.com", "x.www.example.com", "b.net", "net", "dot.org", "notexample.org", "example.com.org", ""]
@@ -49,9 +49,32 @@ def test_empty_tables(spark):
         judge(pages, [("", "/", "allow")], none)
 
 
+def test_blocks_follow_the_list(spark):
+    """A list too long for the filter that is sent still gets one that drops what is not listed."""
+    from jobtide.llm import urls
+
+    listed = spark.range(3_000).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("host"), F.lit("/").alias("path"))
+    pages = spark.range(4_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") * 2, F.lit(".org/")).alias("url"))
+    seen = {}
+    real = urls.possible
+
+    def watched(df, bloom, blocks, most):
+        seen.update(blocks=blocks, most=most, passed=real(df, bloom, blocks, most).count())
+        return real(df, bloom, blocks, most)
+
+    urls.possible = watched
+    try:
+        got = judge(pages, RULES, listed, max_blocks=16).groupBy("verdict").count().collect()
+    finally:
+        urls.possible = real
+    assert {r["verdict"]: r["count"] for r in got} == {"block": 1_500, "allow": 2_500}
+    assert seen["blocks"] >= 3_000 / urls.PER_BLOCK and seen["most"] == 16 and 1_500 <= seen["passed"] < 1_800
+
+
 def test_filter_loses_no_key_and_drops_most_others(spark):
     keys = spark.range(2_000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom = bloom_filter(keys, 128).cache()
     assert possible(keys, bloom, 128).count() == 2_000
+    assert possible(keys, bloom, 128, most=64).count() == 2_000
     others = spark.range(10_000).select(F.concat(F.lit("o"), "id").alias("key"))
     assert possible(others, bloom, 128).count() < 500
