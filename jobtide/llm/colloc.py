@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm.bytetext import LOWER, column, flat, hash_spans, mix, slices
-from jobtide.llm.components import written
+from jobtide.llm.components import removed, written
 from jobtide.llm.partenum import _Marks as Marks
 
 #: Ranks on a side of a tile.
@@ -191,10 +191,11 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, id long, f long").groupBy("lang", "word", "id").agg(F.sum("f").alias("f"))
 
 
-def _pair_counts(texts: DataFrame, size: int, words: Ranks, phrases: Ranks, ids: tuple) -> DataFrame:
-    """(id, prefix, last, f): counts of the phrases of ``size`` words whose two parts of size - 1 words may be frequent."""
-    word_ids, phrase_ids = ids
+def _pair_counts(texts: DataFrame, size: int, words: Ranks, phrases: Ranks, least: int) -> DataFrame:
+    """(id, prefix, last, f) of the phrases of ``size`` words that occur ``least`` times, both parts of size - 1 words frequent.
 
+    Pairs of ranks move as ranks, which are small numbers; only frequent ones get their names.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_of, phrase_of, tiles = words.opened(), phrases.opened(), Tiles()
         rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -228,8 +229,8 @@ def _pair_counts(texts: DataFrame, size: int, words: Ranks, phrases: Ranks, ids:
                             yield out(*rest[0])
                             rest = []
                 if tiles.full():
-                    yield named(*tiles.drain(False))
-        yield named(*tiles.drain(True))
+                    yield ranked_rows(*tiles.drain(False))
+        yield ranked_rows(*tiles.drain(True))
         if rest:
             yield out(*summed(*(np.concatenate(x) for x in zip(*rest))))
 
@@ -237,15 +238,28 @@ def _pair_counts(texts: DataFrame, size: int, words: Ranks, phrases: Ranks, ids:
         _, first, where = np.unique(longer(prefix, last), return_index=True, return_inverse=True)
         return prefix[first], last[first], np.bincount(where, many).astype(np.int64)
 
-    def named(row: np.ndarray, col: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        return out(phrase_ids.value[row], word_ids.value[col], many)
+    def ranked_rows(row: np.ndarray, col: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        return rows(row, col, many, True)
 
     def out(prefix: np.ndarray, last: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        columns = [longer(prefix, last).view(np.int64), prefix.view(np.int64), last.view(np.int64), many]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "prefix", "last", "f"])
+        return rows(prefix.view(np.int64), last.view(np.int64), many, False)
+
+    def rows(a: np.ndarray, b: np.ndarray, many: np.ndarray, ranked: bool) -> pa.RecordBatch:
+        columns = [pa.array(a), pa.array(b), pa.array(np.full(len(a), ranked)), pa.array(many)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "ranked", "f"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_names, col_names = phrases.sent.value, words.sent.value
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ranked = batch.column(2).to_numpy(zero_copy_only=False)
+            prefix, last = a.view(np.uint64).copy(), b.view(np.uint64).copy()
+            prefix[ranked], last[ranked] = row_names[a[ranked]], col_names[b[ranked]]
+            columns = [longer(prefix, last).view(np.int64), prefix.view(np.int64), last.view(np.int64), batch.column(3)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["id", "prefix", "last", "f"])
 
-    counted = texts.mapInArrow(run, "id long, prefix long, last long, f long")
-    return counted.groupBy("id", "prefix", "last").agg(F.sum("f").alias("f"))
+    counted = texts.mapInArrow(run, "a long, b long, ranked boolean, f long").groupBy("a", "b", "ranked").agg(F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= least).mapInArrow(name, "id long, prefix long, last long, f long")
 
 
 def frequent_phrases(
@@ -271,11 +285,12 @@ def frequent_phrases(
     single, found = level, [level.select("lang", "phrase", F.lit(1).alias("size"), "f")]
     word_ranks = ranks = Ranks(level, ranked)
     for size in range(2, longest + 1):
-        pairs = _pair_counts(texts, size, word_ranks, ranks, (word_ranks.sent, ranks.sent)).where(F.col("f") >= least)
+        pairs = written(_pair_counts(texts, size, word_ranks, ranks, least), "pairs")
         before = level.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("begin"))
         last = single.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
-        pairs = pairs.join(before, "prefix").join(last, "last").select("lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "id", "f")
-        level = written(pairs, f"phrases-{size}")
+        named = pairs.join(before, "prefix").join(last, "last").select("lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "id", "f")
+        level = written(named, f"phrases-{size}")
+        removed(pairs)
         found.append(level.select("lang", "phrase", F.lit(size).alias("size"), "f"))
         ranks = Ranks(level, ranked)
     return reduce(DataFrame.unionByName, found), totals
