@@ -6,9 +6,10 @@ from bindings import sqltext as S
 from bindings.base import POSTINGS_CTE, lit, query, raw_postings, table, texts
 from bindings.texts import invalid_sql
 from jobtide.lookups import FUNCTION_WORDS
-from jobtide.operators import langmodel
+from jobtide.operators import langmodel, translation
 from jobtide.operators import language as lang
 from jobtide.operators import terms
+from jobtide.session import scratch_path
 
 
 def detect_sql(c: str) -> str:
@@ -107,6 +108,19 @@ OUTCOME_SQL = (
 )
 
 
+M06_SQL = (
+    f"WITH {ROUTED} SELECT id, CASE WHEN {OUTCOME_SQL} = 'translated' THEN replace(upper(replace(d, 'ß', '<sz>')), '<SZ>', 'SS')"
+    f" ELSE d END AS description, {OUTCOME_SQL} AS outcome FROM ro"
+)
+
+
+@query("m06_translate_stored", M06_SQL)
+def _(spark, d):
+    """Every distinct chunk once, through a table of results."""
+    df = translation.translate_stored(raw_postings(spark, d), ["Description"], load_rewriter, scratch_path(spark, "translated"), 500)
+    return df.select("id", F.col("Description").alias("description"), F.col("Description_outcome").alias("outcome"))
+
+
 @query(
     "m06_translate",
     f"WITH {ROUTED} SELECT id, CASE WHEN {OUTCOME_SQL} = 'translated' THEN replace(upper(replace(d, 'ß', '<sz>')), '<SZ>', 'SS')"
