@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindings.base import query, table
 from bindings.skills import ITEMS_CTE, part_items
-from jobtide.operators import catalogue
+from jobtide.operators import catalogue, shapeless
 
 QUOTE = "\\u2019"
 
@@ -149,6 +149,60 @@ def _(spark, d):
     return catalogue.link_report(documents(spark, d))
 
 
+# Documents whose keys and types differ from row to row, as JSON texts.
+SHAPELESS = (
+    "CASE p_partkey % 3 WHEN 0 THEN '{\"tks\":[{\"id\":\"k' || p_partkey || '\",\"type\":\"Skill\"}],\"work_role\":[{\"id\":1},{\"id\":' || p_size || '}],\"note\":\"it~s ' || p_name || '\"}'"
+    " WHEN 1 THEN '{\"tks\":[{\"id\":\"k' || (p_partkey - 1) || '\",\"description\":null},7],\"relationship\":[{\"tks_id\":\"k' || (p_partkey - 1) || '\",\"Work_Role_id\":' || p_size || '},{\"tks_id\":\"none\"}]}'"
+    " ELSE '{\"version\":' || p_size || ',\"tks\":\"' || p_brand || '\",\"relationship\":[],\"owner\":{\"name\":\"x\",\"it~s\":[1]}}' END"
+)
+
+
+def shapeless_texts(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey", f"{SHAPELESS} AS text")
+
+
+_N = "(SELECT count(*) FROM part WHERE p_partkey % 3 = {})::BIGINT"
+
+
+@query(
+    "g06_variant_profile",
+    " UNION ALL ".join([
+        f"SELECT 'tks' AS key, 'array|string' AS types, (SELECT count(*) FROM part) AS documents, {_N.format(0)} + 2 * {_N.format(1)} AS items,"
+        " 1 AS min_items, 2 AS max_items, 'description, id, type' AS fields",
+        f"SELECT 'work_role', 'array', {_N.format(0)}, 2 * {_N.format(0)}, 2, 2, 'id'",
+        f"SELECT 'note', 'string', {_N.format(0)}, NULL, NULL, NULL, ''",
+        f"SELECT 'relationship', 'array', {_N.format(1)} + {_N.format(2)}, 2 * {_N.format(1)}, 0, 2, 'Work_Role_id, tks_id'",
+        f"SELECT 'version', 'bigint', {_N.format(2)}, NULL, NULL, NULL, ''",
+        f"SELECT 'owner', 'object', {_N.format(2)}, NULL, NULL, NULL, 'it~s, name'",
+    ]),
+)
+def _(spark, d):
+    return shapeless.structure_profile(shapeless.parsed(shapeless_texts(spark, d), "text"))
+
+
+@query(
+    "g07_variant_links",
+    "WITH k AS (SELECT 'k' || p_partkey AS v FROM part WHERE p_partkey % 3 = 0 UNION SELECT 'k' || (p_partkey - 1) FROM part WHERE p_partkey % 3 = 1),"
+    " r AS (SELECT 1 AS v UNION SELECT p_size FROM part WHERE p_partkey % 3 = 0), l AS (SELECT * FROM part WHERE p_partkey % 3 = 1)"
+    " SELECT 'relationship' AS from_key, 'tks_id' AS field, 'tks' AS to_key, 2 * count(*) AS links,"
+    " count(*) FILTER ('k' || (p_partkey - 1) IN (SELECT v FROM k)) AS matched FROM l UNION ALL"
+    " SELECT 'relationship', 'Work_Role_id', 'work_role', count(*), count(*) FILTER (p_size IN (SELECT v FROM r)) FROM l",
+)
+def _(spark, d):
+    return shapeless.link_report(shapeless.parsed(shapeless_texts(spark, d), "text"))
+
+
+@query(
+    "g01_variant_apostrophes",
+    f"SELECT p_partkey, json_extract_string(replace({SHAPELESS}, '~', '’'), '$.note') AS note FROM part",
+)
+def _(spark, d):
+    """The written-out escape in strings of any document, whatever its keys."""
+    texts = shapeless_texts(spark, d).withColumn("text", F.replace("text", F.lit("~"), F.lit("\\\\u2019")))
+    fixed = texts.select("p_partkey", shapeless.decode_apostrophes_text(F.col("text")).alias("text"))
+    return fixed.select("p_partkey", F.get_json_object("text", "$.note").alias("note"))
+
+
 @query(
     "g08_clean_catalogue",
     f"WITH {CTE}, {KEPT}, ra AS (SELECT p_partkey, string_agg(id || ':' || replace(title, '\\u2019', '’'), '|' ORDER BY id) AS roles"

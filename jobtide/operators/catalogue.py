@@ -41,6 +41,8 @@ def replace_in_strings(c: Column, dtype: T.DataType, old: str, new: str) -> Colu
         return F.replace(c, F.lit(old), F.lit(new))
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: replace_in_strings(x, dtype.elementType, old, new))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(c, lambda _, v: replace_in_strings(v, dtype.valueType, old, new))
     if isinstance(dtype, T.StructType):
         fields = [
             replace_in_strings(c.getField(f.name), f.dataType, old, new).alias(f.name)
