@@ -99,3 +99,40 @@ def test_long_texts_are_cut_at_hashed_places(spark):
     rows = [("ba " * 20_000 + f"bi{'o' * i} " * 20_000, "x") for i in range(1, 30)]
     known = learn(spark.createDataFrame(rows, "text string, lang string"))
     assert b" ba " in known["x"] and b" bio" in known["x"]
+
+
+def test_predictions_equal_plain_compression(spark):
+    """Language and margin of whole texts, by compressing each block on its own with a compressor made for it."""
+    import zstandard
+
+    from jobtide.llm import langid
+    from tests.llm.helpers import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    known = langid.learn(docs)
+    assert set(known) == {"de", "en", "es", "fr"} and all(len(v) <= langid.DICTIONARY for v in known.values())
+
+    def size(lang, data):
+        content = zstandard.ZstdCompressionDict(known[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(packer.compress(known[lang][-langid.LEAD:] + data))
+
+    def plain(text):
+        words = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        if not words:
+            return "und", 0.0
+        data, totals = f" {words} ".encode(), dict.fromkeys(sorted(known), 0.0)
+        for i in range(0, len(data), langid.BLOCK):
+            block = data[i:i + langid.BLOCK]
+            sizes = {lang: size(lang, block) for lang in totals}
+            for lang, n in sizes.items():
+                totals[lang] += len(block) * n / sum(sizes.values())
+        first, second = sorted((n, lang) for lang, n in totals.items())[:2]
+        return first[1], 1 - first[0] / second[0]
+
+    rows = [(i, r["text"]) for i, r in enumerate(docs.where("length(text) < 1500").orderBy("doc_id").limit(40).collect())]
+    rows += [(100, None), (101, ""), (102, "12 !?"), (103, "ab"), (104, "the house and die Katze")]
+    found = langid.identify(spark.createDataFrame(rows, "i int, text string"), known).collect()
+    for r, (_, text) in zip(sorted(found, key=lambda r: r["i"]), rows):
+        lang, margin = plain(text)
+        assert r["lang_pred"] == lang and abs(r["score"] - margin) < 1e-9 and r["accepted"] == (lang != "und" and margin >= langid.MARGIN)

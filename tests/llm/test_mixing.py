@@ -86,3 +86,38 @@ def test_query_counts_all_words(spark):
     largest = max(r["size"] for r in got)
     assert all(r["target"] == pytest.approx(want[docs[r["doc_id"]]["source"]]) for r in got)
     assert all(abs(taken[s] - want[s]) <= largest / 2 + 1 for s in sizes)
+
+
+def plain_targets(sizes):
+    """Targets of the query, by handing out what is cut off again until nothing is."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: [5, 2, 1][i % 3] for i, s in enumerate(order)}
+    target, rest, free = dict.fromkeys(order, 0.0), float(sum(sizes.values())), list(order)
+    while rest > 1e-9 * sum(sizes.values()) and free:
+        scale, given = sum(weight[s] for s in free), 0.0
+        for s in free:
+            more = min(rest * weight[s] / scale, 3 * sizes[s] - target[s])
+            target[s] += more
+            given += more
+        rest -= given
+        free = [s for s in free if target[s] < 3 * sizes[s] - 1e-9]
+    return target
+
+
+def test_query_against_plain_targets(spark):
+    from jobtide.llm.queries import QUERIES
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sizes, taken, largest = defaultdict(int), defaultdict(int), 0
+    for r in docs.values():
+        sizes[r["source"]] += len(words(r["text"]))
+        largest = max(largest, len(words(r["text"])))
+    want = plain_targets(sizes)
+    got = QUERIES["op8_mixing"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        source = docs[r["doc_id"]]["source"]
+        assert r["size"] == len(words(docs[r["doc_id"]]["text"])) and r["source_size"] == sizes[source]
+        assert r["target"] == pytest.approx(want[source]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= largest / 2 + 1 for s in sizes)

@@ -88,3 +88,26 @@ def test_query_against_exact_sets(spark):
         a, b = shingles(text, 5), shingles(edited, 5)
         errors.append(abs(len(a & b) / max(1, len(a | b)) - r["near_edited"]) if a | b else 0)
     assert len(errors) == len(rows) and np.mean(errors) < 0.05 and max(errors) < 0.2
+
+
+def test_near_next_against_exact_sets(spark):
+    """Exact where both sets fit a sketch, an estimate otherwise."""
+    rnd = random.Random(21)
+    rows, w = [], []
+    for i in range(300):
+        if i % 3 or not w:
+            w = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([0, 3, 8, 40, 60, 400]))]
+        else:
+            w = [x if rnd.random() < 0.97 else "new" for x in w]
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["near_next"] for r in sketch.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors, whole = [], 0
+    for i, text in rows:
+        a, b = shingles(text, sketch.WORDS), shingles(rows[(i + 1) % len(rows)][1], sketch.WORDS)
+        exact = len(a & b) / len(a | b) if a | b else 1.0
+        if len(a | b) <= sketch.K:
+            assert got[i] == pytest.approx(exact)
+            whole += 1
+        else:
+            errors.append(abs(got[i] - exact))
+    assert whole > 100 and len(errors) > 50 and max(errors) < 0.2 and sum(errors) / len(errors) < 0.03

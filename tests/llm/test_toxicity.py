@@ -94,3 +94,43 @@ def test_held_out_documents_are_told_apart(spark):
     clean = np.array([r["score"] for r in got if r["toxic"] == 0])
     assert len(toxic) and (clean < 0.7).mean() > 0.98
     assert np.mean([(t > clean).mean() for t in toxic]) > 0.9
+
+
+def plain_features(sentence_words):
+    """Features of one sentence, byte by byte."""
+    from jobtide.llm import bytetext as B
+
+    mask = (1 << 64) - 1
+
+    def span(data):
+        h = sum(int(B._VALUES[B.LOWER[b]]) * pow(int(B._FACTOR), j, 1 << 64) for j, b in enumerate(data)) + len(data) & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    out = set()
+    for w in sentence_words:
+        out.add(span(w) >> 64 - toxicity.BITS)
+        out |= {(span(w[:n]) + n & mask) * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - toxicity.BITS for n in toxicity.BEGINNINGS if len(w) > n}
+    return out
+
+
+def plain_score(text, weights):
+    """Score of the worst sentence of a text, in plain Python."""
+    import math
+    import re
+
+    worst = None
+    for sentence in re.split(rb"[\n!.?]", (text or "").encode()):
+        found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)
+        for a in range(0, len(found), toxicity.SENTENCE):
+            total = sum(weights[f] for f in plain_features(found[a:a + toxicity.SENTENCE]))
+            worst = total if worst is None else max(worst, total)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, (worst or 0.0) + weights[-1]))))
+
+
+def test_scores_equal_plain_python(spark):
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    texts = [t[:3_000] for t in docs] + [None, "", " .!? ", "One. TWO! thrée?four\nfive", "longerword " * 120, "a1b2_c3"]
+    weights = np.random.default_rng(3).normal(size=(1 << toxicity.BITS) + 1)
+    assert scores(spark, weights, texts) == pytest.approx([plain_score(t, weights) for t in texts], abs=1e-9)
