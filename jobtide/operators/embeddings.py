@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,16 +28,23 @@ def pending(
 
 
 def ngram_encoder(dim: int = 64, n: int = 3) -> Encoder:
-    """Counts of hashed character n-grams: a model-free default encoder."""
+    """Counts of hashed character n-grams: a model-free default encoder. Each distinct n-gram of a batch is hashed once."""
+    @lru_cache(maxsize=1 << 18)
     def bucket(gram: str) -> int:
         return int(hashlib.md5(gram.encode("utf-8")).hexdigest()[:7], 16) % dim
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for i in range(len(text) - n + 1):
-                out[row, bucket(text[i:i + n])] += 1.0
-        return out
+        sizes = [max(len(text) - n + 1, 0) for text in texts]
+        # Code points of all texts as one array, so that n-grams are made unique as numbers, not as strings.
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        begin = np.concatenate([[0], np.cumsum([len(text) for text in texts])])[:-1]
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+        grams = np.ascontiguousarray(points[at.astype(np.int64)[:, None] + np.arange(n)]).view(f"V{4 * n}").ravel()
+        distinct, which = np.unique(grams, return_inverse=True)
+        buckets = np.array([bucket(g.tobytes().decode("utf-32-le", "surrogatepass")) for g in distinct], np.int64)
+        cells = rows * dim + (buckets[which] if len(which) else which)
+        return np.bincount(cells, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
 
     return encode
 

@@ -183,3 +183,18 @@ def test_dimension_check(spark):
     df = spark.createDataFrame([([0.0],), ([3.0, 4.0],)], "embedding array<double>")
     assert tuple(emb.dimension_check(df).first()) == (2, 2, False)
     assert tuple(emb.dimension_check(df.limit(0)).first()) == (0, 0, False)
+
+
+def test_ngram_counts_equal_plain_python():
+    import hashlib
+    import random
+
+    rnd = random.Random(1)
+    texts = ["", "a", "ab", "abc", "日本語テキスト", "é\U0001F600xyz"] + ["".join(rnd.choices("abcdef é日\x00", k=rnd.randint(0, 60))) for _ in range(100)]
+    for dim, n in ((64, 3), (8, 1), (16, 2)):
+        want = np.zeros((len(texts), dim))
+        for row, t in enumerate(texts):
+            for i in range(len(t) - n + 1):
+                want[row, int(hashlib.md5(t[i:i + n].encode()).hexdigest()[:7], 16) % dim] += 1
+        assert (emb.ngram_encoder(dim, n)(texts) == want).all()
+    assert emb.ngram_encoder()([]).shape == (0, 64)
