@@ -6,6 +6,7 @@ that no Python object is made per word. Work is cut into pieces of bounded size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,25 @@ _PLACES = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Gives freed memory back to the machine: workers wait for their next task beside those that are at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library than GNU's.
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that releases memory at its end."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def column(name: str) -> F.Column:
     """A top-level column, whatever characters its name has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -167,4 +187,4 @@ def map_texts(
                     [part.column(i) for i in range(len(keep))] + made, [*keep, *[f.name for f in outputs]]
                 )
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from jobtide.llm import latin
-from jobtide.llm.bytetext import column, hash_spans, map_texts, slices
+from jobtide.llm.bytetext import column, hash_spans, map_texts, slices, tidy
 from jobtide.llm.components import written
 
 #: Entries of a task's memory of words, before it is emptied; words of one partial count.
@@ -262,7 +262,7 @@ def count_words(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
-    return given.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return given.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(df: DataFrame, path: str, text: str = "text", size: int = 65_536) -> bytes:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.bytetext import column, flat, hash_spans, mix, shingles, slices, words
+from jobtide.llm.bytetext import column, flat, hash_spans, mix, shingles, slices, tidy, words
 from jobtide.llm.components import components, removed, written
 
 #: Bits of the filters that pick the rows to be read, at least and at most; a fuller one only lets more through.
@@ -139,7 +139,7 @@ def _pass(df: DataFrame, key: list[str], schema: str, work) -> DataFrame:
                 made = work([part.column(i) for i in range(len(key))], part.column(len(key)))
                 yield pa.RecordBatch.from_arrays([x for _, x in made], [c for c, _ in made])
 
-    return df.select(*key, "__text").mapInArrow(run, schema)
+    return df.select(*key, "__text").mapInArrow(tidy(run), schema)
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _stars(rows: DataFrame) -> DataFrame:
             sig0, lead0, size0, node0 = sig[-1], leader[-1], leader_size[-1], node[-1]
 
     spread = rows.repartition("sig").sortWithinPartitions("sig", "node")
-    return spread.mapInArrow(run, "sig long, leader long, node long, leader_n int, n int")
+    return spread.mapInArrow(tidy(run), "sig long, leader long, node long, leader_n int, n int")
 
 
 class _Marks:
@@ -250,7 +250,7 @@ def _kept(df: DataFrame, test) -> DataFrame:
             good = pa.array(test(batch), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], ["a", "b"])
 
-    return df.mapInArrow(run, "a long, b long")
+    return df.mapInArrow(tidy(run), "a long, b long")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -339,7 +339,7 @@ def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
     pairs = F.transform(others, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     placed = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("pair", F.explode(pairs))
     placed = placed.select("sig", F.col("pair.p").cast("int").alias("p"), F.col("pair.q").cast("int").alias("q"), "block", "node", "n", "component", "content")
-    return placed.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return placed.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_components(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from jobtide.llm.bytetext import column, flat, hash_spans, map_texts, slices
+from jobtide.llm.bytetext import column, flat, hash_spans, map_texts, slices, tidy
 
 #: Kinds of identity terms; within a kind each term is swapped for the next one.
 IDENTITY_TERMS = {
@@ -116,7 +116,7 @@ def _training_sets(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
                 lists = [pa.array([list(row[i]) for row in out], pa.list_(pa.int32())) for i in range(5)]
                 yield pa.RecordBatch.from_arrays([part.column(1), *lists], schema.replace(",", "").split()[::2])
 
-    return rows.select(F.col("text").alias("__text"), F.col("label")).mapInArrow(run, schema)
+    return rows.select(F.col("text").alias("__text"), F.col("label")).mapInArrow(tidy(run), schema)
 
 
 def fit(
