@@ -111,9 +111,11 @@ def with_route(
 
 
 def chunks(c: Column, size: int = 4000) -> Column:
-    """The text in pieces of at most ``size`` characters."""
-    starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c), F.lit(size)))
-    return F.transform(starts, lambda s: F.substring(c, s, F.lit(size)))
+    """The text in pieces of at most ``size`` characters; NULL for an empty one.
+
+    One pass over the text: taking each piece by its position would read the text up to there every time.
+    """
+    return F.when(F.length(c) > 0, F.regexp_extract_all(c, F.lit(f"(?s).{{1,{int(size)}}}"), F.lit(0)))
 
 
 def rewrite_chunks(pieces: Column, load_rewriter: Callable[[], Rewriter]) -> Column:
