@@ -9,7 +9,7 @@ principle two sufficiently similar sets agree in at least one such signature.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 from itertools import combinations
 from math import comb
 
@@ -378,7 +378,7 @@ def near_copies(
     # Nodes are named by id and text: sets of one id are not linked by it.
     name = F.xxhash64(column(key).cast("long"), content).bitwiseAND(F.lit((1 << 62) - 1))
     texts = df.select(name.alias("__key"), column(key).cast("long").alias("__id"), F.xxhash64(content).alias("__hash"), content.alias("__text"))
-    rows, labels = _labelled(texts, n, num, den, scheme or {"slack": 0.3, "band": 1.25})
+    rows, labels = _labelled(texts, n, num, den, scheme or {"slack": 0.3, "rounds": 2})
     placed = rows.join(labels, "node").select("component", F.col("__id").isNull().alias("unkeyed"), F.struct("__id", "node", "__hash").alias("place"))
     best = placed.groupBy("component", "unkeyed").agg(F.min("place").alias("best"))
     worse = placed.join(best, ["component", "unkeyed"]).where("NOT (place <=> best)")
@@ -387,7 +387,9 @@ def near_copies(
 
 def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None) -> tuple[DataFrame, DataFrame]:
     """(the columns before __text, n, node) of every row, and (node, component) of every node."""
-    options = scheme or {}
+    options = dict(scheme or {})
+    # Signatures are the largest thing that moves: in rounds, by their value, a part of them stands on disk at a time.
+    rounds = options.pop("rounds", 1)
     given_names = texts.columns[:-1]
 
     def measure(kept: list, given: pa.Array) -> list:
@@ -403,11 +405,13 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
 
     keyed = _Marks(nodes.select(F.xxhash64("rep").alias("at")), "at")
 
-    def sign(kept: list, given: pa.Array) -> list:
+    def sign(kept: list, given: pa.Array, turn: int) -> list:
         # Of the copies of a set only the one that stands for it is read (and the few whose key looks like another's).
         _, sets, names = _read_marked(keyed, kept[1], kept[0], given, n)
         use = [i for i in np.unique(names, return_index=True)[1].tolist() if len(sets[i])]
         sigs, of = signatures([sets[i] for i in use], made())
+        mine = (sigs >> np.uint64(32)) % np.uint64(rounds) == np.uint64(turn)
+        sigs, of = sigs[mine], of[mine]
         which = np.array(use, np.int64)[of] if len(use) else of
         sizes = np.array([len(s) for s in sets], np.int32)
         return [
@@ -421,8 +425,12 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
             schemes.append(Scheme(num, den, **options))
         return schemes[0]
 
-    signed = _pass(texts.withColumn("__at", F.xxhash64("__key")), ["__key", "__at"], "sig long, node long, n int", sign)
-    stars = written(_stars(signed), "stars")
+    placed = texts.withColumn("__at", F.xxhash64("__key"))
+    parts = [
+        written(_stars(_pass(placed, ["__key", "__at"], "sig long, node long, n int", partial(sign, turn=turn))), "stars")
+        for turn in range(rounds)
+    ]
+    stars = reduce(DataFrame.unionByName, parts)
     alike = f"{den} * least(leader_n, n) >= {num} * greatest(leader_n, n)"
     pairs = written(stars.where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     leaders = stars.select("sig", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
@@ -440,7 +448,7 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
 
     near = written(_kept(_both(pairs, sketches), close), "near")
     links = _links(near, nodes, texts, n, num, den)
-    parts = [near, links]
+    parts += [near, links]
     labels = written(_labels(nodes, components(links)), "node_labels")
 
     compared = [pairs]
@@ -461,7 +469,7 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
             before, labels = labels, written(_labels(nodes, components(links)), "node_labels")
             removed(before)
             compared.append(apart)
-    removed(*parts, *compared, stars, sketches, short, nodes)
+    removed(*parts, *compared, sketches, short, nodes)
     return rows, labels
 
 

@@ -39,11 +39,13 @@ def near_copies(rnd, n):
     return texts
 
 
-@pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100), (2, 60, 100)])
-def test_components_equal_all_pairs(spark, n, num, den):
+@pytest.mark.parametrize("n,num,den,scheme", [
+    (4, 85, 100, None), (5, 80, 100, {"slack": 0.3, "rounds": 2}), (2, 60, 100, None), (4, 85, 100, {"band": 1.25, "rounds": 3}),
+])
+def test_components_equal_all_pairs(spark, n, num, den, scheme):
     texts = near_copies(random.Random(n), 160) + [None, "", " \n", "A b C d e", "a B c D E"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, n=n, num=num, den=den).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, n=n, num=num, den=den, scheme=scheme).collect()}
     assert got == dict(enumerate(components(texts, n, num, den)))
 
 
