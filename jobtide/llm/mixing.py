@@ -169,7 +169,12 @@ def _beside(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, weights: list[float], key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """(key, size, source_size, target, taken) of each row; taken is its copies times its size."""
+    """(key, size, source_size, target, taken) of each row; taken is its copies times its size.
+
+    NULL texts have size 0 and take nothing; a NULL source is one like others, the last;
+    NULL keys are fine. Rows with equal key, source and text are taken equally often, and
+    every repeated row has a row. Other columns are not read; no rows give none.
+    """
     sized, decisions = decide(df, weights, key, source, text, **options)
     return _beside(sized, decisions).select(F.col("__key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -151,6 +151,11 @@ def edited_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     The edited form ends with the beginning of the next text in key order instead of its
     own last quarter. Columns: key, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
+
+    NULL texts are empty; texts without words have empty fingerprints, which are alike
+    (1.0) with each other and 0.0 with others. Rows of one key follow the hash of their
+    texts; repeated rows are each other's next; NULL keys come first; one row is its own
+    next. Other columns are not read, so that their names don't matter; no rows give none.
     """
     text_type, real = StringType(), DoubleType()
     outputs = [
