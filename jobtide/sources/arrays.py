@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +118,24 @@ class Cutter:
         return b"".join(self.parts)
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """Write rows as JSON arrays: each task writes the rows that it has, in their order, as one file that holds one array. NULLs are written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            if batch.num_rows:
+                leads = pa.array([lead] + [","] * (batch.num_rows - 1))
+                yield lines(pc.binary_join_element_wise(leads, batch.column(0).cast(pa.string()), ""))
+                lead = ","
+        yield lines(pa.array(["]" if lead == "," else "[]"]))
+
+    def lines(texts: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([texts], ["line"])
+
+    records = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("record"))
+    records.mapInArrow(run, "line string").write.text(path)
+
+
 def _stretches(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("lineSep", ",").text(path)
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))

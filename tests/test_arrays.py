@@ -86,3 +86,28 @@ def test_summaries_are_associative():
         whole = arrays.summary(np.frombuffer(text, np.uint8))
         s = [arrays.summary(p) for p in parts]
         assert s[0].then(s[1]).then(s[2]).then(s[3]) == s[0].then(s[1].then(s[2].then(s[3]))) == whole
+
+
+@pytest.mark.parametrize("size", [50, 1 << 20])
+def test_written_arrays(spark, tmp_path, cut, size):
+    """Every task writes an array of its own: tasks without rows, one row, NULL and repeated ids."""
+    rows = [r | {"id": None if i == 3 else i // 2} for i, r in enumerate(records(random.Random(size), 21))]
+    df = spark.createDataFrame([json.dumps(r) for r in rows], "string").selectExpr(f"from_json(value, '{SCHEMA}') AS r").select("r.*")
+    for name, given in (("some", df.where("id IS NULL OR id <> 1").repartition(40)), ("none", df.where("id = -1"))):
+        arrays.write_array(given, str(tmp_path / name))
+        cut(size)
+        got = arrays.read_array(spark, str(tmp_path / name), SCHEMA).collect()
+        key = lambda r: json.dumps(r, sort_keys=True)
+        assert sorted(map(plain, got), key=key) == sorted(map(plain, given.collect()), key=key)
+
+
+def test_no_task_writes_all_records(spark, tmp_path, monkeypatch):
+    """The stored arrays are as many as the table has splits."""
+    import bindings.tables as t
+    from bindings.base import QUERIES
+
+    spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('text, ', id) AS text", "'en' AS lang", "'src1' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(t, "scratch_path", lambda spark, name: str(tmp_path / name))
+    assert QUERIES["a01_json_array"](spark, str(tmp_path)).count() == 40
+    held = [sum(1 for _ in json.loads(p.read_text())) for p in (tmp_path / "a01").glob("part-*")]
+    assert sum(held) == 40 and len(held) > 1 and max(held) < 40
