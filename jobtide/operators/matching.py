@@ -7,7 +7,8 @@ blocks.
 Catalogues are small beside the skills: one that fits a block goes to the tasks, and no
 skill is copied at all. A larger one is cut into partitions around pivots, and a skill
 meets only those that can hold an item above its limits (see ``pivots``): first the one where it
-can score highest, then, with the k-th score found there, the others.
+can score highest, then, with the k-th score found there, the others. Many partitions share a cell,
+so that a skill moves once to each cell, however many of its partitions it has to meet.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.operators import pivots
@@ -29,6 +31,17 @@ from jobtide.session import cut_lineage
 SCORE_DIGITS = 10
 # Candidates are taken this much below a limit, and decided after rounding.
 SLACK = 1e-9
+# Bytes of vectors (as doubles) on each side of a meeting, and vectors on each side where all pairs are asked for: its
+# result is one table, of that many pairs at most.
+CELL_BYTES, PAIR_SKILLS, PAIR_ITEMS = 16 << 20, 8192, 4096
+
+
+def _first_k(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, place: np.ndarray, top_k: int) -> tuple[np.ndarray, ...]:
+    """The k highest values of each row, ties by place."""
+    order = np.lexsort((place, -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    taken = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < top_k
+    return rows[taken], cols[taken], values[taken]
 
 
 def _block_scores(top_k: int | None, minimum: float, slice_rows: int):
@@ -49,12 +62,8 @@ def _block_scores(top_k: int | None, minimum: float, slice_rows: int):
             enough = values >= minimum
             rows, cols, values = rows[enough], cols[enough], values[enough]
             if top_k is not None:
-                # Columns are in item order, so the stable sort breaks ties by item.
-                order = np.lexsort((cols, -values, rows))
-                rows, cols, values = rows[order], cols[order], values[order]
-                first = np.searchsorted(rows, rows, side="left")
-                taken = np.arange(len(rows)) - first < top_k
-                rows, cols, values = rows[taken], cols[taken], values[taken]
+                # Columns are in item order.
+                rows, cols, values = _first_k(rows, cols, values, cols, top_k)
             yield rows + start, cols, values
 
     return best
@@ -90,6 +99,10 @@ def score_pairs(
     schema = f"`{skill_key}` {fields[skill_key]}, `{item_key}` {fields[item_key]}, similarity double"
     vector = F.col("embedding").cast("array<double>").alias("embedding")
 
+    def moved(df: DataFrame) -> Column:
+        """Vectors as they are stored, where these are single or double precision: doubles made of them are twice as large."""
+        return col("embedding") if df.schema["embedding"].dataType.simpleString() == "array<float>" else vector
+
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
         """``b`` is sorted by its key."""
         if a.num_rows and b.num_rows:
@@ -118,46 +131,71 @@ def score_pairs(
 
             return skills.select(col(skill_key), vector).mapInArrow(meet, schema)
 
+    known = items.select(col(item_key), moved(items))
     parts = pivots.partitions(known, item_block, item_key)
     if parts is None:
         # Without a vector that has a direction all scores are 0.
-        parts = pivots.Partitions(np.zeros((1, width or 1)), np.full(1, np.pi), np.zeros(1), np.zeros(1), np.ones(1, int))
+        parts = pivots.Partitions(np.zeros((1, width or 1)), np.full(1, np.pi), np.zeros(1), np.zeros(1), np.ones(1, int), np.array([known.count()]))
+    fitting = max(1, CELL_BYTES // (8 * max(width, 1)))
+    cell, subs = parts.cells(fitting if top_k is not None else min(fitting, PAIR_ITEMS))
+    most_skills = fitting if top_k is not None else min(fitting, PAIR_SKILLS)
     sent_parts = skills.sparkSession.sparkContext.broadcast(parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             home = sent_parts.value.home(_matrix(batch.column(1))) if batch.num_rows else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], [item_key, "embedding", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(home.astype(np.int32)), pa.array(cell[home].astype(np.int32))], [item_key, "embedding", "part", "cell"]
+            )
 
-    kind = known.schema[item_key].dataType.simpleString()
-    placed = known.mapInArrow(place, f"`{item_key}` {kind}, embedding array<double>, part int")
-    placed = placed.withColumn("sub", F.pmod(F.xxhash64(col(item_key)), pivots.numbers(parts.subs, F.col("part"))).cast("int"))
-    rows = skills.select(col(skill_key).alias("row"), vector)
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    placed = known.mapInArrow(place, f"`{item_key}` {kinds[item_key]}, embedding {kinds['embedding']}, part int, cell int")
+    placed = placed.withColumn("sub", F.pmod(F.xxhash64(col(item_key)), pivots.numbers(subs, F.col("cell"))).cast("int"))
+    rows = skills.select(col(skill_key).alias("row"), moved(skills))
 
     def join_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
-        return block(a.rename_columns([skill_key, *a.column_names[1:]]), b.sort_by(item_key) if b.num_rows else b)
+        """Every vector with the items of the partitions that it wants, in blocks; of a cell it keeps its k best."""
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        if a.num_rows and b.num_rows:
+            b = b.sort_by([("part", "ascending"), (item_key, "ascending")])
+            left, right, part = _matrix(a["embedding"]), _matrix(b["embedding"]), b["part"].to_numpy()
+            wanted = a["wanted"].combine_chunks()
+            wants, owner = wanted.flatten().to_numpy(), np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            for begin, end in zip(begins, [*begins[1:], len(part)]):
+                mine = owner[wants == part[begin]]
+                for i in range(0, len(mine), skill_block):
+                    some = mine[i:i + skill_block]
+                    for j in range(begin, end, item_block):
+                        found += [(some[r], c + j, v) for r, c, v in best(left[some], right[j:min(j + item_block, end)])]
+        at, cols, values = (np.concatenate(x) for x in zip(*found))
+        if top_k is not None and len(at):
+            order = np.argsort(pc.sort_indices(b[item_key]).to_numpy())
+            at, cols, values = _first_k(at, cols, values, order[cols], top_k)
+        return pa.table({skill_key: a["row"].take(pa.array(at)), item_key: b[item_key].take(pa.array(cols)), "similarity": pa.array(values, pa.float64())})
 
     def meet_parts(routed: DataFrame) -> DataFrame:
-        # How many skills come to each partition: one small row for each, on the driver.
-        counts = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-        shares = np.array([-(-counts.get(i, 0) // skill_block) for i in range(len(parts.subs))])
-        subs = F.sequence(F.lit(0), pivots.numbers(parts.subs, F.col("part")) - 1)
-        left = routed.withColumn("share", F.pmod(F.xxhash64("row"), pivots.numbers(shares, F.col("part"))).cast("int"))
-        left = left.withColumn("sub", F.explode(subs))
-        right = placed.withColumn("shares", pivots.numbers(shares, F.col("part"))).where("shares > 0")
+        # How many skills come to each cell: one small row for each, on the driver. Meetings are many enough for all tasks.
+        counts = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
+        meetings = sum(n * int(subs[c]) for c, n in counts.items())
+        each = min(most_skills, max(skill_block, -(-meetings // (4 * skills.sparkSession.sparkContext.defaultParallelism))))
+        shares = np.array([-(-counts.get(i, 0) // each) for i in range(len(subs))])
+        left = routed.withColumn("share", F.pmod(F.xxhash64("row"), pivots.numbers(shares, F.col("cell"))).cast("int"))
+        left = left.withColumn("sub", F.explode(F.sequence(F.lit(0), pivots.numbers(subs, F.col("cell")) - 1)))
+        right = placed.withColumn("shares", pivots.numbers(shares, F.col("cell"))).where("shares > 0")
         right = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-        grid = ["part", "sub", "share"]
+        grid = ["cell", "sub", "share"]
         return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(join_blocks, schema)
 
+    if top_k is None:
+        return meet_parts(pivots.routed(rows, parts, minimum, None, cell))
     # Checkpointed: the floors and the result both need it.
-    first = cut_lineage(meet_parts(pivots.routed(rows, parts, minimum, True)))
-    floors = rows.withColumn("floor", F.lit(float("-inf")))
-    if top_k is not None:
-        kth = top_items(first, top_k, skill_key, item_key).groupBy(col(skill_key).alias("row"))
-        kth = kth.agg(F.when(F.count("*") >= top_k, F.min("similarity")).alias("floor"))
-        floors = rows.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = first.unionByName(meet_parts(pivots.routed(floors, parts, minimum, False)))
-    return found if top_k is None else top_items(found, top_k, skill_key, item_key)
+    first = cut_lineage(meet_parts(pivots.routed(rows, parts, minimum, True, cell)))
+    kth = top_items(first, top_k, skill_key, item_key).groupBy(col(skill_key).alias("row"))
+    kth = kth.agg(F.when(F.count("*") >= top_k, F.min("similarity")).alias("floor"))
+    floors = rows.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = first.unionByName(meet_parts(pivots.routed(floors, parts, minimum, False, cell)))
+    return top_items(found, top_k, skill_key, item_key)
 
 
 def rank_items(scores: DataFrame, skill_key: str = "skill_id", item_key: str = "tks_id") -> DataFrame:

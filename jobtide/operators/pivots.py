@@ -27,7 +27,7 @@ SLACK = 1e-6
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     vectors = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
 def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +60,23 @@ class Partitions:
     least: np.ndarray
     most: np.ndarray
     subs: np.ndarray
+    #: Items of each.
+    count: np.ndarray | None = None
+
+    def cells(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each partition, ascending, and how many parts each cell is cut into.
+
+        A cell holds partitions of ``most`` items together, or one larger partition in parts of that size.
+        """
+        cell, parts, held = np.zeros(len(self.count), np.int64), [0], 0
+        for i, n in enumerate(self.count.astype(np.int64).tolist()):
+            if i and held + n > most:
+                parts.append(0)
+                held = 0
+            held += n
+            cell[i] = len(parts) - 1
+            parts[-1] = -(-held // most)
+        return cell, np.array(parts, np.int64)
 
     def home(self, vectors: np.ndarray) -> np.ndarray:
         """The partition of each vector; those without a direction belong to the first."""
@@ -107,40 +124,50 @@ def partitions(items: DataFrame, item_block: int, key: str) -> Partitions | None
     rows = items.select("embedding").mapInArrow(measure, "part long, n long, angle double, least double, most double")
     found = rows.groupBy("part").agg(F.sum("n").alias("n"), F.max("angle").alias("angle"), F.min("least").alias("least"), F.max("most").alias("most")).toArrow()
     part = found.column("part").to_numpy()
-    angle, least, most, subs = (np.zeros(len(pivots)) for _ in range(4))
+    angle, least, most, count = (np.zeros(len(pivots)) for _ in range(4))
     angle[part], least[part], most[part] = (found.column(c).to_numpy() for c in ("angle", "least", "most"))
-    subs[part] = -(-found.column("n").to_numpy() // item_block)
-    return Partitions(pivots, angle, least, most, subs.astype(np.int64))
+    count[part] = found.column("n").to_numpy()
+    count = count.astype(np.int64)
+    return Partitions(pivots, angle, least, most, -(-count // item_block), count)
 
 
-def routed(skills: DataFrame, parts: Partitions, minimum: float, first: bool) -> DataFrame:
-    """(row, embedding, part): each vector beside the partitions that it has to meet.
+def routed(skills: DataFrame, parts: Partitions, minimum: float, first: bool | None, cell: np.ndarray | None = None) -> DataFrame:
+    """(row, embedding, cell, wanted): each vector once beside every cell with partitions that it has to meet, and these.
 
-    ``first``: the one where it can score highest, if that reaches the minimum. Else all others that reach the minimum and
-    the vector's ``floor``.
+    ``first``: the one partition where it can score highest, if that reaches the minimum; False: all others that reach the
+    minimum and the vector's ``floor``; None: all that reach the minimum. Without cells every partition is one.
     """
-    sent = skills.sparkSession.sparkContext.broadcast(parts)
-    columns = ["row", "embedding"] + ([] if first else ["floor"])
+    sent = skills.sparkSession.sparkContext.broadcast((parts, np.arange(len(parts.subs)) if cell is None else cell))
+    columns = ["row", "embedding"] + (["floor"] if first is False else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, cell = sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 some = batch.slice(start, 4096)
-                high = sent.value.bounds(matrix(some.column(1)))
-                best = high.argmax(1)
+                high = parts.bounds(matrix(some.column(1)))
+                each, best = np.arange(len(high)), high.argmax(1)
                 if first:
-                    rows = np.flatnonzero(high[np.arange(len(best)), best] >= minimum - SLACK)
+                    rows = np.flatnonzero(high[each, best] >= minimum - SLACK)
                     to = best[rows]
                 else:
-                    high[np.arange(len(best)), best] = -np.inf
-                    least = np.maximum(some.column(2).to_numpy(zero_copy_only=False), minimum)
+                    least = np.full(len(high), minimum)
+                    if first is False:
+                        high[each, best] = -np.inf
+                        least = np.maximum(some.column(2).to_numpy(zero_copy_only=False), minimum)
                     rows, to = np.nonzero(high >= least[:, None] - SLACK)
-                chosen = some.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(to.astype(np.int32))], ["row", "embedding", "part"])
+                # Partitions of a cell lie side by side, so that a vector's pairs do as well.
+                at = cell[to]
+                begins = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])])[: len(rows)])
+                chosen = some.take(pa.array(rows[begins]))
+                wanted = pa.ListArray.from_arrays(pa.array(np.append(begins, len(rows)).astype(np.int32)), pa.array(to.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [chosen.column(0), chosen.column(1), pa.array(at[begins].astype(np.int32)), wanted], ["row", "embedding", "cell", "wanted"]
+                )
 
     given = skills.select(*columns)
-    kind = given.schema["row"].dataType.simpleString()
-    return given.mapInArrow(run, f"row {kind}, embedding array<double>, part int")
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    return given.mapInArrow(run, f"row {kinds['row']}, embedding {kinds['embedding']}, cell int, wanted array<int>")
 
 
 def numbers(values: np.ndarray, at: Column) -> Column:

@@ -198,3 +198,40 @@ def test_ngram_counts_equal_plain_python():
                 want[row, int(hashlib.md5(t[i:i + n].encode()).hexdigest()[:7], 16) % dim] += 1
         assert (emb.ngram_encoder(dim, n)(texts) == want).all()
     assert emb.ngram_encoder()([]).shape == (0, 64)
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 1000])
+def test_cells_hold_partitions_up_to_a_size(most):
+    rnd = np.random.default_rng(most)
+    count = rnd.integers(0, 30, 50)
+    parts = pivots.Partitions(*[np.zeros(50)] * 4, -(-count // 4), count)
+    cell, subs = parts.cells(most)
+    assert (np.diff(cell) >= 0).all() and set(cell) == set(range(len(subs)))
+    for c, n in enumerate(subs):
+        held = count[cell == c]
+        assert n == -(-held.sum() // most) and (n <= 1 or len(held[held > 0]) == 1)
+
+
+def test_a_vector_moves_once_to_a_cell(spark, monkeypatch):
+    """However many partitions it has to meet there; results do not depend on the size of the cells."""
+    rnd = np.random.default_rng(5)
+    items = [(f"i{i}", v.tolist()) for i, v in enumerate(rnd.normal(size=(400, 6)))]
+    skills = [(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(90, 6)))] + [(90, [0.0] * 6)]
+    left = spark.createDataFrame(skills, "skill_id long, embedding array<double>")
+    right = spark.createDataFrame(items, "tks_id string, embedding array<float>")
+    parts = pivots.partitions(right, 8, "tks_id")
+    rows = left.withColumnRenamed("skill_id", "row")
+    cell, subs = parts.cells(200)
+    assert len(parts.count) > 20 * len(subs)
+    alone, together = (pivots.routed(rows, parts, -99.0, None, c).collect() for c in (None, cell))
+    assert len(alone) == 91 * np.count_nonzero(parts.count) and len(together) == 91 * len(subs)
+    assert all(len(r["wanted"]) == np.count_nonzero(parts.count[cell == r["cell"]]) for r in together)
+    got = []
+    for size in (1, 3000, 1 << 24):
+        monkeypatch.setattr(matching, "CELL_BYTES", size)
+        for k, minimum in ((3, -99.0), (None, 0.3)):
+            found = matching.score_pairs(left, right, k, minimum, item_bytes=0, item_block=8, skill_block=16)
+            got.append(sorted((r["skill_id"], r["tks_id"], r["similarity"]) for r in found.collect()))
+    scores = np.array([v for _, v in skills]) @ np.array([v for _, v in items], np.float32).astype(float).T
+    assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5]
+    assert len(got[0]) == 91 * 3 and len(got[1]) == np.count_nonzero(np.round(scores, 10) >= 0.3)
