@@ -84,6 +84,8 @@ HASHED_SQL = (
 
 def named_vectors(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
+    # Few bytes, but much work: adaptive execution would put them into one task, unless the number of parts is named.
+    names = names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("p_name"))
     return emb.encode(names, "p_name", lambda: emb.ngram_encoder(64))
 
 

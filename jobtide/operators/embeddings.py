@@ -77,10 +77,11 @@ def encode(
 def l2_normalise(v: Column) -> Column:
     """Vector of unit length; a zero vector stays as it is."""
     squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    norm = F.sqrt(squares)
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(
-        v.cast("array<double>")
-    )
+    # The norm is the argument of a lambda: in the body of one it would be computed again for every element.
+    unit = F.transform(F.array(F.sqrt(squares)), lambda norm: F.when(
+        norm > 0, F.transform(v, lambda x: x.cast("double") / norm)
+    ).otherwise(v.cast("array<double>")))
+    return unit[0]
 
 
 def normalise_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -235,3 +235,21 @@ def test_a_vector_moves_once_to_a_cell(spark, monkeypatch):
     scores = np.array([v for _, v in skills]) @ np.array([v for _, v in items], np.float32).astype(float).T
     assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5]
     assert len(got[0]) == 91 * 3 and len(got[1]) == np.count_nonzero(np.round(scores, 10) >= 0.3)
+
+
+def test_a_norm_is_computed_once(spark, monkeypatch):
+    """Not in the body of the lambda over the vector, where it would be computed for every element."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([1.0, None],), (None,), ([],)], "embedding array<double>")
+    unit = emb.normalise_vectors(df)
+    assert [r["embedding"] for r in unit.collect()] == [[0.6, 0.8], [0.0, 0.0], [1.0, None], None, []]
+    plan = unit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_names_to_encode_are_spread(spark, tmp_path):
+    """Few bytes of names would be put into one task."""
+    from bindings.vectors import named_vectors
+
+    spark.range(500).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name").write.parquet(str(tmp_path / "part.parquet"))
+    dealt = named_vectors(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1 and sum(r["count"] for r in dealt) == 500
