@@ -134,6 +134,8 @@ def cleaning_examples(df: DataFrame, column: str, key: str, count: int = 20) ->
     The records are picked before cleaning, so only they are cleaned.
     """
     picked = flagged_records(df.select(col(key), col(column)), column).orderBy(key).limit(count)
+    # Settled: the optimizer pushes projections below a limit, and all flagged records would be cleaned.
+    picked = settle(picked, column)
     return _before_and_after(picked, column, [key, "markup_types"]).drop("blocks")
 
 

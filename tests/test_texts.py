@@ -246,3 +246,15 @@ def test_list_skills(spark):
     df = spark.createDataFrame([(["Big Data", "", "C++"], "x")], "Skill array<string>, Title string")
     rows = {r["field"]: r["text"] for r in terms.field_texts(df).collect()}
     assert rows == {"skill": "big data c", "title": "x"}
+
+
+def test_only_shown_examples_are_cleaned(spark):
+    """The limit stands below the cleaning, so the first records are taken as a top list."""
+    from jobtide.operators import markup
+
+    df = spark.range(0, 90, 1, 6).selectExpr("id", "concat('see **', id, '** &amp; <b>x</b>') AS text")
+    examples = markup.cleaning_examples(df, "text", "id", 4)
+    assert [(r["id"], r["after"]) for r in examples.orderBy("id").collect()] == [(i, f"see {i} & x") for i in range(4)]
+    lines = examples._jdf.queryExecution().executedPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(lines) if "TakeOrderedAndProject" in line)
+    assert any("_unescape" in line for line in lines[:top]) and not any("_unescape" in line for line in lines[top:])
