@@ -134,3 +134,14 @@ def test_no_rows_into_a_bucketed_table(spark, target):
 @pytest.mark.parametrize("name", ["a08_insert_if_absent", "a08_rows_added", "h10_job_skill", "i04_store_vectors"])
 def test_no_sort_aggregate(spark, name):
     assert "SortAggregate" not in plan_of(entry.queries()[name](spark, SF))
+
+
+def test_no_partial_bitmaps_move(spark):
+    """Rows are dealt by their group before bitmaps of 4 KB are made of them, not after."""
+    postings = spark.range(0, 400, 1, 8).selectExpr("id", "concat('c', id % 3) AS country")
+    bridge = spark.range(0, 800, 1, 8).selectExpr("id % 400 AS job_posting_id", "concat('s', id % 5) AS normalized_skill")
+    bitmaps = stored.posting_bitmaps(bridge, postings)
+    for df in (bitmaps, stored.united(bitmaps, "country", "normalized_skill")):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        partial = [i for i, line in enumerate(lines) if "partial_bitmap_" in line]
+        assert partial and not any("Exchange" in lines[i - 1] for i in partial)
