@@ -19,6 +19,7 @@ from jobtide.functions.text import present, settle
 from jobtide.operators.counters import Counters
 from jobtide.operators.language import OUTCOMES, Rewriter, chunks, with_route
 from jobtide.operators.records import col
+from jobtide.session import scratch_path
 from jobtide.sources.tables import first_per_key
 
 #: Digest of a chunk and what it was rewritten to.
@@ -111,7 +112,10 @@ def translate_stored(
         routed = with_route(df, field, "_route", snippet_chars, detector, detect)
         wanted = F.col("_route") == "translate"
         texts = routed.where(wanted).select(_digest(col(field)).alias("text_digest"), col(field).alias("text"))
-        rows = chunk_rows(texts, chunk_size)
+        # Stored: the table of results is asked twice, and texts would be routed and cut again.
+        place = scratch_path(spark, "chunks")
+        chunk_rows(texts, chunk_size).write.parquet(place)
+        rows = spark.read.parquet(place)
         add_results(rows, load_rewriter, path)
         new = put_together(rows, results(spark, path)).withColumnRenamed("text_digest", "_digest")
         # Texts that stay get a key of their own: one key for all of them would be one task.

@@ -98,3 +98,18 @@ def test_order_of_chunks(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], "t string")
     assert translation.translate_stored(df, ["t"], load_rewriter, str(tmp_path / "r")).count() == 0
+
+
+def test_texts_are_routed_twice_at_most(spark, tmp_path):
+    """Once for the chunks, which are stored, and once for the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def german(text):
+        seen.add(1)
+        return "de"
+
+    df = spark.createDataFrame([(i, f"ein langer Text, Nummer {i}") for i in range(20)], "id long, d string")
+    out = translation.translate_stored(df, ["d"], lambda: str.upper, str(tmp_path / "results"), detector=german).collect()
+    assert sorted(r["d"] for r in out) == sorted(f"EIN LANGER TEXT, NUMMER {i}" for i in range(20))
+    assert seen.value <= 2 * 20
