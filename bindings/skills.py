@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import sqltext as S
-from bindings.base import PART_SKILLS_CTE, lit, part_skills, query, table, texts
+from bindings.base import PART_SKILLS_CTE, lit, part_skills, parts, query, table, texts
 from jobtide.functions.text import fold_accents
 from jobtide.lookups import CANONICAL_TERMS, PRODUCT_ALIASES
 from jobtide.operators import records, reports, skills, stored
@@ -222,8 +222,8 @@ NAMES_CTE = (
 
 def order_tokens(spark, d):
     """(job_posting_id, normalized_skill) per line and skill; not yet unique."""
-    parts = texts(spark, d, "part").select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("skill"))
-    named = skills.explode_skills(parts, "p_partkey", "skill").select(
+    named_parts = parts(spark, d).select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("skill"))
+    named = skills.explode_skills(named_parts, "p_partkey", "skill").select(
         F.col("job_posting_id").alias("l_partkey"), "normalized_skill"
     )
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")

@@ -145,3 +145,11 @@ def test_no_partial_bitmaps_move(spark):
         lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
         partial = [i for i, line in enumerate(lines) if "partial_bitmap_" in line]
         assert partial and not any("Exchange" in lines[i - 1] for i in partial)
+
+
+def test_parts_are_dealt_to_all_tasks(spark, tmp_path):
+    from bindings.base import part_skills
+
+    spark.range(0, 300, 1, 1).selectExpr("id AS p_partkey", "'a' AS p_name", "'b' AS p_type", "'c' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    skills = part_skills(spark, str(tmp_path))
+    assert skills.count() == 300 and skills.rdd.getNumPartitions() > 1
