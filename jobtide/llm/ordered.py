@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from jobtide.llm.bytetext import column, slices
+from jobtide.llm.bytetext import column, slices, tidy
 
 
 def with_next(
@@ -27,18 +26,23 @@ def with_next(
     keys come first; rows of equal keys follow the hash of their texts, and stay in one
     range; equal rows are each other's next. One row is its own next; no rows give none.
     """
+    # Here, so that Python workers don't load it.
+    from pyspark.ml.feature import Bucketizer
+
     spark = df.sparkSession
     ranges = per_partition * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(column(key).cast("long").alias("key"), column(text).cast("string").alias("text"), F.xxhash64(column(text).cast("string")).alias("h"))
     schema = StructType([StructField(key, LongType()), *outputs])
     cuts = np.unique(np.array(rows.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)), np.float64))
 
-    def reached(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for k in keys:
-            values = k.to_numpy(np.float64, na_value=-np.inf)
-            yield pd.Series(np.searchsorted(cuts, values, "right").astype(np.int32))
-
-    rows = rows.withColumn("range", F.pandas_udf(reached, "int")("key"))
+    # The number of cuts that a key has reached. It is found without Python: a worker would stand beside those that make the outputs.
+    reached = F.when(F.col("key").isNull(), F.lit(float("-inf"))).otherwise(F.col("key").cast("double"))
+    if len(cuts):
+        splits = [float("-inf"), *cuts.tolist(), float("inf")]
+        rows = Bucketizer(splits=splits, inputCol="reached", outputCol="range").transform(rows.withColumn("reached", reached)).drop("reached")
+        rows = rows.withColumn("range", F.col("range").cast("int"))
+    else:
+        rows = rows.withColumn("range", F.lit(0))
     place = F.struct(F.col("key").isNotNull().alias("some"), "key", "h")
     firsts = sorted(rows.groupBy("range").agg(F.min(place).alias("first")).collect(), key=lambda r: r["range"])
     if not firsts:
@@ -69,4 +73,4 @@ def with_next(
                     yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(use)), *made], [f.name for f in schema.fields])
                 held = part.slice(part.num_rows - 1, 1)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)

@@ -111,3 +111,10 @@ def test_near_next_against_exact_sets(spark):
         else:
             errors.append(abs(got[i] - exact))
     assert whole > 100 and len(errors) > 50 and max(errors) < 0.2 and sum(errors) / len(errors) < 0.03
+
+
+def test_no_worker_is_needed_to_deal_the_rows(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(100)], "doc_id long, text string")
+    plan = sketch.edited_likeness(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert "PythonUDF" not in plan and "EvalPython" not in plan
