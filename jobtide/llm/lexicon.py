@@ -14,6 +14,7 @@ import json
 import mmap
 import re
 import tempfile
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from jobtide.llm import latin
-from jobtide.llm.bytetext import column, hash_spans, map_texts, slices, tidy
+from jobtide.llm.bytetext import column, hash_spans, map_texts, release, slices, tidy
 from jobtide.llm.components import written
 
 #: Entries of a task's memory of words, before it is emptied; words of one partial count.
@@ -116,23 +117,23 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     final and is replaced by an equal state, if there is one (a register of states). The
     output of an arc is the number of words that come before those behind it.
     """
-    register: dict[tuple, int] = {}
-    states: list[tuple[bool, list[tuple[int, int]]]] = []
-    sizes: list[int] = []
-    path: list[tuple[bool, list]] = [(False, [])]  # open states along the last word
+    register: dict[bytes, int] = {}
+    sizes = array("q")
+    path: list[tuple[bool, list[int]]] = [(False, [])]  # open states along the last word; an arc is target << 8 | label
     last = b""
 
+    def packed(final: bool, arcs: list[int]) -> bytes:
+        return array("q", [final, *arcs]).tobytes()
+
     def close(down_to: int) -> None:
         while len(path) > down_to + 1:
             final, arcs = path.pop()
-            key = (final, tuple(arcs))
+            key = packed(final, arcs)
             state = register.get(key)
             if state is None:
-                state = register[key] = len(states)
-                states.append((final, arcs))
-                sizes.append(final + sum(sizes[t] for _, t in arcs))
-            above = path[-1][1]
-            above[-1] = (above[-1][0], state)
+                state = register[key] = len(register)
+                sizes.append(final + sum(sizes[arc >> 8] for arc in arcs))
+            path[-1][1][-1] |= state << 8
 
     ordered = sorted(entries)
     for word in ordered:
@@ -141,25 +142,25 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             common += 1
         close(common)
         for label in word[common:]:
-            path[-1][1].append((label, -1))
+            path[-1][1].append(label)
             path.append((False, []))
         path[-1] = (True, path[-1][1])
         last = word
     close(0)
-    root = len(states)
-    states.append(path[0])
-    keys, targets, outputs = [], [], []
-    for state, (final, arcs) in enumerate(states):
-        passed = int(final)
-        for label, target in arcs:
-            keys.append(state << 8 | label)
-            targets.append(target)
-            outputs.append(passed)
-            passed += sizes[target]
+    root = len(register)
+    states = [*register, packed(*path[0])]
+    lengths = np.fromiter(map(len, states), np.int64, len(states)) // 8
+    whole = np.frombuffer(b"".join(states), np.int64)
+    heads = np.cumsum(lengths) - lengths
+    final, arcs = whole[heads], np.delete(whole, heads)
+    state = np.repeat(np.arange(len(states)), lengths - 1)
+    keys, targets = state << 8 | arcs & 255, arcs >> 8
+    # Words behind the arcs before this one, of the same state.
+    passed = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64)[targets])]).astype(np.int64)
+    outputs = passed[:-1] - passed[heads - np.arange(len(states))][state] + final[state]
     ids = [entries[w] for w in ordered]
     arrays = [
-        np.array([root], np.int64), np.array(keys, np.int64), np.array(targets, np.int64), np.array(outputs, np.int64),
-        np.array([f for f, _ in states], np.int64), np.cumsum([0, *map(len, ids)], dtype=np.int64),
+        np.array([root], np.int64), keys, targets, outputs, final, np.cumsum([0, *map(len, ids)], dtype=np.int64),
         np.array([i for x in ids for i in x], np.int64),
     ]
     head = np.array([len(arrays), *map(len, arrays)], np.int64)
@@ -282,7 +283,13 @@ def build_lexicon(df: DataFrame, path: str, text: str = "text", size: int = 65_5
         least = step["n"]
     top = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word").toArrow()
     bpe = WordBpe(path)
-    return compile_lexicon({w: bpe.merge(w) for w in top.column(0).to_pylist()})
+    entries = {w: bpe.merge(w) for w in top.column(0).to_pylist()}
+    # The vocabulary is not held beside the states of the automaton.
+    del bpe, top
+    compiled = compile_lexicon(entries)
+    del entries
+    release()
+    return compiled
 
 
 def encode(

@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from jobtide.llm.bytetext import column, flat, hash_spans, map_texts, slices, tidy
+from jobtide.llm.bytetext import column, flat, hash_spans, map_texts, release, slices, tidy
 
 #: Kinds of identity terms; within a kind each term is swapped for the next one.
 IDENTITY_TERMS = {
@@ -35,8 +36,8 @@ IDENTITY_TERMS = {
 }
 #: Bits of a feature's number; bytes of the word beginnings that count as features; words of the longest sentence.
 BITS, BEGINNINGS, SENTENCE = 18, (4, 5, 6), 48
-#: Labelled texts per class that are learned from.
-PER_CLASS = 2_000
+#: Labelled texts per class that are learned from; features that are looked at together while learning.
+PER_CLASS, BLOCK = 2_000, 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -130,42 +131,73 @@ def fit(
     are left out; without rows of both classes all scores are 0.5.
     """
     rows = labelled.select(column(text).cast("string").alias("text"), column(label).cast("int").alias("label")).where("label IN (0, 1)")
-    got = _training_sets(rows, IDENTITY_TERMS if terms is None else terms).toArrow()
-    return _descend(got, strength, steps, rate, decay)
+    # The table goes as soon as its columns are copied.
+    found = _descend(_training_sets(rows, IDENTITY_TERMS if terms is None else terms).toArrow(), strength, steps, rate, decay)
+    release()
+    return found
 
 
 def _lists(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int32), *[c.flatten().to_numpy() for c in table.column(name).chunks]])
 
 
+def _cuts(edges: np.ndarray) -> list[int]:
+    """Places that cut consecutive groups, of which ``edges`` has the limits, into blocks of about BLOCK features, a group at least."""
+    cuts = [0]
+    while cuts[-1] < len(edges) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edges, edges[cuts[-1]] + BLOCK, "right")) - 1))
+    return cuts
+
+
+def _texts_with(features: np.ndarray, edges: np.ndarray, texts: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Of each feature the number of texts with label 0 that have it, and of those with label 1."""
+    limits, many = edges[texts], [np.zeros(1 << BITS, np.int64) for _ in (0, 1)]
+    cuts = _cuts(limits)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        text = np.repeat(np.arange(a, b), np.diff(limits[a : b + 1]))
+        at = np.unique(text << BITS | features[limits[a] : limits[b]])
+        for k in (0, 1):
+            many[k] += np.bincount(at[labels[at >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
+    return many
+
+
+def _logits(weights: np.ndarray, features: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each sentence's features."""
+    out, cuts = np.empty(len(edges) - 1), _cuts(edges)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        of = np.repeat(np.arange(b - a), np.diff(edges[a : b + 1]))
+        out[a:b] = np.bincount(of, weights[features[edges[a] : edges[b]]], b - a)
+    return out
+
+
 def _descend(got: pa.Table, strength: float, steps: int, rate: float, decay: float) -> np.ndarray:
     weights = np.zeros((1 << BITS) + 1)
     labels = got.column("label").to_numpy().astype(float)
     if not 0 < labels.sum() < len(labels):
         return weights
-    features, sizes = _lists(got, "features").astype(np.int32), _lists(got, "sizes")
-    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    counts = np.array([len(x) for x in got.column("sizes").to_pylist()])
+    features, sizes = _lists(got, "features").astype(np.int32, copy=False), _lists(got, "sizes")
+    changed, signs, pairs = (_lists(got, n) for n in ("changed", "signs", "pairs"))
+    counts = pc.list_value_length(got.column("sizes")).to_numpy()
+    del got
     full = np.flatnonzero(counts)
-    labels, doc = labels[full], np.repeat(np.arange(len(full), dtype=np.int32), counts[full])
-    begins = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
+    labels, counts = labels[full], counts[full]
+    begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    many = _texts_with(features, edges, np.append(begins, len(sizes)), labels)
     # Words of one or two texts say more about these texts than about toxicity.
-    seen = np.bincount(np.unique(doc[sentence].astype(np.int64) << BITS | features) & ((1 << BITS) - 1), minlength=1 << BITS)
-    use = seen[features] >= 3
-    features, sentence = features[use], sentence[use]
-    edges = np.searchsorted(sentence, np.arange(len(sizes) + 1))
-    changed, signs, pairs = (_lists(got, n) for n in ("changed", "signs", "pairs"))
+    use = (many[0] + many[1] >= 3)[features]
+    edges = np.concatenate([[0], np.cumsum(use)])[edges]
+    features = features[use]
+    del use
     pair = np.repeat(np.arange(len(pairs)), pairs)
     share = np.where(labels > 0, 0.5 / max(labels.sum(), 1), 0.5 / max(len(labels) - labels.sum(), 1))
     # Starting point: how much more often a feature comes with the label.
-    at = np.unique(doc[sentence].astype(np.int64) << BITS | features)
-    many = [np.bincount(at[labels[at >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS) for k in (0, 1)]
     odds = np.log((many[1] + 0.5) / (labels.sum() + 1)) - np.log((many[0] + 0.5) / (len(labels) - labels.sum() + 1))
     weights[:-1] = np.where((many[1] >= 3) & (odds > 1.5), odds, 0)
     weights[-1] = -2.0
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1):
-        logits = np.bincount(sentence, weights[features], len(sizes))
+        logits = _logits(weights, features, edges)
         worst = np.maximum.reduceat(logits, begins)
         chosen = begins + np.array([np.argmax(x) for x in np.split(logits, begins[1:])])
         error = (1 / (1 + np.exp(-np.clip(worst + weights[-1], -30, 30))) - labels) * share

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import pytest
 from public_tokenizers import path
@@ -71,3 +72,15 @@ def test_query_equals_the_library(spark, bpe):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op5_word_bpe"](spark, SF).collect()}
     assert got == {k: expected(bpe, t) for k, t in texts.items()}
+
+
+def test_states_of_the_automaton_are_small():
+    rnd = random.Random(4)
+    entries = {"".join(rnd.choices("abcdefgh", k=rnd.randint(4, 12))).encode(): [1] for _ in range(10_000)}
+    tracemalloc.start()
+    compiled = compile_lexicon(entries)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = sorted(entries)
+    assert Lexicon(compiled).numbers([*words, b"abc"]).tolist() == [*range(len(words)), -1]
+    assert most < 7.5e6

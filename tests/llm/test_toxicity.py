@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,20 @@ def test_scores_equal_plain_python(spark):
     texts = [t[:3_000] for t in docs] + [None, "", " .!? ", "One. TWO! thrée?four\nfive", "longerword " * 120, "a1b2_c3"]
     weights = np.random.default_rng(3).normal(size=(1 << toxicity.BITS) + 1)
     assert scores(spark, weights, texts) == pytest.approx([plain_score(t, weights) for t in texts], abs=1e-9)
+
+
+def test_learning_holds_little_beside_its_features():
+    rnd = np.random.default_rng(5)
+    sizes = [[100] * 50 for _ in range(400)]
+    given = pa.table({
+        "label": pa.array([i % 2 for i in range(400)], pa.int32()),
+        "features": pa.array([rnd.integers(0, 3_000, 5_000, np.int32) for _ in sizes], pa.list_(pa.int32())),
+        "sizes": pa.array(sizes, pa.list_(pa.int32())),
+        **{name: pa.array([[] for _ in sizes], pa.list_(pa.int32())) for name in ("changed", "signs", "pairs")},
+    })
+    tracemalloc.start()
+    toxicity._descend(given, 1.0, 2, 0.15, 1e-4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Two million features of four bytes, as given and as used, and some arrays with a number for each feature of the model.
+    assert most < 60e6
