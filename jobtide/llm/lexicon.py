@@ -13,13 +13,14 @@ import heapq
 import json
 import mmap
 import re
+import struct
 import tempfile
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from jobtide.llm import latin
 from jobtide.llm.bytetext import column, hash_spans, map_texts, release, slices, tidy
 from jobtide.llm.components import written
 
-#: Entries of a task's memory of words, before it is emptied; words of one partial count.
-MEMORY, COUNTED = 300_000, 200_000
+#: Words outside the lexicon that a task remembers, before they are forgotten; words of one partial count.
+MEMORY, COUNTED = 30_000, 50_000
+#: Letters of the longest word that is merged without a heap.
+SHORT = 48
 
 
 def byte_letters() -> list[str]:
@@ -40,8 +43,8 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class WordBpe:
-    """Words of a text and their merges, from a vocabulary file with word ends."""
+class WordSplitter:
+    """Words of a text, by a vocabulary file with word ends. The vocabulary itself is not held."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,23 +53,84 @@ class WordBpe:
         model = spec["model"]
         if not model["end_of_word_suffix"] or model["continuing_subword_prefix"] or spec["decoder"]:
             raise ValueError("a vocabulary with word ends and without a decoder is needed")
-        self.suffix: str = model["end_of_word_suffix"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.tokenizer = Tokenizer.from_file(path)
+        # The library's normaliser and splitter, without tokens.
+        bare = {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        self.reader = Tokenizer.from_str(json.dumps(spec | bare))
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in enumerate(self.letters)}
         strings = sorted(self.special, key=len, reverse=True)
         self.apart = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+        self._read(model)
+
+    def _read(self, model: dict) -> None:
+        """Takes what more is needed of the vocabulary."""
+
+    def plain(self, text: str) -> bytes | None:
+        """The text in one byte per code point, or None if the tokenizer's own normaliser has to read it."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if self.apart and self.apart.search(text) else raw
+
+    def pieces(self, text: str) -> Iterator[bytes | int]:
+        """Words in UTF-8, and ids of special strings, of any text."""
+        for i, part in enumerate(self.apart.split(text) if self.apart else [text]):
+            if i % 2:
+                yield self.special[part]
+            elif part:
+                shown = self.reader.pre_tokenizer.pre_tokenize_str(self.reader.normalizer.normalize_str(part))
+                for word, _ in shown:
+                    yield bytes(self.bytes[c] for c in word)
+
+
+class WordBpe(WordSplitter):
+    """Words of a text and their merges."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.path = path
+
+    def _read(self, model: dict) -> None:
+        self.suffix: str = model["end_of_word_suffix"]
+        self.vocab: dict[str, int] = model["vocab"]
+        # Parts of pairs are the vocabulary's strings, not further copies.
+        own = {t: t for t in self.vocab}
+        self.ranks = {(own.get(a, a), own.get(b, b)): i for i, (a, b) in enumerate(model["merges"])}
+        self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+
+    @cached_property
+    def tokenizer(self):
+        """The library's whole tokenizer; tasks don't need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of a word: the pair of lowest rank, leftmost first, is joined until none is left."""
-        parts: list[str | None] = [self.letters[b] for b in word]
+        parts = [self.letters[b] for b in word]
         if not parts:
             return []
         parts[-1] += self.suffix
+        joined = self._joined(parts) if len(parts) <= SHORT else self._joined_by_heap(parts)
+        # Symbols that the vocabulary lacks have no id and no unknown token stands for them.
+        return [self.vocab[p] for p in joined if p in self.vocab]
+
+    def _joined(self, parts: list[str]) -> list[str]:
+        rank, none = self.ranks.get, len(self.ranks)
+        order = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while order and (least := min(order)) < none:
+            i = order.index(least)
+            parts[i] += parts.pop(i + 1)
+            del order[i]
+            if i:
+                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(order):
+                order[i] = rank((parts[i], parts[i + 1]), none)
+        return parts
+
+    def _joined_by_heap(self, parts: list[str | None]) -> list[str]:
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = self.ranks
@@ -85,26 +149,7 @@ class WordBpe:
                     heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
             if before[i] >= 0 and (r := ranks.get((parts[before[i]], parts[i]))) is not None:
                 heapq.heappush(heap, (r, before[i], parts[before[i]], parts[i]))
-        # Symbols that the vocabulary lacks have no id and no unknown token stands for them.
-        return [self.vocab[p] for p in parts if p is not None and p in self.vocab]
-
-    def plain(self, text: str) -> bytes | None:
-        """The text in one byte per code point, or None if the tokenizer's own normaliser has to read it."""
-        try:
-            raw = text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        return None if self.apart and self.apart.search(text) else raw
-
-    def pieces(self, text: str) -> Iterator[bytes | int]:
-        """Words in UTF-8, and ids of special strings, of any text."""
-        for i, part in enumerate(self.apart.split(text) if self.apart else [text]):
-            if i % 2:
-                yield self.special[part]
-            elif part:
-                shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))
-                for word, _ in shown:
-                    yield bytes(self.bytes[c] for c in word)
+        return [p for p in parts if p is not None]
 
 
 # --- the automaton ---------------------------------------------------------
@@ -216,14 +261,16 @@ class Lexicon:
 # --- over the corpus -------------------------------------------------------
 
 
-def _spans(bpe: WordBpe, texts: list[str]):
+def _spans(bpe: WordSplitter, texts: list[str]):
     """Codes of the words of plain texts: distinct hashes, a function that gives a word, codes, each text's first; the other texts."""
     raws = [bpe.plain(t) for t in texts]
     easy = [i for i, r in enumerate(raws) if r is not None]
     data, offsets = latin.join([raws[i] for i in easy])
     data = latin.LOWER[data]
     starts, ends, first = latin.word_spans(data, offsets)
-    codes, distinct = pd.factorize(hash_spans(data, starts, ends, None))
+    # By Arrow: Pandas isn't loaded into the workers for this alone.
+    coded = pa.array(hash_spans(data, starts, ends, None)).dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
     where = np.empty(len(distinct), np.int64)
     where[codes[::-1]] = np.arange(len(codes))[::-1]
 
@@ -239,7 +286,7 @@ def count_words(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     given = df.select(column(text).cast("string").alias("__text")).where(F.col("__text") != "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, counts = WordBpe(path), {}
+        bpe, counts = WordSplitter(path), {}
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
@@ -311,14 +358,20 @@ def encode(
 
     def make():
         bpe, known = WordBpe(path), Lexicon(lexicon.value)
-        memory: dict[int | bytes, tuple[bytes, str]] = {}
+        # What reading the vocabulary took.
+        release()
+        often: dict[int | bytes, tuple[bytes, str]] = {}  # words of the lexicon, which bounds them
+        rare: dict[int | bytes, tuple[bytes, str]] = {}
 
         def entry(ids: list[int]) -> tuple[bytes, str]:
-            return np.array(ids, "<u4").tobytes(), " ".join(map(bpe.names.__getitem__, ids))
+            return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(bpe.names.__getitem__, ids))
 
         def learn(keys: list, words: list[bytes]) -> None:
             for key, word, number in zip(keys, words, known.numbers(words).tolist()):
-                memory[key] = entry(known.of(number) if number >= 0 else bpe.merge(word))
+                if number >= 0:
+                    often[key] = entry(known.of(number))
+                else:
+                    rare[key] = entry(bpe.merge(word))
 
         def whole(parts: list[tuple[bytes, str]]) -> tuple:
             ids, shown = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
@@ -326,22 +379,23 @@ def encode(
             return (*row, ids, shown) if full else row
 
         def work(texts: pa.Array) -> list:
-            if len(memory) > MEMORY:
-                memory.clear()
+            # Few of these words come again, the less so the more texts there are.
+            if len(rare) > MEMORY:
+                rare.clear()
             given = [t or "" for t in texts.to_pylist()]
             rows: list = [None] * len(given)
             distinct, word, codes, first, easy, hard = _spans(bpe, given)
             keys = distinct.tolist()
-            new = [i for i, k in enumerate(keys) if k not in memory]
+            new = [i for i, k in enumerate(keys) if k not in often and k not in rare]
             learn([keys[i] for i in new], [word(i) for i in new])
-            parts = [memory[k] for k in keys]
+            parts = [often.get(k) or rare[k] for k in keys]
             for i, a, b in zip(easy, first[:-1].tolist(), first[1:].tolist()):
                 rows[i] = whole([parts[c] for c in codes[a:b].tolist()])
             for i in hard:
                 pieces = list(bpe.pieces(given[i]))
-                new = list({p for p in pieces if isinstance(p, bytes) and p not in memory})
+                new = list({p for p in pieces if isinstance(p, bytes) and p not in often and p not in rare})
                 learn(new, new)
-                rows[i] = whole([memory[p] if isinstance(p, bytes) else entry([p]) for p in pieces])
+                rows[i] = whole([(often.get(p) or rare[p]) if isinstance(p, bytes) else entry([p]) for p in pieces])
             return [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()])]
 
         return work

@@ -1,11 +1,14 @@
 import hashlib
+import itertools
 import random
 import struct
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 
+from jobtide.llm import lexicon
 from jobtide.llm.lexicon import Lexicon, WordBpe, build_lexicon, compile_lexicon, encode
 from tests.llm.helpers import SF
 
@@ -45,6 +48,39 @@ def test_merges_equal_the_library(bpe):
         assert got == want[0], word
 
 
+def test_both_ways_of_merging_agree(bpe):
+    rnd = random.Random(6)
+    for _ in range(500):
+        word = [bpe.letters[rnd.choice(b"aabeehilnorst")] for _ in range(rnd.randint(1, 80))]
+        word[-1] += bpe.suffix
+        assert bpe._joined(list(word)) == bpe._joined_by_heap(list(word))
+
+
+def test_tasks_hold_little_beside_the_lexicon(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "build_lexicon", lambda *given: compile_lexicon({}))
+    monkeypatch.setattr(lexicon, "map_texts", lambda df, text, outputs, make, keep: make)
+    work = lexicon.encode(spark.createDataFrame([("a",)], "text string"), FILE)()
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqrst", "aeiouy", "bcdfghjklmnpqrst", "bcdfghjklmnpqrstvwxz")]
+    texts = [pa.array([" ".join(words[i : i + 2_000])]) for i in range(0, len(words), 2_000)]
+    work(texts[0])
+    tracemalloc.start()
+    try:
+        for text in texts:
+            work(text)
+        # 38,400 words; of those that the lexicon lacks, the last ones are remembered.
+        many, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert many < 6 << 20
+    tracemalloc.start()
+    try:
+        splitter = lexicon.WordSplitter(FILE)
+        small, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert small < 1 << 20 and splitter.plain("a") == b"a"
+
+
 def test_edge_rows_equal_the_library(spark, bpe):
     texts = [
         None, "", "Hello w\u00f6rld's 42 <|endoftext|> x", "\u03a3\u03a3 \u0130 e\u0301 \u65e5\u672c", "''s 's 'll \x85\xa0 \u00b2\u00bd", "x" * 3_000,
