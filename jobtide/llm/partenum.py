@@ -15,7 +15,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.llm.bytetext import column, flat, hash_spans, mix, shingles, slices, tidy, words
@@ -25,8 +25,13 @@ from jobtide.llm.components import components, removed, written
 FILTER_BITS = (1 << 20, 1 << 26)
 #: Members of a bucket that are compared as one block.
 BUCKET = 4_096
-#: Bits of a set's parity sketch, and of the short one that members of a bucket are compared by first.
-SKETCH_BITS, SHORT_BITS = 2_048, 512
+#: Bits of a set's short parity sketch, at least and at most: so many that 3 elements come to 2 bits at most. A full sketch,
+#: by which few bits differ for many elements, would let all pairs of large sets pass. Long sketches have LONGER times the bits.
+SHORT_BITS, LONGER = (512, 1 << 18), 4
+#: Bytes that the sets of a round of pairs, or the members of a round of buckets, may have; if more, a part of all sets' bytes.
+ROUND_BYTES, ROUND_PART = 64 << 20, 8
+#: Bytes of a bucket's member on its way (as shuffled), with a short sketch of the usual size.
+MEMBER_BYTES = 90
 #: Pairs of members that are looked at together.
 COMPARED = 1 << 18
 #: Nodes without a key get one from here on, by their name.
@@ -200,19 +205,27 @@ def _read_marked(marks: _Marks, places: pa.Array, keys: pa.Array, texts: pa.Arra
 
 def _parity(s: np.ndarray) -> bytes:
     """Per bit the parity of the set's elements there: two sets differ in as many elements as bits at least."""
-    count = np.bincount((mix(s + _SALT[1]) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    bits = SHORT_BITS[0]
+    while 2 * len(s) > 3 * bits and bits < SHORT_BITS[1]:
+        bits *= 2
+    bits *= LONGER
+    count = np.bincount((mix(s + _SALT[1]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of ``width`` words: parities of whole parts, so differing bits are a lower bound again."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), 1)
+
+
 def _shortened(sketches: DataFrame) -> DataFrame:
-    """(node, content) with short sketches: parities of whole parts, so differing bits are a lower bound again."""
+    """(node, size, content) with short sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                folded = np.bitwise_xor.reduce(_bits(batch.column(1)).reshape(batch.num_rows, -1, SHORT_BITS // 64), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in folded], pa.binary())], ["node", "content"])
+            short = [_folded(w := np.frombuffer(x, np.uint64).reshape(1, -1), w.size // LONGER).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(short, pa.binary())], ["node", "size", "content"])
 
-    return sketches.select("node", "content").mapInArrow(run, "node long, content binary")
+    return sketches.select("node", "size", "content").mapInArrow(run, "node long, size int, content binary")
 
 
 def _contents(wanted: DataFrame, texts: DataFrame, n: int, content) -> DataFrame:
@@ -253,17 +266,65 @@ def _kept(df: DataFrame, test) -> DataFrame:
     return df.mapInArrow(tidy(run), "a long, b long")
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
-
-
-def _close(x: np.ndarray, y: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of sketches may belong to similar sets; ``both``: the sum of the two sizes."""
-    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (den + num) <= both * (den - num)
-
-
-def _links(near: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): smallest keys of the near pairs whose sets are similar enough by their exact intersection."""
+class _Sketches:
+    """Sketches of several lengths; two of them are compared at the length of the shorter one."""
+
+    def __init__(self, column: pa.Array):
+        held = column.to_pylist()
+        self.width = np.array([len(x) // 8 for x in held], np.int64)
+        # Those of one length are one block.
+        self.place, self.blocks = np.zeros(len(held), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            of = np.flatnonzero(self.width == width)
+            self.place[of] = np.arange(len(of))
+            self.blocks[width] = np.frombuffer(b"".join([held[i] for i in of.tolist()]), np.uint64).reshape(-1, width)
+
+    def at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of the rows, folded to ``width`` words."""
+        if len(self.blocks) == 1 and width in self.blocks:
+            return self.blocks[width][rows]
+        out = np.empty((len(rows), width), np.uint64)
+        for own in np.unique(self.width[rows]).tolist():
+            mine = np.flatnonzero(self.width[rows] == own)
+            out[mine] = _folded(self.blocks[own][self.place[rows[mine]]], width)
+        return out
+
+
+def _close(x: _Sketches, i: np.ndarray, y: _Sketches, j: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sketches (i of x, j of y) may belong to similar sets; ``both``: the sum of the two sizes."""
+    differing, shorter = np.zeros(len(i), np.int64), np.minimum(x.width[i], y.width[j])
+    for width in np.unique(shorter).tolist():
+        pairs = np.flatnonzero(shorter == width)
+        # So many at a time that they take some MB.
+        step = max(1, (1 << 18) // width)
+        for start in range(0, len(pairs), step):
+            some = pairs[start : start + step]
+            differing[some] = np.bitwise_count(x.at(i[some], width) ^ y.at(j[some], width)).sum(1, dtype=np.int64)
+    return differing * (den + num) <= both * (den - num)
+
+
+def _volume(near: DataFrame, sizes: DataFrame) -> int:
+    """Bytes of the two sets of each pair."""
+    left = sizes.select(F.col("node").alias("a"), F.col("size").alias("xn"))
+    right = sizes.select(F.col("node").alias("b"), F.col("size").alias("yn"))
+    return 8 * (near.join(left, "a").join(right, "b").agg(F.sum(F.col("xn").cast("long") + F.col("yn"))).first()[0] or 0)
+
+
+def _in_rounds(make, by: list[str], rounds: int, name: str) -> DataFrame:
+    """What ``make`` gives for each round of the hashes of columns (it gets the condition), each written before the next begins."""
+    made = [written(make(F.pmod(F.xxhash64(*by), F.lit(rounds)) == turn if rounds > 1 else F.lit(True)), name) for turn in range(rounds)]
+    if rounds == 1:
+        return made[0]
+    whole = written(reduce(DataFrame.unionByName, made).distinct(), name)
+    removed(*made)
+    return whole
+
+
+def _links(near: DataFrame, nodes: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, num: int, den: int, most: int) -> DataFrame:
+    """(a, b): smallest keys of the near pairs whose sets are similar enough by their exact intersection.
+
+    Whole sets are the widest thing that moves: the pairs are looked at in rounds of about ``most`` bytes of sets.
+    """
     def alike(batch: pa.RecordBatch) -> list[bool]:
         good = []
         for x, y in zip(batch.column(2), batch.column(3)):
@@ -274,11 +335,14 @@ def _links(near: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int
             good.append(den * shared >= num * (len(x) + len(y) - shared))
         return good
 
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(wanted.join(nodes, "node"), "wanted")
-    good = _kept(_both(near, _contents(wanted, texts, n, np.ndarray.tobytes)), alike)
-    links = written(_named(good, nodes).distinct(), "links")
-    removed(wanted)
+    def linked(mine: Column) -> DataFrame:
+        some = near.where(mine)
+        wanted.append(written(some.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "wanted"))
+        return _named(_kept(_both(some, _contents(wanted[-1], texts, n, np.ndarray.tobytes)), alike), nodes).distinct()
+
+    wanted: list[DataFrame] = []
+    links = _in_rounds(linked, ["a", "b"], max(1, -(-_volume(near, sizes) // most)), "links")
+    removed(*wanted)
     return links
 
 
@@ -315,7 +379,7 @@ def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
         group = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         p, q = group.column(1)[0].as_py(), group.column(2)[0].as_py()
         block, node, size, component = (group.column(i).to_numpy() for i in range(3, 7))
-        bits, size = _bits(group.column(7)), size.astype(np.int64)
+        sketches, size = _Sketches(group.column(7)), size.astype(np.int64)
         rows, columns = np.flatnonzero(block == p), np.flatnonzero(block == q)
         if leaders:
             sig = np.uint64(group.column(0)[0].as_py() & (1 << 64) - 1)
@@ -330,7 +394,7 @@ def _apart(members: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
             i, j = np.nonzero(use)
             for at in range(0, len(i), 1 << 14):
                 x, y = some[i[at : at + (1 << 14)]], columns[j[at : at + (1 << 14)]]
-                good = _close(bits[x], bits[y], size[x] + size[y], num, den)
+                good = _close(sketches, x, sketches, y, size[x] + size[y], num, den)
                 a, b = node[x[good]], node[y[good]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -431,6 +495,7 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
         for turn in range(rounds)
     ]
     stars = reduce(DataFrame.unionByName, parts)
+    most = max(ROUND_BYTES, 8 * (rows.agg(F.sum("n")).first()[0] or 0) // ROUND_PART)
     alike = f"{den} * least(leader_n, n) >= {num} * greatest(leader_n, n)"
     pairs = written(stars.where(alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     leaders = stars.select("sig", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
@@ -443,11 +508,14 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
     def close(batch: pa.RecordBatch) -> np.ndarray:
         if not batch.num_rows:
             return np.empty(0, bool)
-        both = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
-        return _close(_bits(batch.column(2)), _bits(batch.column(3)), both, num, den)
-
-    near = written(_kept(_both(pairs, sketches), close), "near")
-    links = _links(near, nodes, texts, n, num, den)
+        both, every = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy(), np.arange(batch.num_rows)
+        return _close(_Sketches(batch.column(2)), every, _Sketches(batch.column(3)), every, both, num, den)
+
+    # Most pairs only meet by chance: short sketches rule them out, and the long ones move for the others.
+    maybe = written(_kept(_both(pairs, short), close).distinct(), "maybe")
+    near = written(_kept(_both(maybe, sketches), close), "near")
+    removed(maybe)
+    links = _links(near, nodes, short, texts, n, num, den, most)
     parts += [near, links]
     labels = written(_labels(nodes, components(links)), "node_labels")
 
@@ -457,14 +525,19 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
     for leaders in (True, False):
         placed = members.join(labels, "node")
         mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("many"))
-        mixed = written(mixed.where("lo < hi AND many > 2").select("sig", F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")), "mixed")
-        placed = placed.join(mixed, "sig").join(short, "node")
+        blocks = F.ceil(F.col("many") / BUCKET).cast("int").alias("blocks")
+        mixed = written(mixed.where("lo < hi AND many > 2").select("sig", "many", blocks), "mixed")
         known = reduce(DataFrame.unionByName, compared)
-        apart = written(_apart(placed, num, den, leaders).join(known, ["a", "b"], "left_anti"), "apart")
+        # Members move with their sketches: in rounds of buckets, a part of them stands on disk at a time.
+        moved = MEMBER_BYTES * (mixed.agg(F.sum(F.col("many") * (F.lit(1) if leaders else F.col("blocks")))).first()[0] or 0)
+        apart = _in_rounds(
+            lambda mine: _apart(_placed(members, labels, mixed, short, mine), num, den, leaders).join(known, ["a", "b"], "left_anti"),
+            ["sig"], max(1, -(-moved // most)), "apart",
+        )
         parts += [mixed, apart]
         if not apart.isEmpty():
             close_ones = written(_kept(_both(apart, sketches), close), "near")
-            parts += [close_ones, _links(close_ones, nodes, texts, n, num, den)]
+            parts += [close_ones, _links(close_ones, nodes, short, texts, n, num, den, most)]
             links = links.unionByName(parts[-1])
             before, labels = labels, written(_labels(nodes, components(links)), "node_labels")
             removed(before)
@@ -473,6 +546,11 @@ def _labelled(texts: DataFrame, n: int, num: int, den: int, scheme: dict | None)
     return rows, labels
 
 
+def _placed(members: DataFrame, labels: DataFrame, mixed: DataFrame, short: DataFrame, mine: Column) -> DataFrame:
+    """(sig, node, n, component, blocks, content): the members of the mixed buckets whose signatures are meant."""
+    return members.where(mine).join(labels, "node").join(mixed.where(mine).drop("many"), "sig").join(short.drop("size"), "node")
+
+
 def _named(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the smallest keys of the nodes."""
     a = nodes.select(F.col("node").alias("a"), F.col("rep").alias("ra"))

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from jobtide.llm import partenum
 from jobtide.llm.components import components as spark_components
 from jobtide.llm.partenum import Scheme, jaccard_components, signatures
 from tests.llm.helpers import SF, components
@@ -103,3 +105,53 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r["component_id"] for r in jaccard_components(df, n=4, num=85, den=100).orderBy("doc_id").collect()]
     assert got == [x for _, x in components(texts, 4, 85, 100)]
+
+
+def test_large_sets_that_differ_are_told_apart_by_sketches(spark, monkeypatch):
+    """Sets far larger than a short sketch that share a passage: only the near ones are compared exactly."""
+    rnd, passed, links = random.Random(8), [], partenum._links
+    common = [f"c{i}" for i in range(1_500)]
+    texts = [" ".join(common + [f"d{d}-{rnd.randrange(10**9)}" for _ in range(5_500)]) for d in range(10)]
+    texts.append(texts[3] + " and a few more words at its end")
+    monkeypatch.setattr(partenum, "_links", lambda near, *more: (passed.append(near.count()), links(near, *more))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(df, n=5, num=80, den=100).collect()}
+    assert got == {i: 3 if i == 10 else i for i in range(11)}
+    assert sum(passed) == 1
+
+
+@pytest.mark.parametrize("n,num,den,scheme", [(4, 85, 100, None), (5, 80, 100, {"slack": 0.3, "rounds": 2})])
+def test_sets_and_members_move_in_rounds(spark, monkeypatch, n, num, den, scheme):
+    """However many near copies there are, their sets stand on disk a part at a time; the results are the same."""
+    texts = near_copies(random.Random(n + 20), 120)
+    wanted, apart, contents, compared = [], [], partenum._contents, partenum._apart
+    monkeypatch.setattr(partenum, "ROUND_BYTES", 2_000)
+    monkeypatch.setattr(partenum, "ROUND_PART", 1 << 40)
+    monkeypatch.setattr(partenum, "MEMBER_BYTES", 1_000)
+
+    def read(some, *more):
+        if more[-1] is np.ndarray.tobytes:
+            wanted.append(some.count())
+        return contents(some, *more)
+
+    monkeypatch.setattr(partenum, "_contents", read)
+    monkeypatch.setattr(partenum, "_apart", lambda some, *more: (apart.append(some.count()), compared(some, *more))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(df, n=n, num=num, den=den, scheme=scheme).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(components(texts, n, num, den))}
+    assert len(wanted) > 3 and max(wanted) < len(texts) / 2
+    assert len(apart) > 2
+
+
+def test_sketches_of_several_lengths_bound_the_difference():
+    rnd = np.random.default_rng(3)
+    sets = [rnd.integers(1, 1 << 63, int(size), dtype=np.uint64) for size in (1, 40, 700, 800, 1_500, 1_700, 6_000, 7_000)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rnd.integers(1, 1 << 63, len(s) // 12, dtype=np.uint64)]) for s in sets]
+    sketches = partenum._Sketches(pa.array([partenum._parity(np.unique(s)) for s in sets], pa.binary()))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    both = np.array([len(sets[a]) + len(sets[b]) for a, b in zip(i, j)])
+    near = partenum._close(sketches, i, sketches, j, both, 80, 100)
+    for a, b, close in zip(i, j, near):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        assert close or 100 * shared < 80 * (len(sets[a]) + len(sets[b]) - shared)
+    assert not near[(i == 6) & (j == 7)].any() and not near[(i == 4) & (j == 5)].any()
