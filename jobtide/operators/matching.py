@@ -34,6 +34,8 @@ SLACK = 1e-9
 # Bytes of vectors (as doubles) on each side of a meeting, and vectors on each side where all pairs are asked for: its
 # result is one table, of that many pairs at most.
 CELL_BYTES, PAIR_SKILLS, PAIR_ITEMS = 16 << 20, 8192, 4096
+# Scores found in a meeting before those that are no longer among a vector's k best are dropped.
+HELD = 1 << 17
 
 
 def _first_k(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, place: np.ndarray, top_k: int) -> tuple[np.ndarray, ...]:
@@ -69,6 +71,43 @@ def _block_scores(top_k: int | None, minimum: float, slice_rows: int):
     return best
 
 
+class _Side:
+    """Vectors with their lengths, and again in single precision if no product of theirs leaves its range."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.lengths = vectors, np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        self.single = vectors.astype(np.float32) if self.lengths.max(initial=0) < 1e15 else None
+
+
+def _above(left: _Side, some: np.ndarray, right: _Side, begin: int, end: int, least: np.ndarray, top_k: int, slice_rows: int):
+    """Per slice of some rows: (row, column, score) that reach the row's least score, cut near its k-th in a crowded slice.
+
+    All pairs are looked at in single precision, with room for its error; the few that pass get their score in double precision.
+    """
+    single = left.single is not None and right.single is not None
+    a, b = (left.single, right.single) if single else (left.vectors, right.vectors)
+    columns, down = b[begin:end].T, a.dtype.type(-np.inf)
+    # Both vectors are rounded once, and each of the products and sums: twice the textbook bound.
+    error = 2 * (a.shape[1] + 4) * (2.0**-24 if single else 2.0**-53) * np.fmax.reduce(right.lengths[begin:end], initial=0)
+    for start in range(0, len(some), slice_rows):
+        mine = some[start:start + slice_rows]
+        scores = a[mine] @ columns
+        room = SLACK + error * left.lengths[mine]
+        # Rounded down, a bound in single precision lets no less through.
+        bound = np.nextafter((least[mine] - room).astype(a.dtype), down)
+        found = np.flatnonzero(scores >= bound[:, None])
+        if top_k < scores.shape[1] and len(found) > 16 * top_k * len(scores):
+            kth = np.partition(scores, scores.shape[1] - top_k, axis=1)[:, -top_k]
+            bound = np.fmax(bound, np.nextafter((kth - 2 * room).astype(a.dtype), down))
+            found = np.flatnonzero(scores >= bound[:, None])
+        if len(found):
+            at, cols = np.divmod(found, scores.shape[1])
+            rows, cols = mine[at], cols + begin
+            values = np.round(np.einsum("ij,ij->i", left.vectors[rows], right.vectors[cols]), SCORE_DIGITS)
+            enough = values >= least[rows]
+            yield rows[enough], cols[enough], values[enough]
+
+
 def score_pairs(
     skills: DataFrame,
     items: DataFrame,
@@ -154,24 +193,51 @@ def score_pairs(
     rows = skills.select(col(skill_key).alias("row"), moved(skills))
 
     def join_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
-        """Every vector with the items of the partitions that it wants, in blocks; of a cell it keeps its k best."""
+        """Every vector with the items of the partitions that it wants, in blocks; of a cell it keeps its k best.
+
+        A vector that has k scores, from before or from the partitions met so far, takes no lower one.
+        """
         found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        least = np.full(a.num_rows, float(minimum))
+        if "floor" in a.column_names:
+            least = np.maximum(least, a["floor"].to_numpy())
+
+        def fewer() -> None:
+            """Of what is found the k best of each vector, and no vector takes less from now on than its k-th."""
+            at, cols, values = (np.concatenate(x) for x in zip(*found))
+            at, cols, values = _first_k(at, cols, values, order[cols], top_k)
+            found[:] = [(at, cols, values)]
+            if len(at):
+                last = np.flatnonzero(np.concatenate([at[1:] != at[:-1], [True]]))
+                full = last[np.diff(last, prepend=-1) >= top_k]
+                least[at[full]] = np.maximum(least[at[full]], values[full])
+
         if a.num_rows and b.num_rows:
             b = b.sort_by([("part", "ascending"), (item_key, "ascending")])
             left, right, part = _matrix(a["embedding"]), _matrix(b["embedding"]), b["part"].to_numpy()
             wanted = a["wanted"].combine_chunks()
             wants, owner = wanted.flatten().to_numpy(), np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            one, other = (_Side(left), _Side(right)) if top_k is not None else (None, None)
+            order, many = np.argsort(pc.sort_indices(b[item_key]).to_numpy()), 0
             begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for begin, end in zip(begins, [*begins[1:], len(part)]):
                 mine = owner[wants == part[begin]]
                 for i in range(0, len(mine), skill_block):
                     some = mine[i:i + skill_block]
                     for j in range(begin, end, item_block):
-                        found += [(some[r], c + j, v) for r, c, v in best(left[some], right[j:min(j + item_block, end)])]
+                        until = min(j + item_block, end)
+                        if top_k is None:
+                            found += [(some[r], c + j, v) for r, c, v in best(left[some], right[j:until])]
+                            continue
+                        made = list(_above(one, some, other, j, until, least, top_k, slice_rows))
+                        found += made
+                        many += sum(len(r) for r, _, _ in made)
+                        if many > HELD:
+                            fewer()
+                            many = 0
+            if top_k is not None:
+                fewer()
         at, cols, values = (np.concatenate(x) for x in zip(*found))
-        if top_k is not None and len(at):
-            order = np.argsort(pc.sort_indices(b[item_key]).to_numpy())
-            at, cols, values = _first_k(at, cols, values, order[cols], top_k)
         return pa.table({skill_key: a["row"].take(pa.array(at)), item_key: b[item_key].take(pa.array(cols)), "similarity": pa.array(values, pa.float64())})
 
     def meet_parts(routed: DataFrame) -> DataFrame:

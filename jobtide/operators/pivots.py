@@ -135,7 +135,7 @@ def routed(skills: DataFrame, parts: Partitions, minimum: float, first: bool | N
     """(row, embedding, cell, wanted): each vector once beside every cell with partitions that it has to meet, and these.
 
     ``first``: the one partition where it can score highest, if that reaches the minimum; False: all others that reach the
-    minimum and the vector's ``floor``; None: all that reach the minimum. Without cells every partition is one.
+    minimum and the vector's ``floor``, which stays beside it; None: all that reach the minimum. Without cells every partition is one.
     """
     sent = skills.sparkSession.sparkContext.broadcast((parts, np.arange(len(parts.subs)) if cell is None else cell))
     columns = ["row", "embedding"] + (["floor"] if first is False else [])
@@ -162,12 +162,12 @@ def routed(skills: DataFrame, parts: Partitions, minimum: float, first: bool | N
                 chosen = some.take(pa.array(rows[begins]))
                 wanted = pa.ListArray.from_arrays(pa.array(np.append(begins, len(rows)).astype(np.int32)), pa.array(to.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [chosen.column(0), chosen.column(1), pa.array(at[begins].astype(np.int32)), wanted], ["row", "embedding", "cell", "wanted"]
+                    [*chosen.columns, pa.array(at[begins].astype(np.int32)), wanted], [*columns, "cell", "wanted"]
                 )
 
     given = skills.select(*columns)
     kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
-    return given.mapInArrow(run, f"row {kinds['row']}, embedding {kinds['embedding']}, cell int, wanted array<int>")
+    return given.mapInArrow(run, f"row {kinds['row']}, embedding {kinds['embedding']}{', floor double' if first is False else ''}, cell int, wanted array<int>")
 
 
 def numbers(values: np.ndarray, at: Column) -> Column:

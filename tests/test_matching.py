@@ -253,3 +253,40 @@ def test_names_to_encode_are_spread(spark, tmp_path):
     spark.range(500).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name").write.parquet(str(tmp_path / "part.parquet"))
     dealt = named_vectors(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(dealt) > 1 and sum(r["count"] for r in dealt) == 500
+
+
+def test_no_score_below_the_kth_leaves_a_cell(spark, monkeypatch):
+    """A vector that has k scores from its own partition takes no lower one from the others."""
+    b, a = unit(300, 16, 31), unit(40, 16, 32)
+    b[200:220] = b[7]  # equal items: ties
+    ranked, top_items = [], matching.top_items
+    monkeypatch.setattr(matching, "CELL_BYTES", 8 * 16 * 30)
+    monkeypatch.setattr(matching, "top_items", lambda scores, *more: (ranked.append(scores.collect()), top_items(scores, *more))[1])
+    left, right = frame(spark, a, "skill_id"), frame(spark, b, "tks_id", "t")
+    got = matching.score_pairs(left, right, 3, -1.0, item_bytes=0, item_block=8, skill_block=20).collect()
+    assert {(r["skill_id"], r["tks_id"]) for r in got} == brute(a, b, 3, -1.0)
+    first, found = ranked
+    own = {}
+    for r in first:
+        own.setdefault(r["skill_id"], []).append(r["similarity"])
+    floors = {i: sorted(v)[-3] for i, v in own.items() if len(v) >= 3}
+    assert len(floors) > 20 and len(found) > len(first)
+    assert all(r["similarity"] >= floors.get(r["skill_id"], -2) for r in found)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e20])
+def test_pairs_above_a_limit_equal_all_pairs(scale):
+    """Equal and almost equal scores at the limit, and lengths that single precision can't multiply."""
+    a, b = unit(40, 64, 33) * scale, unit(300, 64, 34) * scale
+    b[100:140] = b[50] * (1 + np.arange(40)[:, None] * 1e-9)
+    scores = np.round(np.einsum("ik,jk->ij", a, b), matching.SCORE_DIGITS)
+    for k, least in ((3, np.full(40, -np.inf)), (300, scores[:, 120]), (5, np.sort(scores, 1)[:, -5])):
+        left, right, rows = matching._Side(a), matching._Side(b), np.arange(40)
+        parts = [x for j in range(0, 300, 100) for x in matching._above(left, rows, right, j, j + 100, least, k, 16)]
+        got = [np.concatenate(x) for x in zip(*parts)]
+        found = set(zip(got[0].tolist(), got[1].tolist()))
+        for i in range(40):
+            kth = np.sort(scores[i])[-k]
+            must = np.flatnonzero((scores[i] >= least[i] + 1e-9 * scale**2) & (scores[i] > kth))
+            assert {(i, j) for j in must.tolist()} <= found
+            assert all(scores[i, j] >= least[i] - 1e-9 * scale**2 for r, j in found if r == i)
